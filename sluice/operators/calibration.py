@@ -69,7 +69,7 @@ def choose_threshold(
         "positives",
         "max_allowed",
         (k >= 0).alias("feasible"),
-        "cutoff_score",
+        F.when(k >= 0, F.col("cutoff_score")).alias("cutoff_score"),
         tau.alias("tau_safe"),
     )
 

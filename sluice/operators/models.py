@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from sluice.operators import thresholds as th
 from sluice.operators.quality import bootstrap_ci, score_summary
-from sluice.session import scratch_path
+from sluice.session import stored
 
 TEXT_C = [0.5, 1.0, 2.0, 4.0]
 VECTOR_C = [0.1, 0.5, 1.0, 2.0, 4.0]
@@ -103,9 +103,7 @@ class Detector:
 def validated(model: PipelineModel, validation: DataFrame) -> DataFrame:
     """Operating points on validation rows, materialised: they are a handful of rows."""
     curve = th.metric_curve(positive_score(model, validation.select("sample_id", "label", "features")))
-    path = scratch_path(validation.sparkSession, "thresholds")
-    th.threshold_set(curve).write.parquet(path)
-    return validation.sparkSession.read.parquet(path)
+    return stored(th.threshold_set(curve), "thresholds")
 
 
 def _logreg(c: float, weight_sum: float, max_iter: int, features: str = "features") -> LogisticRegression:

@@ -74,60 +74,77 @@ ROW = [
 ]
 
 
-def _pick(curve: DataFrame, groups: Sequence[str], rank: Sequence[Column], where: Column | None = None) -> Column:
+def _best(rank: Sequence[Column], where: Column | None = None) -> Column:
     """Aggregate that keeps the best row; the comparison is a struct, so it combines map-side."""
     entry = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.struct(*ROW).alias("row"))
     return F.max(entry if where is None else F.when(where, entry)).getField("row")
 
 
-def best_f1(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    rank = [F.col("f1"), F.col("recall"), F.col("precision"), -F.col("threshold")]
-    return curve.groupBy(*groups).agg(_pick(curve, groups, rank).alias("_r")).select(*groups, "_r.*")
+def pick_best_f1() -> Column:
+    return _best([F.col("f1"), F.col("recall"), F.col("precision"), -F.col("threshold")])
 
 
-def recall_target(curve: DataFrame, target: float, groups: Sequence[str] = ()) -> DataFrame:
+def pick_recall(target: float) -> Column:
     """Largest threshold that reaches the recall; else the row with the best recall."""
-    reached = _pick(curve, groups, [F.col("threshold")], F.col("recall") >= target)
+    reached = _best([F.col("threshold")], F.col("recall") >= target)
     fallback = [F.col("recall"), F.col("precision"), F.col("f1"), -F.col("threshold")]
-    best = F.coalesce(reached, _pick(curve, groups, fallback))
-    return curve.groupBy(*groups).agg(best.alias("_r")).select(*groups, "_r.*")
+    return F.coalesce(reached, _best(fallback))
+
+
+def _is_fixed(value: float) -> Column:
+    return F.abs(F.col("threshold") - value) <= 1e-9 * value
+
+
+def pick_fixed(value: float = 0.5) -> Column:
+    return _best([-F.col("threshold")], _is_fixed(value))
+
+
+def pick_safe_bypass(limit: float) -> Column:
+    """Highest bypass rate with the false-bypass rate within the limit; else the lowest rate."""
+    rank = [F.col("bypass_count"), -F.col("false_bypass_count"), -F.col("threshold")]
+    fits = _best(rank, F.col("false_bypass_rate") <= limit)
+    return F.coalesce(fits, _best([-F.col("false_bypass_rate"), -F.col("threshold")]))
+
+
+def select_point(curve: DataFrame, pick: Column, groups: Sequence[str] = ()) -> DataFrame:
+    """One operating point per group."""
+    return curve.groupBy(*groups).agg(pick.alias("_r")).select(*groups, "_r.*")
+
+
+def best_f1(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return select_point(curve, pick_best_f1(), groups)
+
+
+def recall_target(curve: DataFrame, target: float, groups: Sequence[str] = ()) -> DataFrame:
+    return select_point(curve, pick_recall(target), groups)
 
 
 def fixed_threshold(curve: DataFrame, value: float = 0.5) -> DataFrame:
-    return curve.filter(F.abs(F.col("threshold") - value) <= 1e-9 * value)
+    return curve.filter(_is_fixed(value))
 
 
 def safe_bypass(curve: DataFrame, limit: float, groups: Sequence[str] = ()) -> DataFrame:
-    """Threshold with the highest bypass rate whose false-bypass rate stays within the limit."""
-    rank = [F.col("bypass_count"), -F.col("false_bypass_count"), -F.col("threshold")]
-    fits = _pick(curve, groups, rank, F.col("false_bypass_rate") <= limit)
-    fallback = [-F.col("false_bypass_rate"), -F.col("threshold")]
-    best = F.coalesce(fits, _pick(curve, groups, fallback))
-    return curve.groupBy(*groups).agg(best.alias("_r")).select(*groups, "_r.*")
+    return select_point(curve, pick_safe_bypass(limit), groups)
 
 
 def threshold_set(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """All selected operating points as one long table (family, policy, tau, metrics)."""
-    groups = list(groups)
+    """All selected operating points as one long table (family, policy, tau, metrics).
 
-    def tag(df: DataFrame, family: str, policy: str) -> DataFrame:
-        return df.select(
-            *groups, F.lit(family).alias("family"), F.lit(policy).alias("policy"),
-            F.col("threshold").alias("tau"), *ROW[1:],
-        )
-
-    parts = [
-        tag(fixed_threshold(curve), "classification", "threshold_0_5"),
-        tag(best_f1(curve, groups), "classification", "best_f1"),
-    ]
+    Every pick is an aggregate of the same pass over the curve.
+    """
+    picks = {("classification", "threshold_0_5"): pick_fixed(0.5), ("classification", "best_f1"): pick_best_f1()}
     for t in lx.RECALL_TARGETS:
-        parts.append(tag(recall_target(curve, t, groups), "classification", f"recall_ge_{t:g}".replace(".", "_")))
+        picks["classification", f"recall_ge_{t:g}".replace(".", "_")] = pick_recall(t)
     for t in lx.FALSE_BYPASS_LIMITS:
-        parts.append(tag(safe_bypass(curve, t, groups), "triage", f"max_fb_rate_{t:g}".replace(".", "_")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        picks["triage", f"max_fb_rate_{t:g}".replace(".", "_")] = pick_safe_bypass(t)
+    points = [
+        F.struct(F.lit(family).alias("family"), F.lit(policy).alias("policy"), pick.alias("row"))
+        for (family, policy), pick in picks.items()
+    ]
+    chosen = curve.groupBy(*groups).agg(F.array(*points).alias("_points"))
+    return chosen.select(*groups, F.explode("_points").alias("_p")).select(
+        *groups, "_p.family", "_p.policy", F.col("_p.row.threshold").alias("tau"), *[f"_p.row.{c}" for c in ROW[1:]]
+    )
 
 
 def tau_array(thresholds: DataFrame, tau: str = "tau") -> Column:

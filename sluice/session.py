@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "sluice", memory: str = "8g") -> SparkSession:
@@ -41,6 +41,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    For results that several later steps read: it cuts the plan, and a lost executor
+    costs a re-read, not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def range_count(spark: SparkSession) -> int:
     """How many sort ranges a distributed running sum uses (grows with the cluster)."""
     return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
