@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from sluice.plans import attempts, calibrations, curves, gating, policies, texts  # noqa: F401
+from sluice.plans import attempts, calibrations, curves, gating, modelling, policies, tables, texts  # noqa: F401
 from sluice.plans.registry import ENTRIES
 
 
