@@ -34,6 +34,6 @@ def sample_order(sample_id: Column, seed: int | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), sample_id.cast("string")), 256)
 
 
-def hash_cell(order_key: Column, hex_digits: int = 4) -> Column:
+def hash_cell(order_key: Column, hex_digits: int = 5) -> Column:
     """Leading digits of a sort key as an integer cell number."""
     return F.conv(F.substring(order_key, 1, hex_digits), 16, 10).cast("int")

@@ -11,12 +11,13 @@ from sluice.functions import binomial as bn
 from sluice.functions.hashing import parity_bit
 from sluice.functions.rates import confusion_counts, ratio, with_rates
 from sluice.operators.prefix import running_sums
+from sluice.session import join_small, stored
 
 
 def attach(df: DataFrame, small: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Bring a one-row-per-group table to the rows; without groups, one scalar row."""
     if groups:
-        return df.join(small, list(groups))
+        return join_small(df, small, list(groups))
     fields = small.columns
     return df.withColumn("_row", small.select(F.struct(*fields).alias("r")).scalar()).select(
         *df.columns, *[F.col(f"_row.{f}").alias(f) for f in fields]
@@ -62,7 +63,8 @@ def choose_threshold(
         chosen = budget.withColumn("cutoff_score", cut.select("cutoff_score").scalar())
     k = F.col("max_allowed")
     tau = F.when(k < 0, 0.0).when(k >= F.col("positives"), 1.0).otherwise(bn.just_below(F.col("cutoff_score")))
-    return chosen.select(
+    # One row per group that the next steps read several times.
+    picked = chosen.select(
         *groups,
         F.lit(epsilon).alias("epsilon"),
         F.lit(alpha).alias("alpha"),
@@ -72,6 +74,7 @@ def choose_threshold(
         F.when(k >= 0, F.col("cutoff_score")).alias("cutoff_score"),
         tau.alias("tau_safe"),
     )
+    return stored(picked, "thresholds")
 
 
 def bypassed(score: Column, tau: Column, feasible: Column | None = None) -> Column:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.functions import lexicons as lx
+from sluice.operators.prefix import ranked
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
@@ -59,23 +61,30 @@ def char_postings(df: DataFrame, id_col: str = "sample_id", text: str = "prompt"
 
 
 def vocabulary(postings: DataFrame, min_df: int = 2, max_features: int = 300_000) -> DataFrame:
-    """(term, df, cf) of the most frequent terms; never more than ``max_features`` rows."""
+    """(term, df, cf, idx) of the most frequent terms; never more than ``max_features`` rows.
+
+    Ranked over sort ranges: a top-k of this size would send k candidates per task to one
+    task.
+    """
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return counted.filter(F.col("df") >= min_df).orderBy(F.col("cf").desc(), "term").limit(max_features)
+    kept = counted.filter(F.col("df") >= min_df).withColumn("_rare", -F.col("cf"))
+    placed = ranked(kept, ["_rare", "term"], name="_place").filter(F.col("_place") <= max_features)
+    return placed.select("term", "df", "cf", (F.col("_place") - 1).cast("int").alias("idx"))
 
 
 def tfidf(postings: DataFrame, vocab: DataFrame, n_docs: Column, id_col: str = "sample_id") -> DataFrame:
     """(id, term, weight): sublinear tf, smoothed idf, unit length per text.
 
     The vocabulary is bounded by ``max_features``, so it is sent to the postings rather
-    than shuffling them by term, where a frequent term would be a hot key.
+    than shuffling them by term, where a frequent term would be a hot key.  The length of a
+    text is a window over its terms, of which it has at most ``max_features``.
     """
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    raw = postings.join(F.broadcast(vocab.select("term", idf.alias("_idf"))), "term").select(
-        id_col, "term", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("_idf")).alias("_w")
-    )
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("_idf")
+    raw = postings.join(F.broadcast(vocab.select("term", idf.alias("_idf"))), "term")
+    raw = raw.select(id_col, "term", weight.alias("_w"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def fit_tfidf(

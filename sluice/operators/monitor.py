@@ -94,12 +94,9 @@ def ks_by_stream(
         .agg(F.sum("n_cur").alias("n_cur"), F.sum("n_ref").alias("n_ref"))
     )
     cum = running_sums(points, [value], ["n_cur", "n_ref"], [stream])
-    total = points.groupBy(stream).agg(F.sum("n_cur").alias("n"), F.sum("n_ref").alias("n_reference"))
-    gap = F.abs(F.col("cum_n_cur") / F.col("n") - F.col("cum_n_ref") / F.col("n_reference"))
-    stat = (
-        cum.join(total, stream)
-        .groupBy(stream)
-        .agg(F.max("n").alias("n"), F.max("n_reference").alias("n_reference"), F.max(gap).alias("ks_statistic"))
+    gap = F.abs(F.col("cum_n_cur") / F.col("total_n_cur") - F.col("cum_n_ref") / F.col("total_n_ref"))
+    stat = cum.groupBy(stream).agg(
+        F.max("total_n_cur").alias("n"), F.max("total_n_ref").alias("n_reference"), F.max(gap).alias("ks_statistic")
     )
     return stat.withColumn(
         "ks_pvalue", drift.ks_pvalue(F.col("ks_statistic"), F.col("n"), F.col("n_reference"))

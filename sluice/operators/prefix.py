@@ -3,14 +3,15 @@
 A window ordered over a whole table (or over one hot key) runs in one task.  Here the
 rows are cut into sort ranges first:
 
-1. split points: the ``k`` rows with the smallest hash are a uniform, repeatable sample,
-   so every evaluation of the plan cuts at the same places;
+1. split points come from rows whose hash falls below a limit set by the row count, so
+   every evaluation of the plan cuts at the same places;
 2. each row finds its range by binary search over the split points;
 3. running sums are taken inside (range, group), which no hot group can outgrow;
-4. one small table (at most one row per range) carries the sums over range borders.
+4. one small table (at most two rows per range) carries the sums over range borders.
 
-Only a group that continues from the range before needs a carry, and only the first group
-of a range can, which is what bounds the broadcast table by the number of ranges.
+Rows are in (group, order) sequence, so a group that reaches into several ranges is the
+first or the last one of each.  That bounds the broadcast border table by twice the number
+of ranges, whatever the number of groups.
 """
 
 from __future__ import annotations
@@ -23,23 +24,41 @@ from pyspark.sql.window import Window
 
 from sluice.session import range_count
 
+HASH_SPAN = 1 << 31
+PER_SPLIT = 8
 
-def with_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+
+def _split_points(df: DataFrame, key: Column, measures: Sequence[str], ranges: int) -> Column:
+    """A sorted array of about ``ranges`` keys, as a scalar.
+
+    Every ``PER_SPLIT``-th sampled key becomes a split point, which evens out the ranges.
+    The measures ride along so that these branches ask for the same columns as the main
+    plan and share its shuffle.
+    """
+    carried = [F.sum(m).alias(m) for m in measures]
+    size = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), *carried).alias("s")).scalar()
+    limit = F.lit(float(HASH_SPAN * ranges * PER_SPLIT)) / size.getField("rows")
+    picked = df.filter(F.pmod(F.xxhash64(key, *measures), F.lit(HASH_SPAN)) < limit)
+    sample = F.array_sort(F.collect_list(key))
+    return picked.agg(F.filter(sample, lambda x, i: i % PER_SPLIT == PER_SPLIT - 1).alias("p")).scalar()
+
+
+def with_range(
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranges: int | None = None
+) -> DataFrame:
     """Add ``_range``: the index of the sort range of each row over ``keys``."""
-    splits = (ranges or range_count(df.sparkSession)) - 1
+    ranges = ranges or range_count(df.sparkSession)
     key = F.struct(*keys)
-    # Whole rows are kept so that this branch shares the shuffle below it with the main plan.
-    picked = df.select(key.alias("_key"), F.struct(*df.columns).alias("_row"))
-    picked = picked.orderBy(F.xxhash64("_key"), "_key").limit(splits)
-    points = picked.agg(F.array_sort(F.collect_list(F.struct("_key", "_row"))).alias("p")).scalar()
-    steps = max(1, splits.bit_length())
-    out = df.withColumns({"_points": points, "_at0": F.lit(0)})
+    # The number of points scatters around the target; twice the target is never reached
+    # in practice, and points beyond the search depth would only leave the last range wide.
+    steps = (2 * ranges + 16).bit_length()
+    search = [_split_points(df, key, measures, ranges).alias("_points"), F.lit(0).alias("_at0")]
     for i in range(steps):
         step = 1 << (steps - 1 - i)
         at = F.col(f"_at{i}")
-        probe = F.get(F.col("_points"), at + (step - 1)).getField("_key")
-        out = out.withColumn(f"_at{i + 1}", F.when(probe <= key, at + step).otherwise(at))
-    return out.select(*df.columns, F.col(f"_at{steps}").alias("_range"))
+        probe = F.get(F.col("_points"), at + (step - 1))
+        search.append(F.when(probe <= key, at + step).otherwise(at).alias(f"_at{i + 1}"))
+    return df.select("*", *search).select(*df.columns, F.col(f"_at{steps}").alias("_range"))
 
 
 def running_sums(
@@ -49,47 +68,46 @@ def running_sums(
     groups: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
-    """Append ``cum_<m>``: inclusive running sums of each measure in ascending order.
+    """Append ``cum_<m>`` (inclusive, ascending) and ``total_<m>`` of each measure per group.
 
     ``(groups, order)`` must identify a row.  Group and order values must not be null.
     """
     columns = df.columns
     groups = list(groups) or ["_all"]
     base = df if groups != ["_all"] else df.withColumn("_all", F.lit(0))
-    base = with_range(base, [*groups, *order], ranges)
+    base = with_range(base, [*groups, *order], measures, ranges)
     cell = ["_range", *groups]
 
-    totals = base.groupBy(*cell).agg(*[F.sum(m).alias(m) for m in measures])
-    group_key = F.struct(*groups)
-    borders = totals.groupBy("_range").agg(
-        F.min(group_key).alias("_first"),
-        F.max(group_key).alias("_last"),
-        F.max_by(F.struct(*measures), group_key).alias("_end"),
+    sums, group = F.struct(*measures), F.struct(*groups)
+    cells = base.groupBy(*cell).agg(*[F.sum(m).alias(m) for m in measures])
+    edges = cells.groupBy("_range").agg(
+        F.min(F.struct(group.alias("g"), sums.alias("s"))).alias("first"),
+        F.max(F.struct(group.alias("g"), sums.alias("s"))).alias("last"),
     )
-    upto = Window.partitionBy("_last").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_range")
-    carried = F.struct(*[F.sum(f"_end.{m}").over(upto).alias(m) for m in measures])
-    carry = (
-        borders.withColumn("_upto", carried)
-        .withColumns({"_prev": F.lag("_last").over(before), "_carry": F.lag("_upto").over(before)})
-        .filter(F.col("_prev") == F.col("_first"))
-        .select("_range", *[F.col(f"_first.{g}").alias(g) for g in groups], "_carry")
+    edges = edges.select("_range", F.explode(F.array_distinct(F.array("first", "last"))).alias("_e"))
+    of_group = Window.partitionBy("_e.g")
+    earlier = of_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    border = edges.select(
+        "_range",
+        *[F.col(f"_e.g.{g}").alias(g) for g in groups],
+        *[F.coalesce(F.sum(f"_e.s.{m}").over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
+        *[F.sum(f"_e.s.{m}").over(of_group).alias(f"_whole_{m}") for m in measures],
     )
-    within = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = {
-        f"cum_{m}": F.sum(m).over(within) + F.coalesce(F.col(f"_carry.{m}"), F.lit(0)) for m in measures
-    }
-    return (
-        base.join(F.broadcast(carry), cell, "left")
-        .withColumns(sums)
-        .select(*columns, *sums)
+    of_cell = Window.partitionBy(*cell)
+    upto = of_cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = base.join(F.broadcast(border), cell, "left")
+    return joined.select(
+        *columns,
+        *[(F.sum(m).over(upto) + F.coalesce(f"_before_{m}", F.lit(0))).alias(f"cum_{m}") for m in measures],
+        *[F.coalesce(f"_whole_{m}", F.sum(m).over(of_cell)).alias(f"total_{m}") for m in measures],
     )
 
 
 def ranked(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Append the 1-based position of each row in its group; ``order`` must be unique in a group."""
-    counted = running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), order, ["_one"], groups)
-    return counted.drop("_one").withColumnRenamed("cum__one", name)
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    counted = running_sums(one, order, ["_one"], groups)
+    return counted.drop("_one", "total__one").withColumnRenamed("cum__one", name)
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -105,29 +123,20 @@ def exact_quantiles(
     The built-in exact percentile keeps every distinct value of a group in one task; this
     reads the two neighbouring order statistics off distributed running counts instead.
     """
-    groups = list(groups)
-    counts = value_counts(df, value, groups)
-    keys = groups or ["_all"]
-    if not groups:
-        counts = counts.withColumn("_all", F.lit(0))
-    cum = running_sums(counts, [value], ["n"], keys)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    ranked_values = cum.join(totals, keys)
-
-    def order_statistic(position: Column) -> Column:
-        return F.min(F.when(F.col("cum_n") > position, F.col(value).cast("double")))
+    rows = running_sums(value_counts(df, value, groups), [value], ["n"], groups)
+    v = F.col(value).cast("double")
+
+    def at(p: float, total: str) -> Column:
+        return F.lit(float(p)) * (F.col(total) - 1)
 
     aggs = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [
-            order_statistic(F.floor(at)).alias(f"_lo{i}"),
-            order_statistic(F.ceil(at)).alias(f"_hi{i}"),
-        ]
-    picked = ranked_values.groupBy(*keys).agg(F.max("_total").alias("n"), *aggs)
+        spot = at(p, "total_n")
+        aggs.append(F.min(F.when(F.col("cum_n") > F.floor(spot), v)).alias(f"_lo{i}"))
+        aggs.append(F.min(F.when(F.col("cum_n") > F.ceil(spot), v)).alias(f"_hi{i}"))
+    picked = rows.groupBy(*groups).agg(F.max("total_n").alias("n"), *aggs)
     parts = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        parts.append(lo + (hi - lo) * (at - F.floor(at)))
+        lo, hi, spot = F.col(f"_lo{i}"), F.col(f"_hi{i}"), at(p, "n")
+        parts.append(lo + (hi - lo) * (spot - F.floor(spot)))
     return picked.select(*groups, "n", F.array(*parts).alias(name))

@@ -68,28 +68,18 @@ def score_ladder(
     return running_sums(per_score, [score], ["n", "pos"], groups)
 
 
-def _with_totals(ladder: DataFrame, groups: Sequence[str]) -> DataFrame:
-    groups = list(groups)
-    total = ladder.groupBy(*groups).agg(F.sum("n").alias("total"), F.sum("pos").alias("positives"))
-    if groups:
-        return ladder.join(total, groups)
-    return ladder.withColumn("_t", total.select(F.struct("total", "positives")).scalar()).select(
-        *ladder.columns, "_t.total", "_t.positives"
-    )
-
-
 def ranking_quality(
     df: DataFrame, groups: Sequence[str] = (), label: str = "label", score: str = "router_score"
 ) -> DataFrame:
     """ROC-AUC (ties count half) and average precision; null unless both classes occur."""
-    rows = _with_totals(score_ladder(df, groups, label, score), groups)
+    rows = score_ladder(df, groups, label, score)
     neg = F.col("n") - F.col("pos")
     neg_below = F.col("cum_n") - F.col("cum_pos") - neg
-    found = F.col("positives") - (F.col("cum_pos") - F.col("pos"))
-    flagged = F.col("total") - (F.col("cum_n") - F.col("n"))
+    found = F.col("total_pos") - (F.col("cum_pos") - F.col("pos"))
+    flagged = F.col("total_n") - (F.col("cum_n") - F.col("n"))
     summed = rows.groupBy(*groups).agg(
-        F.max("total").alias("n"),
-        F.max("positives").alias("positives"),
+        F.max("total_n").alias("n"),
+        F.max("total_pos").alias("positives"),
         F.sum(F.col("pos") * (neg_below + neg / 2.0)).alias("_wins"),
         F.sum(F.col("pos") * (found / flagged)).alias("_ap"),
     )

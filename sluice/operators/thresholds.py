@@ -40,22 +40,16 @@ def metric_curve(
     both = per_score.unionByName(_grid(per_score, groups, score))
     points = both.groupBy(*groups, score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     ladder = running_sums(points, [score], ["n", "pos"], groups)
-    total = per_score.groupBy(*groups).agg(F.sum("n").alias("total"), F.sum("pos").alias("positives"))
-    if groups:
-        ladder = ladder.join(total, groups)
-    else:
-        ladder = ladder.withColumn("_t", total.select(F.struct("total", "positives")).scalar())
-        ladder = ladder.select("*", "_t.total", "_t.positives").drop("_t")
     below, below_pos = F.col("cum_n") - F.col("n"), F.col("cum_pos") - F.col("pos")
     counted = ladder.select(
         *groups,
         F.col(score).alias("threshold"),
-        F.col("total").alias("n"),
-        "positives",
+        F.col("total_n").alias("n"),
+        F.col("total_pos").alias("positives"),
         (below - below_pos).alias("tn"),
-        (F.col("total") - F.col("positives") - (below - below_pos)).alias("fp"),
+        (F.col("total_n") - F.col("total_pos") - (below - below_pos)).alias("fp"),
         below_pos.alias("fn"),
-        (F.col("positives") - below_pos).alias("tp"),
+        (F.col("total_pos") - below_pos).alias("tp"),
         F.col("cum_n").alias("bypass_count"),
         F.col("cum_pos").alias("false_bypass_count"),
     )

@@ -15,7 +15,7 @@ from sluice.plans import sql as q
 from sluice.plans.calibrations import pick
 from sluice.plans.policies import failsafe_sql
 from sluice.plans.registry import query
-from sluice.session import stored
+from sluice.session import join_small, stored
 
 TAU = fx.GATE_TAU
 POLICY = "tn:i fp:i fn:i tp:i accuracy:f balanced_accuracy:f precision:f recall:f specificity:f f1:f"
@@ -259,7 +259,7 @@ rows_g AS ({VARIANT_GATE_ROWS}), {gate_sql('rows_g', 'variant')}""",
 def variant_gates(spark, d):
     rows = variants(spark, d)
     limits = ga.density_calibration(rows.filter("NOT is_adaptive"), fx.LEXICON, groups=["variant"])
-    joined = rows.join(limits.select("variant", "density_threshold"), "variant")
+    joined = join_small(rows, limits.select("variant", "density_threshold"), ["variant"])
     gates = ga.gate_registry(" ".join(fx.LEXICON[:10]), fx.LEXICON, F.col("density_threshold"), TAU)
     kept = {g: gates[g] for g in VARIANT_GATES}
     return ga.evaluate_gates(joined, kept, TAU, ["variant"])

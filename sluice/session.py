@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "sluice", memory: str = "8g") -> SparkSession:
@@ -52,6 +53,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 100_000
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring a per-group table (thresholds, limits) to the rows of a large table.
+
+    The small side is written once and counted: up to ``SMALL_ROWS`` rows it is broadcast,
+    so a hot group does not send its rows to one task; beyond that it is a plain join, in
+    which adaptive execution may split hot groups.
+    """
+    kept = stored(small, "per-group")
+    if kept.count() <= SMALL_ROWS:
+        kept = F.broadcast(kept)
+    return df.join(kept, keys)
+
+
 def range_count(spark: SparkSession) -> int:
     """How many sort ranges a distributed running sum uses (grows with the cluster)."""
     return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
