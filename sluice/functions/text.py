@@ -31,12 +31,14 @@ def excerpt(text: Column | str, chars: int = 240) -> Column:
 
 def prefix(text: Column | str) -> Column:
     """Text before the first blank line, or all of it."""
-    return F.split(_col(text), BLANK_LINE, 2).getItem(0)
+    return F.substring_index(_col(text), BLANK_LINE, 1)
 
 
 def tail(text: Column | str) -> Column:
     """Text after the first blank line, or all of it."""
-    return F.coalesce(F.get(F.split(_col(text), BLANK_LINE, 2), F.lit(1)), _col(text))
+    t = _col(text)
+    at = F.instr(t, BLANK_LINE)
+    return F.when(at > 0, F.substr(t, at + len(BLANK_LINE))).otherwise(t)
 
 
 def non_ascii_rate(text: Column | str) -> Column:
@@ -64,13 +66,19 @@ def error_category(text: Column | str, probe_source: Column | None = None) -> Co
 
 
 def lexicon_hits(text: Column | str, terms: Sequence[str]) -> Column:
-    """How many lexicon terms occur in the lower-cased text."""
-    lowered = F.lower(_col(text))
-    flags = [lowered.contains(term).cast("int") for term in terms]
-    total = F.lit(0)
-    for flag in flags:
-        total = total + flag
-    return total
+    """How many lexicon terms occur in the lower-cased text.
+
+    The text is lower-cased once: a one-element array binds it for all terms.
+    """
+
+    def hits(lowered: Column) -> Column:
+        total = F.lit(0)
+        for term in terms:
+            total = total + lowered.contains(term).cast("int")
+        return total
+
+    bound = F.transform(F.array(F.lower(_col(text))), hits)
+    return F.coalesce(F.get(bound, F.lit(0)), F.lit(0))
 
 
 def lexicon_density(text: Column | str, terms: Sequence[str]) -> Column:

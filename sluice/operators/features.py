@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sluice.functions import lexicons as lx
 from sluice.operators.prefix import ranked
+from sluice.session import stored
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
@@ -67,7 +68,7 @@ def vocabulary(postings: DataFrame, min_df: int = 2, max_features: int = 300_000
     task.
     """
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = counted.filter(F.col("df") >= min_df).withColumn("_rare", -F.col("cf"))
+    kept = stored(counted.filter(F.col("df") >= min_df).withColumn("_rare", -F.col("cf")), "terms")
     placed = ranked(kept, ["_rare", "term"], name="_place").filter(F.col("_place") <= max_features)
     return placed.select("term", "df", "cf", (F.col("_place") - 1).cast("int").alias("idx"))
 

@@ -11,6 +11,7 @@ from sluice.functions import lexicons as lx
 from sluice.functions import text as tx
 from sluice.functions.rates import ratio
 from sluice.operators.prefix import exact_quantiles
+from sluice.session import stored
 
 Gate = Callable[[Column, Column], Column]
 
@@ -131,8 +132,11 @@ def density_calibration(
     groups: Sequence[str] = (),
     prompt: str = "prompt",
 ) -> DataFrame:
-    """Density threshold (a high percentile) and maximum over ordinary traffic."""
-    dense = df.select(*groups, tx.lexicon_density(prompt, lexicon).alias("density"))
+    """Density threshold (a high percentile) and maximum over ordinary traffic.
+
+    The texts are read once; the order statistics work on the stored numbers.
+    """
+    dense = stored(df.select(*groups, tx.lexicon_density(prompt, lexicon).alias("density")), "density")
     q = exact_quantiles(dense, "density", [percentile, 1.0], groups)
     return q.select(
         *groups, "n", F.col("quantiles")[0].alias("density_threshold"), F.col("quantiles")[1].alias("max_density")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.functions import drift
 from sluice.functions import lexicons as lx
@@ -47,8 +48,14 @@ def psi(current: Column, n: Column, reference: Column, n_reference: Column, bins
     return total
 
 
-def _reference_row(stats: DataFrame, stream: str, name: str, fields: Sequence[str]) -> Column:
-    return stats.filter(F.col(stream) == name).select(F.struct(*fields)).scalar()
+def _reference_row(stream: str, name: str, fields: Sequence[str]) -> Column:
+    """The reference's fields next to every stream, from the per-stream table itself.
+
+    That table has one row per monitored stream, so one window over it is small, and the
+    pass over the rows is not repeated.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    return F.first(F.when(F.col(stream) == name, F.struct(*fields)), ignorenulls=True).over(whole)
 
 
 def psi_by_stream(
@@ -64,8 +71,7 @@ def psi_by_stream(
     stats = binned.groupBy(stream).agg(
         F.count(F.lit(1)).alias("n"), bin_counts(F.col("_v"), F.col("_edges"), bins).alias("_bins")
     )
-    ref = _reference_row(stats, stream, reference, ["n", "_bins"])
-    joined = stats.withColumn("_ref", ref)
+    joined = stats.withColumn("_ref", _reference_row(stream, reference, ["n", "_bins"]))
     value_of = psi(F.col("_bins"), F.col("n"), F.col("_ref._bins"), F.col("_ref.n"), bins)
     return joined.select(stream, "n", value_of.alias("psi"))
 
@@ -109,7 +115,7 @@ def keyword_drift(
     rates = df.groupBy(stream).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("keyword_rate")
     )
-    ref = rates.filter(F.col(stream) == reference).select("keyword_rate").scalar()
+    ref = _reference_row(stream, reference, ["keyword_rate"]).getField("keyword_rate")
     return rates.withColumn("reference_keyword_rate", ref).withColumn(
         "keyword_diff", F.col("keyword_rate") - F.col("reference_keyword_rate")
     )
@@ -160,7 +166,7 @@ def stream_statistics(
         aggs += policy_counts(y, s, j, tau, "naive_")
         aggs += policy_counts(y, s, j, F.lit(float("-inf")), "safe_")
     stats = rows.groupBy(stream).agg(*aggs)
-    ref = _reference_row(stats, stream, reference, ["n", "_bins", "keyword_rate"])
+    ref = _reference_row(stream, reference, ["n", "_bins", "keyword_rate"])
     stats = stats.withColumn("_ref", ref).filter(F.col(stream) != reference)
     stats = stats.withColumns(
         {
@@ -178,14 +184,15 @@ def fail_safe_figures(decided: DataFrame) -> DataFrame:
     A triggered stream takes the judge-only counts, so it bypasses nothing.
     """
     counts = ["bypass_count", "false_bypass_count", "tn", "fp", "fn", "tp"]
-    shift = F.col("shift_detected")
-    naive = rated_policy(decided.withColumns({c: F.col(f"naive_{c}") for c in counts}))
-    naive = naive.withColumn("policy", F.lit("naive"))
-    safe = rated_policy(
-        decided.withColumns({c: F.when(shift, F.col(f"safe_{c}")).otherwise(F.col(f"naive_{c}")) for c in counts})
-    ).withColumn("policy", F.lit("fail_safe"))
-    drop = [f"{p}_{c}" for p in ("naive", "safe") for c in counts]
-    return naive.unionByName(safe).drop(*drop)
+    both = [f"{p}_{c}" for p in ("naive", "safe") for c in counts]
+    naive = [F.col(f"naive_{c}").alias(c) for c in counts]
+    monitored = [
+        F.when(F.col("shift_detected"), F.col(f"safe_{c}")).otherwise(F.col(f"naive_{c}")).alias(c) for c in counts
+    ]
+    policies = F.array(
+        F.struct(F.lit("naive").alias("policy"), *naive), F.struct(F.lit("fail_safe").alias("policy"), *monitored)
+    )
+    return rated_policy(decided.select("*", F.inline(policies)).drop(*both))
 
 
 def shift_failsafe(df: DataFrame, tau: float = lx.DEPLOYED_TAU, **columns) -> DataFrame:

@@ -32,11 +32,10 @@ def _split_points(df: DataFrame, key: Column, measures: Sequence[str], ranges: i
     """A sorted array of about ``ranges`` keys, as a scalar.
 
     Every ``PER_SPLIT``-th sampled key becomes a split point, which evens out the ranges.
-    The measures ride along so that these branches ask for the same columns as the main
-    plan and share its shuffle.
+    Both branches use all columns of the main plan, so they share its shuffle.
     """
-    carried = [F.sum(m).alias(m) for m in measures]
-    size = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), *carried).alias("s")).scalar()
+    widest = F.max(F.struct(key, *measures)).alias("widest")
+    size = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), widest).alias("s")).scalar()
     limit = F.lit(float(HASH_SPAN * ranges * PER_SPLIT)) / size.getField("rows")
     picked = df.filter(F.pmod(F.xxhash64(key, *measures), F.lit(HASH_SPAN)) < limit)
     sample = F.array_sort(F.collect_list(key))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions.hashing import audit_flag, unit_bucket
 from sluice.functions.text import keyword_hit
 from sluice.operators.sessions import numbered_attempts
-from sluice.session import scratch_path
+from sluice.session import scratch_path, spread, stored
 from sluice.sources.prompts import normalise, read_table
 
 # Parameters of the views (the texts of the test tables are invented prose).
@@ -61,15 +61,15 @@ def judged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged events numbered within their session."""
+    """Judged events numbered within their session: a table of its own, as a router writes it."""
     rows = judged_events(spark, sf_dir).select(
         "sample_id", "position", "ts", "session_id", "label", "router_score", "llm_prediction", "audited"
     )
-    return numbered_attempts(rows, "session_id", ["ts", "position"])
+    return stored(numbered_attempts(rows, "session_id", ["ts", "position"]), "attempts")
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left")
 
 

@@ -53,6 +53,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of few files over the cores before heavy work on each row.
+
+    A table with at least one input split per core is left alone, so a large table is
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 SMALL_ROWS = 100_000
 
 
