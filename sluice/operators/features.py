@@ -96,9 +96,13 @@ def fit_tfidf(
     min_df: int = 2,
     max_features: int = 300_000,
 ) -> DataFrame:
-    """Weights of a corpus under its own vocabulary."""
+    """Weights of a corpus under its own vocabulary.
+
+    The postings are written once; cutting the texts up is the expensive part, and both
+    the vocabulary and the weights need them.
+    """
     cut = word_postings if analyzer == "word" else char_postings
-    postings = cut(df, id_col, text)
+    postings = stored(cut(df, id_col, text), "postings")
     n_docs = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     return tfidf(postings, vocabulary(postings, min_df, max_features), n_docs, id_col)
 

@@ -100,10 +100,19 @@ class Detector:
         return Detector(name, PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/thresholds"))
 
 
-def validated(model: PipelineModel, validation: DataFrame) -> DataFrame:
-    """Operating points on validation rows, materialised: they are a handful of rows."""
-    curve = th.metric_curve(positive_score(model, validation.select("sample_id", "label", "features")))
-    return stored(th.threshold_set(curve), "thresholds")
+def validated(models: dict[float, PipelineModel], validation: DataFrame) -> DataFrame:
+    """Operating points of every candidate on validation rows, materialised.
+
+    All candidates are scored into one long table, so their curves are one job; the result
+    is a handful of rows per candidate.
+    """
+    rows = validation.select("sample_id", "label", "features")
+    scored = None
+    for c, model in models.items():
+        part = positive_score(model, rows).select(F.lit(float(c)).alias("candidate"), "label", "router_score")
+        scored = part if scored is None else scored.unionByName(part)
+    curve = th.metric_curve(stored(scored, "scored"), ["candidate"])
+    return stored(th.threshold_set(curve, ["candidate"]), "thresholds")
 
 
 def _logreg(c: float, weight_sum: float, max_iter: int, features: str = "features") -> LogisticRegression:
@@ -138,16 +147,16 @@ def fit_logreg_grid(
         stages = [scaler.fit(weighted)]
         weighted, column = stages[0].transform(weighted), "scaled"
     weight_sum = float(weighted.agg(F.sum("weight")).first()[0])
-    best, candidates = None, []
-    for c in c_values:
-        model = PipelineModel([*stages, _logreg(c, weight_sum, max_iter, column).fit(weighted)])
-        points = validated(model, validation)
-        top = points.filter("policy = 'best_f1'").select("f1", "recall").first()
-        candidates.append({"C": c, "best_f1": top["f1"], "recall": top["recall"]})
-        rank = (top["f1"], top["recall"])
-        if best is None or rank > best[0]:
-            best = (rank, c, model, points)
-    return Detector(name, best[2], best[3], best[1], candidates)
+    models = {
+        float(c): PipelineModel([*stages, _logreg(c, weight_sum, max_iter, column).fit(weighted)]) for c in c_values
+    }
+    points = validated(models, validation)
+    tops = points.filter("policy = 'best_f1'").select("candidate", "f1", "recall").collect()
+    ranks = {row["candidate"]: (row["f1"], row["recall"]) for row in tops}
+    best = max(models, key=lambda c: ranks[c])
+    candidates = [{"C": c, "best_f1": ranks[c][0], "recall": ranks[c][1]} for c in models]
+    chosen = points.filter(F.col("candidate") == best).drop("candidate")
+    return Detector(name, models[best], chosen, best, candidates)
 
 
 def fit_forest(
@@ -162,7 +171,7 @@ def fit_forest(
         numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed
     )
     model = PipelineModel([forest.fit(with_class_weights(train))])
-    return Detector(name, model, validated(model, validation))
+    return Detector(name, model, validated({0.0: model}, validation).drop("candidate"))
 
 
 def coefficient_table(detector: Detector, indexed: DataFrame) -> tuple[DataFrame, float]:

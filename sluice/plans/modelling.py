@@ -76,10 +76,9 @@ def feature_concat(spark, d):
 COEFFICIENTS = f"""coef AS (SELECT term, ({q.bucket("term || ':coef'")} - 0.5) * 4 AS coefficient FROM wt_vocab)"""
 
 
-def coefficients(docs):
-    vocab = fe.vocabulary(fe.word_postings(docs))
+def coefficients(terms):
     weight = (unit_bucket(F.concat(F.col("term"), F.lit(":coef"))) - 0.5) * 4.0
-    return vocab.select("term", weight.alias("coefficient"))
+    return terms.select("term", weight.alias("coefficient"))
 
 
 @query(
@@ -91,7 +90,8 @@ FROM judged_docs d LEFT JOIN wt ON wt.sample_id = d.sample_id LEFT JOIN coef ON
 )
 def linear_score(spark, d):
     docs = fx.judged_docs(spark, d)
-    return fe.linear_score(fe.fit_tfidf(docs), coefficients(docs), -0.25, docs)
+    weights = stored(fe.fit_tfidf(docs), "weights")
+    return fe.linear_score(weights, coefficients(weights.select("term").distinct()), -0.25, docs)
 
 
 BLOCKED = " AND ".join(f"NOT contains(term, '{b}')" for b in lx.BLOCKED_TERMS)
@@ -104,7 +104,8 @@ BLOCKED = " AND ".join(f"NOT contains(term, '{b}')" for b in lx.BLOCKED_TERMS)
 WHERE length(term) >= 3 AND NOT regexp_matches(term, '[^\\p{{L}}\\p{{N}}\\s]') AND {BLOCKED} ORDER BY coefficient, term LIMIT 120""",
 )
 def lexicon_top(spark, d):
-    return fe.benign_lexicon(coefficients(fx.judged_docs(spark, d)))
+    postings = stored(fe.word_postings(fx.judged_docs(spark, d)), "postings")
+    return fe.benign_lexicon(coefficients(fe.vocabulary(postings)))
 
 
 FIT = "detector:s selected_c:f family:s policy:s tau:f n:i positives:i f1:f recall:f bypass_count:i false_bypass_count:i"
