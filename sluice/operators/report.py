@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+
+@pandas_udf(StringType())
+def _fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
+    """Fixed decimals by the exact binary value, for the few rows of a report."""
+    return pd.Series([None if pd.isna(v) else f"{v:.{int(d)}f}" for v, d in zip(value, digits)], dtype=object)
 
 
 def number(value: Column, digits: int = 3) -> Column:
     """Fixed decimals; ``--`` for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("--"))
+    return F.coalesce(_fixed(value.cast("double"), F.lit(digits)), F.lit("--"))
 
 
 def percent(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("--")).otherwise(F.format_string("%.1f%%", value * 100.0))
+    return F.coalesce(F.concat(_fixed(value.cast("double") * 100.0, F.lit(1)), F.lit("%")), F.lit("--"))
 
 
 def confusion_text() -> Column:

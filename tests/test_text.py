@@ -174,3 +174,12 @@ def test_alignment_guards(spark):
         jo.replace_scores(
             good.withColumn("router_score", F.lit(0.1)), good.filter("label = 5").withColumn("router_score", F.lit(0.2))
         ).collect()
+
+
+def test_report_numbers_round_like_python(spark):
+    from sluice.operators import report as rp
+
+    values = [0.8625, 0.0005, 0.9995, 1.0, 0.0, 0.5, 0.12345, 2 / 3]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = [tuple(r) for r in df.select(rp.number(F.col("v")), rp.percent(F.col("v"))).collect()]
+    assert got == [(f"{v:.3f}", f"{100 * v:.1f}%") for v in values] + [("--", "--")]
