@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from sluice.functions.hashing import hash_cell, sample_order
 from sluice.operators.prefix import ranked
+from sluice.session import join_small
 
 Size = int | Column | Callable[[Column], Column]
 
@@ -55,7 +56,7 @@ def hash_sample(
         )
     )
     if groups:
-        placed = keyed.join(cut, groups)
+        placed = join_small(keyed, cut, groups)
     else:
         edge = cut.select(F.struct("_edge", "_room")).scalar()
         placed = keyed.withColumn("_cut", edge).withColumns(

@@ -11,6 +11,7 @@ from sluice.functions import lexicons as lx
 from sluice.functions.hashing import audit_flag
 from sluice.functions.rates import ratio
 from sluice.operators.prefix import ranked
+from sluice.session import join_hot
 
 
 def numbered_attempts(df: DataFrame, session: str, order: Sequence[str], name: str = "attempt_no") -> DataFrame:
@@ -36,18 +37,21 @@ def first_catches(df: DataFrame, hit: Column, session: str, attempt: str) -> Dat
     return df.filter(hit).groupBy(session).agg(F.min(attempt).alias("first_catch"))
 
 
+def flag_after(df: DataFrame, catches: DataFrame, session: str = "session_id", attempt: str = "attempt_no") -> DataFrame:
+    """Append ``quarantined``: the attempt comes after the session's first catch."""
+    joined = join_hot(df, catches, [session])
+    after = F.coalesce(F.col(attempt) > F.col("first_catch"), F.lit(False))
+    return joined.withColumn("quarantined", after).drop("first_catch")
+
+
 def with_quarantine(df: DataFrame, hit: Column, session: str = "session_id", attempt: str = "attempt_no") -> DataFrame:
     """Append ``quarantined``: an earlier attempt of the session was caught.
 
     The first catch fixes the state for good, so the running state equals a comparison
-    with one number per session.  That needs no ordered pass over a session; the join may
-    be split by adaptive skew handling when a session is hot.
+    with one number per session.  That needs no ordered pass over a session, and the join
+    keeps the rows of hot sessions where they are.
     """
-    catches = first_catches(df, hit, session, attempt)
-    joined = df.join(catches, session, "left")
-    return joined.withColumn(
-        "quarantined", F.coalesce(F.col(attempt) > F.col("first_catch"), F.lit(False))
-    )
+    return flag_after(df, first_catches(df, hit, session, attempt), session, attempt)
 
 
 def session_outcomes(

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "sluice", memory: str = "8g
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -69,14 +70,30 @@ SMALL_ROWS = 100_000
 def join_small(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Bring a per-group table (thresholds, limits) to the rows of a large table.
 
-    The small side is written once and counted: up to ``SMALL_ROWS`` rows it is broadcast,
-    so a hot group does not send its rows to one task; beyond that it is a plain join, in
-    which adaptive execution may split hot groups.
+    The small side is written once and counted: up to ``SMALL_ROWS`` rows it is broadcast;
+    beyond that the join treats hot groups apart.  Rows of groups without an entry go.
     """
     kept = stored(small, "per-group")
     if kept.count() <= SMALL_ROWS:
-        kept = F.broadcast(kept)
-    return df.join(kept, keys)
+        return df.join(F.broadcast(kept), keys)
+    return join_hot(df, kept.withColumn("_kept", F.lit(True)), keys).filter("_kept").drop("_kept")
+
+
+def join_hot(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of rows to a table with one row per key, when a key may hold most rows.
+
+    A key with more than its share of rows (one in four per shuffle partition) counts as
+    hot; by that share there are fewer hot keys than four per partition, which bounds what
+    is broadcast.  Hot rows stay where they are, and the others meet the table in a plain
+    join, where no key is large.
+    """
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = stored(counts.filter(F.col("_n") * parts > total).select(*keys), "hot-keys")
+    entries = hot.join(table, keys, "left")
+    others = df.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
+    return df.join(F.broadcast(entries), keys).unionByName(others)
 
 
 def range_count(spark: SparkSession) -> int:

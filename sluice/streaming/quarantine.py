@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sluice.operators.sessions import caught, first_catches
+from sluice.operators.sessions import caught, first_catches, flag_after
 from sluice.streaming.run import drain_batches
 
 STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
@@ -57,8 +57,8 @@ def run_quarantine(stream: DataFrame, tau: float, path: str) -> None:
     """Flag every attempt against the catches known so far, batch by batch.
 
     Each batch adds its own first catches to a table in the shared folder, then joins its
-    rows to all of them; the join can be split when a session is hot.  Attempts that
-    arrive after later ones of their session are judged against what is known then.
+    rows to all of them, hot sessions apart.  Attempts that arrive after later ones of
+    their session are judged against what is known then.
     """
     hit = caught(F.col("router_score"), tau, F.col("audited"), F.col("llm_prediction"))
 
@@ -72,9 +72,6 @@ def run_quarantine(stream: DataFrame, tau: float, path: str) -> None:
             .groupBy("session_id")
             .agg(F.min("first_catch").alias("first_catch"))
         )
-        flagged = batch.join(known, "session_id", "left").withColumn(
-            "quarantined", F.coalesce(F.col("attempt_no") > F.col("first_catch"), F.lit(False))
-        )
-        flagged.drop("first_catch").write.mode("overwrite").parquet(f"{path}/flagged/batch={number}")
+        flag_after(batch, known).write.mode("overwrite").parquet(f"{path}/flagged/batch={number}")
 
     drain_batches(stream, handle, path)

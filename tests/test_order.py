@@ -137,3 +137,25 @@ def test_drawn_padding_is_shared_or_per_row(spark):
     assert len(shared) == 1 and len(set(shared[0]["p"].split())) == 5
     own = df.select(sa.drawn_padding(terms, 5, 1, "sample_id").alias("p")).distinct().count()
     assert own > 20
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_join_with_hot_keys(spark, hot):
+    from sluice.session import join_hot
+
+    pdf = skewed() if hot else pd.DataFrame({"id": range(3000), "g": [f"g{i}" for i in range(3000)], "v": 0.0})
+    df = spark.createDataFrame(pdf)
+    table = pd.DataFrame({"g": ["hot", "g1", "g2", "none"], "w": [1, 2, 3, 4]})
+    got = join_hot(df, spark.createDataFrame(table), ["g"]).toPandas().sort_values("id")
+    want = pdf.merge(table, on="g", how="left").sort_values("id")
+    assert list(got.id) == list(want.id) and got.w.fillna(0).tolist() == want.w.fillna(0).tolist()
+
+
+def test_join_small_beyond_its_limit(spark, monkeypatch):
+    from sluice import session
+
+    df = spark.createDataFrame(skewed())
+    table = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, w int")
+    small = sorted(session.join_small(df, table, ["g"]).select("id", "w").collect())
+    monkeypatch.setattr(session, "SMALL_ROWS", 1)
+    assert sorted(session.join_small(df, table, ["g"]).select("id", "w").collect()) == small
