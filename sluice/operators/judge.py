@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.hashing import audit_flag
 from sluice.functions.text import truncate
 
 JUDGE_CHARS = 2400
@@ -68,6 +69,31 @@ def judge_rows(
     return texts.mapInPandas(run, JUDGED)
 
 
+def run_cascade(
+    df: DataFrame,
+    judge: Judge,
+    tau: float,
+    audit_rate: float = 0.0,
+    audit_seed: int = 0,
+    retries: int = 3,
+    max_chars: int = JUDGE_CHARS,
+    calls: int | None = None,
+) -> DataFrame:
+    """The deployed form: only rows above tau, and audited ones, reach the judge.
+
+    Returns id, score, route and prediction; bypassed rows predict 0.  (``judge_rows`` on all
+    rows is the evaluation form, which can be scored at any tau afterwards.)
+    """
+    bypass = F.col("router_score") <= tau
+    drawn = audit_flag(F.col("sample_id"), audit_rate, audit_seed)
+    route = F.when(~bypass, "judge").when(drawn, "audit").otherwise("bypass")
+    routed = df.withColumn("route", route)
+    answers = judge_rows(routed.filter("route <> 'bypass'"), judge, retries, max_chars, calls)
+    kept = routed.select("sample_id", "router_score", "route")
+    joined = kept.join(answers.select("sample_id", "llm_prediction", "error"), "sample_id", "left")
+    return joined.withColumn("prediction", F.when(F.col("route") == "bypass", 0).otherwise(F.col("llm_prediction")))
+
+
 def embed_rows(
     df: DataFrame, embedder: Embedder, batch: int = 128, max_chars: int = EMBED_CHARS, calls: int | None = None
 ) -> DataFrame:

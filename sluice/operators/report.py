@@ -62,13 +62,34 @@ def policy_rows(figures: DataFrame, section: str, name: Column, triggers: Column
     )
 
 
+def note_rows(figures: DataFrame, section: str, name: Column, reduction: Column | None, note: Column) -> DataFrame:
+    """Rows whose message is a short text: gates, audits, sessions, error categories."""
+    dash = F.lit("--")
+    return figures.select(
+        F.lit(section).alias("section"),
+        name.alias("name"),
+        *[dash.alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "confusion")],
+        (dash if reduction is None else percent(reduction)).alias("call_reduction"),
+        *[dash.alias(c) for c in ("call_rate", "triggers", "false_bypass")],
+        note.alias("note"),
+    )
+
+
+def caught_text(caught: Column, total: Column, miss_rate: Column) -> Column:
+    """``caught/total, p% missed``."""
+    return F.concat(
+        caught.cast("string"), F.lit("/"), total.cast("string"), F.lit(", "), percent(miss_rate), F.lit(" missed")
+    )
+
+
 def report_table(parts: dict[str, DataFrame | None]) -> tuple[DataFrame, list[str]]:
     """Stack the sections that exist; the names of missing ones are returned, not hidden."""
     present = [p for p in parts.values() if p is not None]
     missing = [name for name, p in parts.items() if p is None]
     if not present:
         raise ValueError("no report section has any input")
-    table = present[0]
-    for part in present[1:]:
+    full = [p if "note" in p.columns else p.withColumn("note", F.lit("--")) for p in present]
+    table = full[0]
+    for part in full[1:]:
         table = table.unionByName(part)
     return table, missing

@@ -42,11 +42,13 @@ def cp_upper(spark, d):
     return ca.router_only(fx.judged_events(spark, d), TAU, ["stream"])
 
 
-# k such that the binomial tail at epsilon stays within alpha, by listing every candidate k.
+# The bound is above the observed rate, so an allowed k is below positives * epsilon; all of
+# those are listed and the largest whose binomial tail at epsilon stays within alpha is kept.
 ALLOWED = f"""allowed AS (
   SELECT {{key}}, positives, coalesce(max(k), -1) AS max_allowed FROM (
-    SELECT p.{{key}}, p.positives, r.k, {q.binomial_cdf('r.k', 'p.positives', str(EPS))} AS cdf
-    FROM {{source}} p, range(0, 60) r(k) WHERE r.k < p.positives) WHERE cdf <= {ALPHA} GROUP BY {{key}}, positives
+    SELECT {{key}}, positives, k, {q.binomial_cdf('k', 'positives', str(EPS))} AS cdf
+    FROM (SELECT {{key}}, positives, unnest(range(0, CAST(floor(positives * {EPS}) AS BIGINT) + 1)) AS k FROM {{source}})
+    WHERE k < positives) WHERE cdf <= {ALPHA} GROUP BY {{key}}, positives
   UNION ALL
   SELECT {{key}}, positives, -1 FROM {{source}}
   WHERE positives = 0 OR {q.binomial_cdf('0', 'positives', str(EPS))} > {ALPHA})"""
@@ -65,8 +67,9 @@ def max_allowed_fb(spark, d):
     "min_positives",
     "stream:s false_bypass_count:i positives_needed:i",
     f"""WITH {q.EVENTS}, b AS (SELECT stream, {BYPASS.format(t=0.005)} FROM judged_events GROUP BY stream),
-s AS (SELECT stream, false_bypass_count, m.n, {q.binomial_cdf('false_bypass_count', 'm.n', str(EPS))} AS cdf
-  FROM b, range(1, 12000) m(n) WHERE m.n > false_bypass_count)
+c AS (
+  SELECT stream, false_bypass_count, unnest(range(false_bypass_count + 1, CAST((2 * false_bypass_count + 10) / {EPS} AS BIGINT))) AS n FROM b),
+s AS (SELECT stream, false_bypass_count, n, {q.binomial_cdf('false_bypass_count', 'n', str(EPS))} AS cdf FROM c)
 SELECT stream, false_bypass_count, min(n) AS positives_needed FROM s WHERE cdf <= {ALPHA} GROUP BY ALL""",
 )
 def min_positives(spark, d):

@@ -8,11 +8,15 @@ from sluice.operators import monitor as mo
 from sluice.operators import policy as po
 from sluice.operators import quality as qu
 from sluice.operators import report as rp
+from sluice.operators import sampling as sa
 from sluice.plans import fixtures as fx
 from sluice.plans import sql as q
+from sluice.plans.attempts import OUTCOME, session_summary, summary_side
+from sluice.plans.gating import GATE_ROWS, gate_eval, gate_sql
 from sluice.plans.policies import POLICY_SQL, failsafe_sql
 from sluice.plans.registry import query
-from sluice.session import scratch_path
+from sluice.plans.texts import CATEGORY, error_categories
+from sluice.session import scratch_path, stored
 from sluice.sources import judged as js
 from sluice.sources import vectors as ve
 
@@ -100,6 +104,18 @@ def judge_batch(spark, d):
     return ju.judge_rows(fx.judged_docs(spark, d), ju.rule_judge)
 
 
+@query(
+    "cascade_run",
+    "sample_id:s route:s prediction:i",
+    f"""WITH {q.DOCS}, r AS (
+  SELECT *, CASE WHEN router_score > 0.4 THEN 'judge' WHEN {q.bucket("sample_id || ':audit:0'")} < 0.05 THEN 'audit' ELSE 'bypass' END AS route
+  FROM judged_docs)
+SELECT sample_id, route, CASE WHEN route = 'bypass' THEN 0 ELSE CAST(contains(substr(prompt, 1, 2400), '?') AS INTEGER) END AS prediction FROM r""",
+)
+def cascade_run(spark, d):
+    return ju.run_cascade(fx.judged_docs(spark, d), ju.rule_judge, 0.4, 0.05)
+
+
 @query(
     "embed_batch",
     "sample_id:s chars:f spaces:f dim:i",
@@ -195,6 +211,7 @@ def shown(column: str) -> str:
     return f"printf('%.1f%%', {column} * 100.0)"
 
 
+DASHES = ", ".join(["'--'"] * 6)
 QUALITY = ", ".join(fixed(c) for c in ("accuracy", '"precision"', "recall", "specificity", "f1"))
 CELLS = "concat_ws('/', tn, fp, fn, tp) AS confusion"
 FB = f"CASE WHEN false_bypass_rate IS NULL THEN '--' ELSE false_bypass_count || ' (' || {shown('false_bypass_rate')} || ')' END AS false_bypass"
@@ -202,26 +219,57 @@ FB = f"CASE WHEN false_bypass_rate IS NULL THEN '--' ELSE false_bypass_count ||
 
 @query(
     "report_table",
-    "section:s name:s accuracy:s precision:s recall:s specificity:s f1:s confusion:s call_reduction:s call_rate:s triggers:s false_bypass:s",
-    f"""SELECT 'judge' AS section, stream AS name, {QUALITY}, {CELLS}, '--' AS call_reduction, '--' AS call_rate, '--' AS triggers, '--' AS false_bypass
+    "section:s name:s accuracy:s precision:s recall:s specificity:s f1:s confusion:s call_reduction:s call_rate:s triggers:s false_bypass:s note:s",
+    f"""SELECT 'judge' AS section, stream AS name, {QUALITY}, {CELLS}, '--' AS call_reduction, '--' AS call_rate, '--' AS triggers, '--' AS false_bypass, '--' AS note
 FROM ({POLICY_SQL.format(tau=-1)})
 UNION ALL
-SELECT 'cascade', stream || ' at ' || {TAU}, {QUALITY}, {CELLS}, {shown('cost_reduction')}, {shown('call_rate')}, 'off', {FB}
+SELECT 'cascade', stream || ' at ' || {TAU}, {QUALITY}, {CELLS}, {shown('cost_reduction')}, {shown('call_rate')}, 'off', {FB}, '--'
 FROM ({POLICY_SQL.format(tau=TAU)})
 UNION ALL
-SELECT 'monitor', stream || ' ' || policy, {QUALITY}, {CELLS}, {shown('cost_reduction')}, {shown('call_rate')}, triggers, {FB}
-FROM ({failsafe_sql('judged_events', q.EVENTS, TAU)})""",
+SELECT 'monitor', stream || ' ' || policy, {QUALITY}, {CELLS}, {shown('cost_reduction')}, {shown('call_rate')}, triggers, {FB}, '--'
+FROM ({failsafe_sql('judged_events', q.EVENTS, TAU)})
+UNION ALL
+SELECT 'gates', gate, {DASHES}, {shown('cost_reduction')}, '--', '--', '--',
+  adaptive_caught || '/' || adaptive_total || ', ' || {shown('adaptive_e2e_fn_rate')} || ' missed, ' || {shown('extra_escalation_rate')} || ' extra'
+FROM (WITH {q.PLANTED}, rows_g AS ({GATE_ROWS}), {gate_sql('rows_g')})
+UNION ALL
+SELECT 'sessions', policy, {DASHES}, '--', '--', '--', '--',
+  {shown('mean_fn_rate')} || ' missed, ' || {shown('quarantine_rate')} || ' quarantined'
+FROM (WITH {OUTCOME} {summary_side('audit_only')} UNION ALL {summary_side('quarantine')})
+UNION ALL
+SELECT 'missed', lang, {DASHES}, '--', '--', '--', '--', string_agg(category || ': ' || n, '; ' ORDER BY n DESC, category)
+FROM (WITH {q.PLANTED} SELECT lang, category, count(*) AS n FROM (
+  SELECT lang, {CATEGORY} AS category FROM planted_docs WHERE label = 1 AND llm_prediction = 0) GROUP BY lang, category
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, category) <= 3) GROUP BY lang""",
 )
 def report_table(spark, d):
+    # The report reads finished metric tables, as it does in operation.
     rows = fx.judged_events(spark, d)
     judge_only = qu.confusion(rows, F.col("llm_prediction"), ["stream"])
     cascade = po.evaluate_policy(rows, TAU, ["stream"])
-    watched = mo.shift_failsafe(rows, TAU)
+    watched = stored(mo.shift_failsafe(rows, TAU), "watched")
+    gates = stored(gate_eval(spark, d), "gates")
+    gate_note = F.concat(
+        rp.caught_text(F.col("adaptive_caught"), F.col("adaptive_total"), F.col("adaptive_e2e_fn_rate")),
+        F.lit(", "), rp.percent(F.col("extra_escalation_rate")), F.lit(" extra"),
+    )
+    sessions = stored(session_summary(spark, d), "sessions")
+    session_note = F.concat(
+        rp.percent(F.col("mean_fn_rate")), F.lit(" missed, "), rp.percent(F.col("quarantine_rate")), F.lit(" quarantined")
+    )
+    counts = stored(error_categories(spark, d), "categories")
+    top = sa.top_per_group(counts, 3, ["lang"], [F.col("n").desc(), F.col("category")])
+    line = F.struct("place", F.concat(F.col("category"), F.lit(": "), F.col("n").cast("string")).alias("t"))
+    missed = top.groupBy("lang").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    missed_note = F.array_join(F.transform("lines", lambda x: x["t"]), "; ")
     table, _ = rp.report_table(
         {
             "judge": rp.metric_rows(judge_only, "judge", F.col("stream")),
             "cascade": rp.policy_rows(cascade, "cascade", F.concat(F.col("stream"), F.lit(f" at {TAU}"))),
             "monitor": rp.policy_rows(watched, "monitor", F.concat_ws(" ", "stream", "policy"), F.col("triggers")),
+            "gates": rp.note_rows(gates, "gates", F.col("gate"), F.col("cost_reduction"), gate_note),
+            "sessions": rp.note_rows(sessions, "sessions", F.col("policy"), None, session_note),
+            "missed": rp.note_rows(missed, "missed", F.col("lang"), None, missed_note),
             "embedding": None,
         }
     )
