@@ -5,7 +5,8 @@
    prefixes; any fixed order gives the same result, a good one gives few candidates.
 3. Two sets with Jaccard similarity t or more share a shingle in their prefixes of n - ceil(t n) + 1.
    Classes with equal prefix and size form one group; only groups are indexed by prefix shingles.
-4. Pairs of groups that share a shingle pass the size and position bounds, expand to their members,
+4. Pairs of groups that share a shingle pass the size bound and either the bound on the number of
+   common prefix shingles (rare shingles) or the position bound (common ones), expand to their members,
    pass a bitmap bound on the symmetric difference, and are verified on the full sets.
 
 A shingle in few groups yields all its pairs.  One in many groups first yields only the pairs of one
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,10 @@ def shingle_levels(texts: DataFrame, k: int) -> np.ndarray:
                 total[places] += times
         return total
 
-    seen = counters(texts, count, size)
-    return np.round(8 * np.log2(np.maximum(seen, 1))).clip(0, 255).astype(np.uint8)
+    def level(seen: np.ndarray) -> np.ndarray:
+        return np.round(8 * np.log2(np.maximum(seen, 1))).clip(0, 255)
+
+    return counters(texts, count, size, level, np.uint8)
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -97,7 +101,9 @@ class JaccardJoin:
         """
         scratch = Scratch(docs.sparkSession, "jaccard")
         rows = docs.select(F.xxhash64(*keys).alias("_key"), *keys, F.col(text).alias("_text"))
-        signatures = scratch.put(self._signatures(rows, keys), "signatures")
+        levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows.select("_text"), self.k))
+        signatures = scratch.put(self._signatures(rows, keys, levels), "signatures")
+        levels.unpersist()
         members = scratch.put(
             signatures.filter("n > 0").drop(*keys).dropDuplicates(["sig"]), "classes"
         )
@@ -108,8 +114,7 @@ class JaccardJoin:
             .select(*keys, "n_shingles", F.coalesce("root", "sig").alias("component"))
         )
 
-    def _signatures(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        levels = rows.sparkSession.sparkContext.broadcast(shingle_levels(rows.select("_text"), self.k))
+    def _signatures(self, rows: DataFrame, keys: list[str], levels: Broadcast) -> DataFrame:
         k, percent = self.k, self.percent
         shift = np.uint64(64 - SKETCH_BITS)
 
@@ -162,8 +167,8 @@ class JaccardJoin:
                 F.col("gid").alias("item"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("root")
             )
             last = step >= ROUNDS
-            group_pairs, cross = self._round(cross, by_group, budget, last, step, scratch)
-            own_pairs, inner = self._round(inner, rooted.select(F.col("sig").alias("item"), "root"), budget, last, step, scratch)
+            group_pairs, cross = self._round(cross, by_group, budget, last, step, step == 0, scratch)
+            own_pairs, inner = self._round(inner, rooted.select(F.col("sig").alias("item"), "root"), budget, last, step, False, scratch)
             if group_pairs is None and own_pairs is None:
                 return labels
             one = members.join(labels.withColumnRenamed("item", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -181,7 +186,7 @@ class JaccardJoin:
                 labels = scratch.put(components(links, scratch), "labels")
 
     def _round(
-        self, state: DataFrame, roots: DataFrame, budget: int, last: bool, step: int, scratch: Scratch
+        self, state: DataFrame, roots: DataFrame, budget: int, last: bool, step: int, counted: bool, scratch: Scratch
     ) -> tuple[DataFrame | None, DataFrame]:
         """Pairs of items to look at next, and the buckets that still hold others."""
         state = state.select("key", "item", "n", "pos").join(roots, "item", "left")
@@ -198,18 +203,15 @@ class JaccardJoin:
         reach = (100 + self.percent) * (F.col("n") - F.col("pos")) * 100 >= self.percent * (
             F.col("n") * 100 + F.greatest(F.col("least_n") * 100, F.col("n") * self.percent)
         )
-        state = scratch.put(state.join(open_keys, "key").filter(reach), "open")
+        state = scratch.put(state.join(open_keys, "key").withColumn("reach", reach), "open")
         weight = state.agg(F.sum(F.when(F.col("size") > SMALL, F.col("apart") / F.col("size")).otherwise(0)).alias("w"), F.count(F.lit(1)).alias("n")).first()
         if not weight.n:
             return None, state
-        whole = last or (weight.w or 0) <= budget
-        some = state if whole else state.filter(F.col("size") <= SMALL)
-        left = self._named(some, "a")
-        pairs = left.join(self._named(some, "b"), (F.col("a_key") == F.col("b_key")) & (F.col("a_item") < F.col("b_item")) & self._may_link())
-        if whole:
-            rest = state.limit(0)
+        small, large = state.filter(F.col("size") <= SMALL), state.filter((F.col("size") > SMALL) & F.col("reach"))
+        pairs = self._counted(state, small) if counted else self._all_pairs(small.filter("reach"))
+        if last or (weight.w or 0) <= budget:
+            pairs, rest = pairs.union(self._all_pairs(large)), state.limit(0)
         else:
-            large = state.filter(F.col("size") > SMALL)
             chosen = large.groupBy("key").agg(
                 F.min_by(F.struct("key", "item", "n", "pos", "root"), F.struct("pos", F.xxhash64("item", F.lit(step)))).alias("p")
             ).select("p.*")
@@ -217,12 +219,36 @@ class JaccardJoin:
             pivoted = self._named(large, "a").join(
                 self._named(chosen, "b"), (F.col("a_key") == F.col("b_key")) & (F.col("a_item") != F.col("b_item")) & self._may_link()
             )
-            pairs = pairs.union(pivoted)
+            pairs = pairs.union(pivoted.select("a_item", "b_item"))
             rest = scratch.put(large.join(chosen.select("key", "item"), ["key", "item"], "left_anti"), "rest")
-        out = pairs.select(
-            F.least("a_item", "b_item").alias("a"), F.greatest("a_item", "b_item").alias("b")
-        ).distinct()
-        return out, rest
+        return pairs.select(F.least("a_item", "b_item").alias("a"), F.greatest("a_item", "b_item").alias("b")).distinct(), rest
+
+    def _all_pairs(self, state: DataFrame) -> DataFrame:
+        """Pairs of items in one bucket that pass the size and position bounds."""
+        together = (F.col("a_key") == F.col("b_key")) & (F.col("a_item") < F.col("b_item"))
+        return self._named(state, "a").join(self._named(state, "b"), together & self._may_link()).select("a_item", "b_item")
+
+    def _counted(self, state: DataFrame, small: DataFrame) -> DataFrame:
+        """Pairs of items with enough common prefix shingles.
+
+        What two sets share is at most: the common shingles of their prefixes, counted here over the
+        small buckets, plus the fewer prefix shingles of the two that lie in large buckets, plus what
+        follows the prefix in the one set whose prefix ends first.
+        """
+        load = state.filter(F.col("size") > SMALL).groupBy("item", "n").agg(F.count(F.lit(1)).alias("load"))
+        loaded = small.join(load, ["item", "n"], "left").select("key", "item", "n", F.coalesce("load", F.lit(0)).alias("load"))
+        one, two = (loaded.select(*(F.col(c).alias(f"{side}_{c}") for c in loaded.columns)) for side in "ab")
+        together = (F.col("a_key") == F.col("b_key")) & (F.col("a_item") < F.col("b_item"))
+        sizes = 100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")
+        after = [F.ceil(self.percent * F.col(n) / 100) - 1 for n in ("a_n", "b_n")]
+        most = F.col("c") + F.least("a_load", "b_load") + F.greatest(*after)
+        return (
+            one.join(two, together & sizes)
+            .groupBy("a_item", "b_item", "a_n", "b_n", "a_load", "b_load")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .filter((100 + self.percent) * most >= self.percent * (F.col("a_n") + F.col("b_n")))
+            .select("a_item", "b_item")
+        )
 
     @staticmethod
     def _named(state: DataFrame, side: str) -> DataFrame:
@@ -260,12 +286,12 @@ class JaccardJoin:
         size = 1 << SIEVE_BITS
 
         def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros(size, np.int64)
+            total = np.zeros(size, np.uint8)
             for batch in batches:
                 total[mix(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64) & (size - 1)] = 1
             return total
 
-        sieve = rows.sparkSession.sparkContext.broadcast(np.packbits(counters(wanted.select("_key"), mark, size) > 0))
+        sieve = rows.sparkSession.sparkContext.broadcast(np.packbits(counters(wanted.select("_key"), mark, size, kind=np.bool_)))
         k = self.k
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +303,8 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([part.column("_key").slice(low, len(sets)), digests, lists(sets)], ["_key", "sig", "tokens"])
 
         read_sets = rows.select("_key", "_text").mapInArrow(read, "_key long, sig binary, tokens array<long>")
-        sets = scratch.put(read_sets.join(wanted, ["sig", "_key"]).select("sig", "tokens"), "sets")
+        sets = scratch.put(read_sets.select("sig", "tokens"), "sets")
+        sieve.unpersist()
         percent = self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
