@@ -67,11 +67,12 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
 
 
-def counters(df: DataFrame, count: Callable, size: int) -> np.ndarray:
+def counters(df: DataFrame, count: Callable, size: int, finish: Callable = np.asarray, kind: type = np.int64) -> np.ndarray:
     """Sum arrays of ``size`` counters over all rows; ``count`` turns a partition into one array.
 
     Each task sends its counters once, packed and cut in chunks; chunks are added up as they stream
-    in.  The driver receives ``size`` numbers, whatever the input.
+    in.  The driver receives ``size`` numbers, whatever the input, and keeps what ``finish`` makes of
+    them, chunk by chunk, as an array of ``kind``.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +81,9 @@ def counters(df: DataFrame, count: Callable, size: int) -> np.ndarray:
     chunks = -(-size // CHUNK)
     partial = df.mapInArrow(each, COUNTER_SCHEMA)
     summed = partial.repartition(min(chunks, 64), "chunk").mapInArrow(_sum_chunks, COUNTER_SCHEMA)
-    out = np.zeros(chunks * CHUNK, np.int64)
-    for row in summed.collect():  # at most size / CHUNK rows
-        part = unpacked(row.counts)
+    out = np.full(chunks * CHUNK, finish(np.zeros(1, np.int64))[0], kind)
+    for row in summed.toLocalIterator():  # at most size / CHUNK rows
+        part = finish(unpacked(row.counts))
         out[row.chunk * CHUNK : row.chunk * CHUNK + len(part)] = part
     return out[:size]
 

@@ -117,6 +117,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     if column.null_count:
         column = pc.fill_null(column, "")
     n = len(column)
+    if not n:
+        return
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, places, body = column.buffers()
     offsets = np.frombuffer(places, kind)[column.offset : column.offset + n + 1].astype(np.int64)
