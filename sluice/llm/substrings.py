@@ -88,13 +88,13 @@ class SubstringDedup:
         shared = scratch.put(shared, "anchors")
         places = shared.groupBy("_row").agg(F.sort_array(F.collect_set("pos")).alias("places"))
         windows = rows.join(places, "_row").select("_row", rank, "_text", "places").mapInArrow(
-            self._windows, "_row long, rank long, pos int, hash long"
+            self._windows, "_row long, rank long, pos array<int>, hash long"
         )
         repeated = (
             windows.withColumn("least", F.min("rank").over(same))
             .filter("least < rank")
             .groupBy("_row")
-            .agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+            .agg(F.flatten(F.collect_list("pos")).alias("starts"))
         )
         whole = copies.select("_row", F.array(F.lit(-1)).alias("starts"))
         told = rows.join(repeated.unionByName(whole), "_row", "left").select("_id", "_text", "starts")
@@ -121,12 +121,12 @@ class SubstringDedup:
             return mix(batch.column("_row").to_numpy().view(np.uint64)).astype(np.int64) & (size - 1)
 
         def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros(size, np.int64)
+            total = np.zeros(size, np.uint8)
             for batch in batches:
                 total[place(batch)] = 1
             return total
 
-        sieve = copies.sparkSession.sparkContext.broadcast(np.packbits(counters(copies, mark, size) > 0))
+        sieve = copies.sparkSession.sparkContext.broadcast(np.packbits(counters(copies, mark, size, kind=np.bool_)))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -152,18 +152,22 @@ class SubstringDedup:
             flat, bounds = places.flatten().to_numpy(), places.offsets.to_numpy() - places.offsets[0].as_py()
             for low, high, data, offsets in text_slices(batch.column("_text")):
                 words = words_of(data, offsets, fold=False)
-                owners, starts = [], []
+                starts, counts = [], []
                 for i in range(high - low):
                     pos = flat[bounds[low + i] : bounds[low + i + 1]].astype(np.int64)
                     stop = np.minimum(pos + 1, words.counts[i] - self.length + 1)
                     begin = np.maximum(np.concatenate(([0], pos[:-1] + 1)), pos - self.period + 1)
                     own = _ranges(begin, stop)
                     starts.append(own)
-                    owners.append(np.full(len(own), i))
-                owner, start = np.concatenate(owners), np.concatenate(starts).astype(np.int64)
+                    counts.append(len(own))
+                owner, start = np.repeat(np.arange(high - low), counts), np.concatenate(starts).astype(np.int64)
                 hashes = run_hashes(words.hash, words.first[owner] + start, np.full(len(start), self.length))
-                ids = batch.slice(low, high - low).select(["_row", "rank"]).take(pa.array(owner))
-                columns = [*ids.columns, pa.array(start.astype(np.int32)), pa.array(hashes.view(np.int64))]
+                order = np.lexsort((start, hashes, owner))  # one row per distinct window of a document
+                owner, start, hashes = owner[order], start[order], hashes[order]
+                fresh = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))[: len(owner)])
+                places_of = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(start)).astype(np.int32)), pa.array(start.astype(np.int32)))
+                ids = batch.slice(low, high - low).select(["_row", "rank"]).take(pa.array(owner[fresh]))
+                columns = [*ids.columns, places_of, pa.array(hashes[fresh].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["_row", "rank", "pos", "hash"])
 
     def _kept(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
