@@ -9,7 +9,8 @@
    each over its patterns and sources, never over documents.
 4. A pattern with flow f and c tokens takes every document floor(f / c) times, and some once more:
    documents in order of a seeded hash until the rest of the flow is used.  Rest that is smaller than
-   the next document is offered to the smaller documents, round by round.
+   the next document is offered to the smaller documents, round by round; a last document goes over
+   the rest where that comes nearer than stopping short.
 
 The order is cut in hash cells: sums per cell are added up, and only the rows of the one cell per
 pattern in which the sum passes the rest are sorted.
@@ -67,7 +68,7 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int) -> d
                     path = []
                 break
         if path is None:
-            return flow
+            return {end: amount for end, amount in flow.items() if amount > slack}
         if not path:
             continue
         amount = min([room, left[path[-1][1]], *(flow[p, s] for p, s, given in path if given)])
@@ -208,9 +209,10 @@ class SourceMix:
     def _chosen(self, rows: DataFrame, shares: DataFrame, scratch: Scratch) -> DataFrame:
         """Rows that are taken once more than the others of their pattern."""
         cell = F.shiftrightunsigned("_draw", 64 - CELL_BITS)
-        open_rows = rows.filter("_size > 0").join(
+        every = rows.filter("_size > 0").join(
             shares.filter(f"rest > near and times < {self.repeats}").select("_pattern", "rest", "near"), "_pattern"
         ).select("_row", "_pattern", "_size", "_draw", cell.alias("cell"), "rest", "near")
+        open_rows = every
         chosen = None
         for _ in range(FILL_ROUNDS):
             fitting = scratch.put(open_rows.filter("_size <= rest"), "fitting")
@@ -225,7 +227,7 @@ class SourceMix:
             taken = scratch.put(
                 fitting.join(whole, ["_pattern", "cell"]).select("_row", "_pattern", "_size").union(edge.select("_row", "_pattern", "_size")), "taken"
             )
-            chosen = taken.select("_row") if chosen is None else chosen.union(taken.select("_row"))
+            chosen = taken if chosen is None else chosen.union(taken)
             got = taken.groupBy("_pattern").agg(F.sum("_size").alias("got"))
             open_rows = (
                 fitting.join(taken.select("_row"), "_row", "left_anti")
@@ -234,7 +236,18 @@ class SourceMix:
                 .drop("got")
                 .filter("rest > near")
             )
-        return rows.select("_row").limit(0) if chosen is None else chosen
+        if chosen is None:
+            chosen = rows.select("_row", "_pattern", "_size").limit(0)
+        got = chosen.groupBy("_pattern").agg(F.sum("_size").alias("got"))
+        over = (
+            every.join(chosen.select("_row"), "_row", "left_anti")
+            .join(got, "_pattern", "left")
+            .withColumn("rest", F.col("rest") - F.coalesce("got", F.lit(0)))
+            .filter("rest > near and _size > rest and _size < 2 * rest")
+            .groupBy("_pattern")
+            .agg(F.min_by("_row", F.struct("_size", "_draw", "_row")).alias("_row"))
+        )
+        return scratch.put(chosen.select("_row").union(over.select("_row")), "chosen")
 
 
 def mixed(docs: DataFrame, mix: SourceMix, sources: Column) -> DataFrame:
