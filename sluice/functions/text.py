@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def _col(c: Column | str) -> Column:
 
 def keyword_hit(text: Column | str, words: Sequence[str]) -> Column:
     """True when any word occurs as a substring, ignoring case."""
-    return F.lower(_col(text)).rlike("|".join(words))
+    low = F.lower(_col(text))
+    return reduce(or_, [low.contains(w.lower()) for w in words])
 
 
 def truncate(text: Column | str, chars: int) -> Column:

@@ -4,31 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.rates import confusion_counts, with_rates
 
 
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """One row per key; a key with several rows fails the job, null keys go (they match nothing).
+
+    A join to this table can't multiply rows.
+    """
+    fields = [c for c in df.columns if c != key]
+    message = F.concat(F.lit("several rows for "), F.col(key).cast("string"))
+    grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.any_value(F.struct(*fields)).alias("_v"), F.count(F.lit(1)).alias("_n")
+    )
+    one = grouped.select(key, F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_v")).alias("_v"))
+    return one.select(key, "_v.*")
+
+
+def _same_label(label: str) -> Column:
+    """True when both labels are there and equal."""
+    return F.col(label).isNotNull() & F.col("_label").eqNullSafe(F.col(label))
+
+
 def alignment_faults(records: DataFrame, table: DataFrame, key: str = "sample_id", label: str = "label") -> DataFrame:
     """Count of records, of records without a table row, and of differing labels."""
     found = table.select(key, F.col(label).alias("_label"), F.lit(True).alias("_found"))
     return records.join(found, key, "left").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_found").isNull()).alias("missing"),
-        F.count_if(F.col("_label") != F.col(label)).alias("label_mismatch"),
+        F.count_if(F.col("_found") & ~_same_label(label)).alias("label_mismatch"),
     )
 
 
 def align_records(records: DataFrame, table: DataFrame, key: str = "sample_id", label: str = "label") -> DataFrame:
-    """Join records to their texts; a missing id or a differing label fails the job.
+    """Join records to their texts; a missing id, a doubled table id, or a differing or null label fails the job.
 
     The check sits in the rows themselves, so it needs no extra pass.
     """
     right = table.withColumnRenamed(label, "_label").withColumn("_found", F.lit(True))
     shared = [c for c in right.columns if c in records.columns and c != key]
-    joined = records.join(right.drop(*shared), key, "left")
-    wrong = F.col("_found").isNull() | (F.col("_label") != F.col(label))
+    joined = records.join(unique(right.drop(*shared), key), key, "left")
+    wrong = F.col("_found").isNull() | ~_same_label(label)
     message = F.concat(F.lit("record does not match the table: "), F.col(key).cast("string"))
     checked = F.when(wrong, F.raise_error(message).cast("int")).otherwise(F.col(label))
     return joined.withColumn(label, checked).drop("_label", "_found")
@@ -47,18 +66,24 @@ def judge_lookup(
     key: str = "sample_id",
     judge: str = "llm_prediction",
     own_label: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
     """Judge answer per row: fresh over base over (optionally) the row's own.
 
+    Of several answers for an id the last by ``order`` counts; without ``order`` they fail the job.
     ``label_origin`` tells which one was used; without own answers a missing id stays null
     with origin ``missing``, for the caller to reject.
     """
+    def answers(table: DataFrame, name: str) -> DataFrame:
+        one = unique(table.select(key, judge), key) if order is None else latest(table.select(key, judge, order), key, order)
+        return one.select(key, F.col(judge).alias(name))
+
     own = F.col(judge) if own_label and judge in rows.columns else F.lit(None).cast("int")
     looked = (
         rows.withColumn("_own", own)
         .drop(judge)
-        .join(base.select(key, F.col(judge).alias("_base")), key, "left")
-        .join(fresh.select(key, F.col(judge).alias("_fresh")), key, "left")
+        .join(answers(base, "_base"), key, "left")
+        .join(answers(fresh, "_fresh"), key, "left")
     )
     origin = (
         F.when(F.col("_fresh").isNotNull(), "fresh")
@@ -88,14 +113,21 @@ def id_union(parts: Sequence[DataFrame], key: str = "sample_id") -> DataFrame:
 
 
 def pending_rows(candidates: DataFrame, done: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Rows still to be judged or embedded; key on (id, text hash) to notice changed texts."""
+    """Rows still to be judged or embedded; key on (id, text hash) to notice changed texts.
+
+    A record with an error or without an answer isn't done: its row is pending again.
+    """
+    if "error" in done.columns:
+        done = done.filter("error IS NULL")
+    if "llm_prediction" in done.columns:
+        done = done.filter("llm_prediction IS NOT NULL")
     return candidates.join(done.select(*keys), list(keys), "left_anti")
 
 
 def merge_attempts(pool: DataFrame, judged: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Pool rows with the judged row's fields on top; a pool id without a judged row fails."""
+    """Pool rows with the judged row's fields on top; a pool id without a judged row, or with several, fails."""
     over = [c for c in judged.columns if c != key]
-    right = judged.select(key, F.struct(*over).alias("_j"))
+    right = unique(judged, key).select(key, F.struct(*over).alias("_j"))
     joined = pool.join(right, key, "left")
     message = F.concat(F.lit("no judged row for "), F.col(key).cast("string"))
     present = joined.withColumn(
@@ -106,8 +138,8 @@ def merge_attempts(pool: DataFrame, judged: DataFrame, key: str = "sample_id") -
 
 
 def replace_scores(records: DataFrame, scores: DataFrame, key: str = "sample_id", score: str = "router_score") -> DataFrame:
-    """Records with a new router score; every record must have one."""
-    new = scores.select(key, F.col(score).alias("_new"))
+    """Records with a new router score; every record must have exactly one."""
+    new = unique(scores.select(key, F.col(score).alias("_new")), key)
     joined = records.join(new, key, "left")
     message = F.concat(F.lit("no score for "), F.col(key).cast("string"))
     value = F.when(F.col("_new").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("_new"))

@@ -6,6 +6,8 @@ lost executor or a failed call repeats a batch, never the whole job.
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -30,9 +32,18 @@ JUDGED = (
 )
 
 
-def _one(judge: Judge, text: str, retries: int) -> dict[str, Any]:
+def backoff(attempt: int, first: float = 0.5, most: float = 30.0) -> float:
+    """Seconds to wait after a failed attempt (from 0): doubling up to a limit, with jitter."""
+    return min(most, first * 2**attempt) * random.uniform(0.5, 1.0)
+
+
+def _one(
+    judge: Judge, text: str, retries: int, wait: Callable[[int], float] = backoff, sleep: Callable[[float], None] = time.sleep
+) -> dict[str, Any]:
     error = None
-    for _ in range(retries + 1):
+    for attempt in range(retries + 1):
+        if attempt:
+            sleep(wait(attempt - 1))
         try:
             answer = judge(text)
             verdict = int(answer["judgement"])
@@ -48,11 +59,17 @@ def _one(judge: Judge, text: str, retries: int) -> dict[str, Any]:
 
 
 def judge_rows(
-    df: DataFrame, judge: Judge, retries: int = 3, max_chars: int = JUDGE_CHARS, calls: int | None = None
+    df: DataFrame,
+    judge: Judge,
+    retries: int = 3,
+    max_chars: int = JUDGE_CHARS,
+    calls: int | None = None,
+    wait: Callable[[int], float] = backoff,
 ) -> DataFrame:
     """Judge every row; ``calls`` partitions bound how many calls run at a time.
 
-    Returns id, answer, reason, usage, and an error text for rows that kept failing.
+    ``wait`` gives the seconds before a further try.  Each action on the result pays the calls
+    again: append it to the judged table first, and read that.  Returns id, answer, reason, usage, and an error text for rows that kept failing.
     """
     texts = df.select(F.col("sample_id").cast("string").alias("sample_id"), truncate("prompt", max_chars).alias("prompt"))
     if calls:
@@ -60,7 +77,7 @@ def judge_rows(
 
     def run(batches):
         for pdf in batches:
-            out = pd.DataFrame([_one(judge, t, retries) for t in pdf["prompt"]], index=pdf.index)
+            out = pd.DataFrame([_one(judge, t, retries, wait) for t in pdf["prompt"]], index=pdf.index)
             out = out.reindex(columns=["llm_prediction", "reason", "usage", "error"])
             out["llm_prediction"] = out["llm_prediction"].astype("Int32")
             out.insert(0, "sample_id", pdf["sample_id"])

@@ -17,6 +17,8 @@ of ranges, whatever the number of groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +71,8 @@ def running_sums(
 ) -> DataFrame:
     """Append ``cum_<m>`` (inclusive, ascending) and ``total_<m>`` of each measure per group.
 
-    ``(groups, order)`` must identify a row.  Group and order values must not be null.
+    ``(groups, order)`` must identify a row.  Rows with a null group are a group of their own;
+    order values must not be null.
     """
     columns = df.columns
     groups = list(groups) or ["_all"]
@@ -94,7 +97,9 @@ def running_sums(
     )
     of_cell = Window.partitionBy(*cell)
     upto = of_cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = base.join(F.broadcast(border), cell, "left")
+    border = border.withColumnsRenamed({c: f"_border_{c}" for c in cell})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_border_{c}")) for c in cell])
+    joined = base.join(F.broadcast(border), same, "left")
     return joined.select(
         *columns,
         *[(F.sum(m).over(upto) + F.coalesce(f"_before_{m}", F.lit(0))).alias(f"cum_{m}") for m in measures],

@@ -422,6 +422,23 @@ def judge_lookup(spark, d):
     return jo.judge_lookup(rows, base, fresh)
 
 
+@query(
+    "judge_lookup_duplicates",
+    "sample_id:s llm_prediction:i label_origin:s",
+    f"""WITH {q.EVENTS} SELECT sample_id, CASE WHEN position % 3 = 0 THEN 1 ELSE llm_prediction END AS llm_prediction,
+  CASE WHEN position % 3 = 0 THEN 'fresh' WHEN position % 2 = 0 THEN 'base' ELSE 'own' END AS label_origin FROM judged_events""",
+)
+def judge_lookup_duplicates(spark, d):
+    """Reruns leave several answers per id in both tables; the last run counts and no row doubles."""
+    rows = fx.judged_events(spark, d).select("sample_id", "position", "llm_prediction")
+    even, third = rows.filter(F.col("position") % 2 == 0), rows.filter(F.col("position") % 3 == 0)
+    base = even.select("sample_id", (1 - F.col("llm_prediction")).alias("llm_prediction"), F.lit(1).alias("run"))
+    base = base.unionByName(even.select("sample_id", "llm_prediction", F.lit(2).alias("run")))
+    fresh = third.select("sample_id", F.lit(1).alias("llm_prediction"), F.lit(9).alias("run"))
+    fresh = fresh.unionByName(third.select("sample_id", F.lit(0).alias("llm_prediction"), F.lit(8).alias("run")))
+    return jo.judge_lookup(rows, base, fresh, order="run")
+
+
 @query(
     "judge_lookup_required",
     "sample_id:s llm_prediction:i label_origin:s",

@@ -1,5 +1,7 @@
 """Queries: records, resume, vectors, detectors on judged ids, report table."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sluice.operators import joins as jo
@@ -93,6 +95,30 @@ def resume_pending(spark, d):
     return spark.read.parquet(path)
 
 
+def flaky_judge(text: str) -> dict:
+    """The rule judge, failing on texts that a hash draws (one in sixteen)."""
+    if hashlib.md5(text.encode()).hexdigest()[0] == "0":
+        raise TimeoutError("rate limit")
+    return ju.rule_judge(text)
+
+
+@query(
+    "judge_retry",
+    "sample_id:s llm_prediction:i run:i",
+    f"""WITH {q.DOCS} SELECT sample_id, CAST(contains(substr(prompt, 1, 2400), '?') AS INTEGER) AS llm_prediction,
+  CASE WHEN starts_with(md5(substr(prompt, 1, 2400)), '0') THEN 2 ELSE 1 END AS run FROM judged_docs""",
+)
+def judge_retry(spark, d):
+    """A first run fails on some rows and records the errors; the second judges just those."""
+    docs = fx.judged_docs(spark, d)
+    path = scratch_path(spark, "retried")
+    for run, judge in ((1, flaky_judge), (2, ju.rule_judge)):
+        todo = docs if run == 1 else jo.pending_rows(docs, spark.read.parquet(path))
+        answers = ju.judge_rows(todo, judge, retries=0)
+        js.append_judged(answers.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).filter("error IS NULL")
+
+
 @query(
     "judge_batch",
     "sample_id:s llm_prediction:i reason:s error:s",

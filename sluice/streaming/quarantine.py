@@ -47,7 +47,7 @@ def catch_stream(stream: DataFrame, tau: float, ttl_ms: int | None = None) -> Da
     hits = stream.filter(hit).select("session_id", "attempt_no")
     return hits.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=FirstCatch(ttl_ms),
-        outputStructType="session_id bigint, first_catch bigint",
+        outputStructType=f"session_id {stream.schema['session_id'].dataType.simpleString()}, first_catch bigint",
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )

@@ -159,3 +159,11 @@ def test_join_small_beyond_its_limit(spark, monkeypatch):
     small = sorted(session.join_small(df, table, ["g"]).select("id", "w").collect())
     monkeypatch.setattr(session, "SMALL_ROWS", 1)
     assert sorted(session.join_small(df, table, ["g"]).select("id", "w").collect()) == small
+
+
+def test_running_sums_keep_rows_of_a_null_group(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("v"), F.lit(1).cast("long").alias("n"))
+    other = spark.range(500).select(F.lit("a").alias("g"), F.col("id").alias("v"), F.lit(1).cast("long").alias("n"))
+    got = px.running_sums(rows.unionByName(other), ["v"], ["n"], ["g"])
+    found = {r["g"]: (r["most"], r["total"]) for r in got.groupBy("g").agg(F.max("cum_n").alias("most"), F.max("total_n").alias("total")).collect()}
+    assert found == {None: (2000, 2000), "a": (500, 500)}

@@ -17,6 +17,7 @@ QUICK = [
     "leak_scan", "redact", "drop_private", "forbidden_fields", "metric_curve", "threshold_set",
     "cascade_sweep", "frontier", "np_threshold", "hash_split_confirm", "min_positives", "balanced_sample",
     "audit_policy", "gate_eval", "variant_gates", "mix_stream", "audit_exposure", "judge_lookup",
+    "judge_lookup_duplicates", "judge_retry", "ks_stat_by_stream", "np_threshold_by_stream", "stream_dedupe", "embedding_join",
     "session_summary", "conversation_quarantine", "stream_monitor", "stream_rates", "stream_sessions",
     "stream_quarantine", "records_inline", "resume_pending", "same_subset", "report_table", "tfidf_word",
     "lexicon_top",
