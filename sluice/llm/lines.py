@@ -93,20 +93,17 @@ class LineRuns:
         """
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
         hashes = F.transform(lines_of(F.col("_text")), lambda x: line_hash(x, self.min_chars))
-        places = rows.select("_row", F.explode(F.array_compact(F.array_distinct(hashes))).alias("k")).select(
-            "_row", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("salt")
+        places = rows.select("_row", F.posexplode(hashes).alias("place", "k")).filter("k is not null").select(
+            "_row", "place", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("salt")
         )
         keys = self.scratch.put(self.frequent(), "frequent").withColumn(
             "salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))
         )
         dropped = (
-            places.join(keys, [*KEY, "salt"]).groupBy("_row").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
-        )
-        drop = F.coalesce(F.col("drop"), F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
-        kept = F.filter(
-            lines_of(F.col("_text")),
-            lambda x: F.coalesce(~F.array_contains(F.col("_drop"), line_hash(x, self.min_chars)), F.lit(True)),
+            places.join(keys, [*KEY, "salt"]).groupBy("_row").agg(F.collect_list("place").alias("drop"))
         )
+        drop = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
+        kept = F.filter(lines_of(F.col("_text")), lambda x, i: ~F.array_contains(F.col("_drop"), i))
         return (
             rows.join(dropped, "_row", "left")
             .select("_id", "_text", drop.alias("_drop"))
