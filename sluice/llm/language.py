@@ -188,9 +188,12 @@ class LanguageTrainer:
     def fit(self, train: DataFrame) -> LanguageModel:
         """``train`` has _text and _label."""
         idf = self._idf(train)
-        draw = F.xxhash64("_text")
-        rank = F.row_number().over(Window.partitionBy("_label").orderBy(draw, "_text"))
-        sample = train.withColumn("_rank", rank).filter(F.col("_rank") <= self.per_class)
+        span = 1 << 31
+        drawn = train.withColumn("_draw", F.pmod(F.xxhash64("_text"), F.lit(span)))
+        counts = train.groupBy("_label").agg((F.lit(2.0 * self.per_class * span) / F.count(F.lit(1)) + 1).alias("_limit"))
+        few = drawn.join(counts, "_label").filter("_draw < _limit").drop("_limit")  # about twice the bound
+        rank = F.row_number().over(Window.partitionBy("_label").orderBy("_draw", "_text"))
+        sample = few.withColumn("_rank", rank).filter(F.col("_rank") <= self.per_class)
         spec = self
 
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
