@@ -55,35 +55,37 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             part = unpacked(data)
             totals[chunk] = totals[chunk] + part if chunk in totals else part
-    for chunk, part in totals.items():
-        width = next(w for w in (1, 2, 4, 8) if int(part.max(initial=0)) < 1 << 8 * w)
-        packed = bytes([width]) + part.astype(f"<u{width}").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
+    return totals
 
 
 def counters(df: DataFrame, count: Callable, size: int, finish: Callable = np.asarray, kind: type = np.int64) -> np.ndarray:
     """Sum arrays of ``size`` counters over all rows; ``count`` turns a partition into one array.
 
     Each task sends its counters once, packed and cut in chunks; chunks are added up as they stream
-    in.  The driver receives ``size`` numbers, whatever the input, and keeps what ``finish`` makes of
-    them, chunk by chunk, as an array of ``kind``.
+    in, and ``finish`` turns them into an array of ``kind`` where they are added.  The driver receives
+    ``size`` values of that kind, whatever the input.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed_counts(count(batches))
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part in _chunk_totals(batches).items():
+            done = finish(part).astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([done], pa.binary())], ["chunk", "counts"])
+
     chunks = -(-size // CHUNK)
     partial = df.mapInArrow(each, COUNTER_SCHEMA)
-    summed = partial.repartition(min(chunks, 64), "chunk").mapInArrow(_sum_chunks, COUNTER_SCHEMA)
+    summed = partial.repartition(min(chunks, 64), "chunk").mapInArrow(total, COUNTER_SCHEMA)
     out = np.full(chunks * CHUNK, finish(np.zeros(1, np.int64))[0], kind)
-    for row in summed.toLocalIterator():  # at most size / CHUNK rows
-        part = finish(unpacked(row.counts))
+    for row in summed.collect():  # at most size / CHUNK rows, size values in all
+        part = np.frombuffer(row.counts, kind)
         out[row.chunk * CHUNK : row.chunk * CHUNK + len(part)] = part
     return out[:size]
 
