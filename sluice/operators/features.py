@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,6 +117,59 @@ def concat_features(parts: dict[str, DataFrame]) -> DataFrame:
     return stacked
 
 
+CUTS = {"word": word_postings, "char": char_postings}
+
+
+@dataclass
+class Vectoriser:
+    """Vocabulary and idf of training texts, for any texts.
+
+    ``terms`` has (space, term, idf, idx); ``idx`` numbers the terms of all spaces from 0 to ``size``.
+    Terms that the training texts lack have no weight, and texts without a known term have no row.
+    """
+
+    terms: DataFrame
+    size: int
+
+    def transform(self, df: DataFrame, id_col: str = "sample_id", text: str = "prompt") -> DataFrame:
+        """(id, space, term, idx, weight): sublinear tf, idf of the training texts, unit length per text and space."""
+        spaces = [row["space"] for row in self.terms.select("space").distinct().collect()]
+        postings = concat_features({space: CUTS[space](df, id_col, text) for space in sorted(spaces)})
+        weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
+        raw = postings.join(self.terms, ["space", "term"]).select(id_col, "space", "term", "idx", weight.alias("_w"))
+        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col, "space")))
+        return raw.select(id_col, "space", "term", "idx", (F.col("_w") / norm).alias("weight"))
+
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Vectoriser":
+        terms = spark.read.parquet(path)
+        return Vectoriser(terms, terms.count())
+
+
+def fit_vectoriser(
+    train: DataFrame,
+    spaces: Sequence[str] = ("word", "char"),
+    id_col: str = "sample_id",
+    text: str = "prompt",
+    min_df: int = 2,
+    max_features: int = 300_000,
+) -> Vectoriser:
+    """Vocabulary (at most ``max_features`` terms a space) and idf of training texts, written once."""
+    n_docs = train.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
+    terms, size = None, 0
+    for space in spaces:
+        vocab = vocabulary(stored(CUTS[space](train, id_col, text), "postings"), min_df, max_features)
+        numbered = vocab.select(F.lit(space).alias("space"), "term", idf.alias("idf"), (F.col("idx") + size).alias("idx"))
+        part = stored(numbered, "vocabulary")
+        size += part.count()
+        terms = part if terms is None else terms.unionByName(part)
+    return Vectoriser(terms, size)
+
+
 def linear_score(
     weights: DataFrame,
     coefficients: DataFrame,

@@ -13,43 +13,25 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sluice.operators import thresholds as th
+from sluice.operators.features import Vectoriser, fit_vectoriser
 from sluice.operators.quality import bootstrap_ci, score_summary
-from sluice.session import stored
+from sluice.session import scratch_path, stored
 
 TEXT_C = [0.5, 1.0, 2.0, 4.0]
 VECTOR_C = [0.1, 0.5, 1.0, 2.0, 4.0]
 
 
-def index_terms(vocab: DataFrame, keys: Sequence[str] = ("space", "term")) -> DataFrame:
-    """Number the features of a bounded vocabulary."""
-    order = Window.orderBy(*keys)
-    return vocab.select(*keys, (F.row_number().over(order) - 1).alias("idx"))
-
-
-def vector_table(
-    weights: DataFrame,
-    indexed: DataFrame,
-    size: int,
-    path: str,
-    rows: DataFrame,
-    keys: Sequence[str] = ("space", "term"),
-    id_col: str = "sample_id",
-) -> DataFrame:
-    """Materialise sparse feature vectors next to their rows.
+def vector_table(weights: DataFrame, size: int, path: str, rows: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Materialise sparse feature vectors (id, idx, weight) next to their rows.
 
     Training reads the rows once per iteration, so the vectors are written to the shared
     scratch folder once, laid out the way the vector type is stored, and read back as
     vectors.  Texts without a known term get an empty vector.
     """
     entry = F.struct(F.col("idx").cast("int").alias("i"), F.col("weight").alias("w"))
-    per_id = (
-        weights.join(F.broadcast(indexed), list(keys))
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    )
+    per_id = weights.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     empty = F.array().cast("array<struct<i:int,w:double>>")
     entries = F.coalesce(F.col("_e"), empty)
     stored = F.struct(
@@ -100,6 +82,41 @@ class Detector:
         return Detector(name, PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/thresholds"))
 
 
+@dataclass
+class TextDetector:
+    """A detector with the vectoriser of its training texts; both are applied as they are, never refitted."""
+
+    vectoriser: Vectoriser
+    detector: Detector
+
+    def vectors(self, rows: DataFrame, text: str = "prompt") -> DataFrame:
+        return text_vectors(self.vectoriser, rows, text)
+
+    def score(self, rows: DataFrame, text: str = "prompt") -> DataFrame:
+        return positive_score(self.detector.model, self.vectors(rows, text)).drop("features")
+
+    def save(self, path: str) -> None:
+        self.vectoriser.save(f"{path}/terms")
+        self.detector.save(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, name: str) -> "TextDetector":
+        return TextDetector(Vectoriser.load(spark, f"{path}/terms"), Detector.load(spark, path, name))
+
+
+def text_vectors(vectoriser: Vectoriser, rows: DataFrame, text: str = "prompt") -> DataFrame:
+    """Rows with the sparse vectors of their texts instead of the texts."""
+    weights = vectoriser.transform(rows, text=text)
+    return vector_table(weights, vectoriser.size, scratch_path(rows.sparkSession, "features"), rows.drop(text))
+
+
+def fit_text_detector(train: DataFrame, validation: DataFrame, text: str = "prompt", **grid) -> TextDetector:
+    """Vocabulary, idf and classifier from the training rows; C and thresholds from the validation rows."""
+    vectoriser = fit_vectoriser(train, text=text)
+    fitted = fit_logreg_grid(text_vectors(vectoriser, train, text), text_vectors(vectoriser, validation, text), **grid)
+    return TextDetector(vectoriser, fitted)
+
+
 def validated(models: dict[float, PipelineModel], validation: DataFrame) -> DataFrame:
     """Operating points of every candidate on validation rows, materialised.
 
@@ -184,7 +201,7 @@ def coefficient_table(detector: Detector, indexed: DataFrame) -> tuple[DataFrame
     spark = indexed.sparkSession
     values = [(i, float(v)) for i, v in enumerate(fitted.coefficients.toArray()) if v != 0.0]
     table = spark.createDataFrame(values, "idx int, coefficient double")
-    return indexed.join(table, "idx").drop("idx"), float(fitted.intercept)
+    return indexed.select("space", "term", "idx").join(table, "idx").drop("idx"), float(fitted.intercept)
 
 
 def evaluate_suite(

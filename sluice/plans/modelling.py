@@ -109,24 +109,6 @@ def lexicon_top(spark, d):
 
 
 FIT = "detector:s selected_c:f family:s policy:s tau:f n:i positives:i f1:f recall:f bypass_count:i false_bypass_count:i"
-TEXT_FEATURES = 20_000
-
-
-def text_vectors(spark, d):
-    """Labelled documents with word and character weights as one sparse vector."""
-    docs = fx.judged_docs(spark, d).filter("label IS NOT NULL").select("sample_id", "position", "prompt", "label", "lang")
-    both = stored(
-        fe.concat_features(
-            {
-                "word": fe.fit_tfidf(docs, max_features=TEXT_FEATURES),
-                "char": fe.fit_tfidf(docs, "char", max_features=TEXT_FEATURES),
-            }
-        ),
-        "weights",
-    )
-    indexed = stored(md.index_terms(both.select("space", "term").distinct()), "terms")
-    path = scratch_path(spark, "features")
-    return md.vector_table(both, indexed, 2 * TEXT_FEATURES, path, docs.drop("prompt")), indexed
 
 
 def three_ways(df, key):
@@ -140,20 +122,54 @@ def described(detector):
     return detector.thresholds.withColumns({"detector": F.lit(detector.name), "selected_c": c})
 
 
+def labelled_texts(spark, d):
+    """Training, validation and test texts."""
+    docs = fx.judged_docs(spark, d).filter("label IS NOT NULL").select("sample_id", "position", "prompt", "label", "lang")
+    return three_ways(docs, "sample_id")
+
+
 @query("logreg_grid", FIT)
 def logreg_grid(spark, d):
-    rows, _ = text_vectors(spark, d)
-    train, validation, _ = three_ways(rows, "sample_id")
-    return described(md.fit_logreg_grid(train, validation, max_iter=50))
+    train, validation, _ = labelled_texts(spark, d)
+    return described(md.fit_text_detector(train, validation).detector)
+
+
+@query("text_zero_shot", "sample_id:s label:i router_score:f")
+def text_zero_shot(spark, d):
+    """A saved text detector, loaded and applied to texts that neither its vocabulary nor its idf has seen."""
+    train, validation, test = labelled_texts(spark, d)
+    path = scratch_path(spark, "text-detector")
+    md.fit_text_detector(train, validation).save(path)
+    return md.TextDetector.load(spark, path, "text_logreg").score(test)
+
+
+SEEN = f"""seen AS (SELECT sample_id, {q.bucket("sample_id")} < 0.6 AS train FROM judged_docs),
+post AS (SELECT sample_id, term, train, count(*) AS tf FROM word_terms JOIN seen USING (sample_id) GROUP BY ALL),
+vocab AS (
+  SELECT term, count(*) AS df FROM post WHERE train GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 300000),
+raw AS (
+  SELECT sample_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM seen WHERE train)) / (1.0 + df)) + 1) AS w
+  FROM post JOIN vocab USING (term) WHERE NOT train)"""
+
+
+@query(
+    "tfidf_transform",
+    "sample_id:s term:s weight:f",
+    f"WITH {q.DOCS}, {WORDS_SQL}, {SEEN} SELECT sample_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS weight FROM raw",
+)
+def tfidf_transform(spark, d):
+    """Weights of unseen texts under the vocabulary and idf of the training texts."""
+    docs = fx.judged_docs(spark, d)
+    seen = unit_bucket(F.col("sample_id")) < 0.6
+    return fe.fit_vectoriser(docs.filter(seen), ["word"]).transform(docs.filter(~seen))
 
 
 @query("trained_lexicon", "term:s coefficient:f")
 def trained_lexicon(spark, d):
     """Most negative word weights of a trained model: input of the density gate."""
-    rows, indexed = text_vectors(spark, d)
-    train, validation, _ = three_ways(rows, "sample_id")
-    detector = md.fit_logreg_grid(train, validation, c_values=[1.0], max_iter=30)
-    table, _ = md.coefficient_table(detector, indexed)
+    train, validation, _ = labelled_texts(spark, d)
+    fitted = md.fit_text_detector(train, validation)
+    table, _ = md.coefficient_table(fitted.detector, fitted.vectoriser.terms)
     return fe.benign_lexicon(table.filter("space = 'word'").select("term", "coefficient"))
 
 
@@ -195,7 +211,7 @@ def zero_shot(spark, d):
 def detector_suite(spark, d):
     """Intervals and score spread per dataset at the validation best-F1 threshold."""
     train, validation, test = three_ways(vector_rows(spark, d), "sample_id")
-    detector = md.fit_logreg_grid(train, validation, "embedding_logreg", [1.0], 50, scale=True)
+    detector = md.fit_logreg_grid(train, validation, "embedding_logreg", md.VECTOR_C, 100, scale=True)
     parts = validation.withColumn("dataset", F.lit("validation")).unionByName(test.withColumn("dataset", F.lit("test")))
     suite = md.evaluate_suite(detector, parts)
     return suite["intervals"].join(suite["summary"], "dataset")

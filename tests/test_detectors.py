@@ -7,7 +7,7 @@ from sluice.operators import features as fe
 from sluice.operators import models as md
 from sluice.operators import thresholds as th
 from sluice.plans import fixtures as fx
-from sluice.session import scratch_path, stored
+from sluice.session import scratch_path
 from sluice.sources.vectors import as_vector, with_embeddings
 
 
@@ -20,15 +20,13 @@ def text_model(spark):
         noise = words[1 - label][i % 3] if i % 7 == 0 else ""
         rows.append((f"d{i}", f"{words[label][i % 3]} {words[label][(i // 3) % 3]} common {noise}", label))
     df = spark.createDataFrame(rows, "sample_id string, prompt string, label int")
-    weights = stored(fe.concat_features({"word": fe.fit_tfidf(df), "char": fe.fit_tfidf(df, "char")}), "w")
-    indexed = stored(md.index_terms(weights.select("space", "term").distinct()), "i")
-    vectors = md.vector_table(weights, indexed, indexed.count(), scratch_path(spark, "v"), df.drop("prompt"))
-    train, validation = vectors.filter("sample_id < 'd5'"), vectors.filter("sample_id >= 'd5'")
-    return md.fit_logreg_grid(train, validation, c_values=[0.5, 2.0], max_iter=50), vectors, weights, indexed
+    train, validation = df.filter("sample_id < 'd5'"), df.filter("sample_id >= 'd5'")
+    fitted = md.fit_text_detector(train, validation, c_values=[0.5, 2.0], max_iter=50)
+    return fitted, fitted.vectors(df), df
 
 
 def test_model_separates_and_keeps_the_best_candidate(text_model):
-    detector, vectors, *_ = text_model
+    detector = text_model[0].detector
     assert len(detector.candidates) == 2 and detector.selected_c in (0.5, 2.0)
     assert detector.thresholds.count() == 7
     best = detector.thresholds.filter("policy = 'best_f1'").first()
@@ -36,27 +34,38 @@ def test_model_separates_and_keeps_the_best_candidate(text_model):
 
 
 def test_linear_score_equals_the_model(text_model):
-    detector, vectors, weights, indexed = text_model
-    table, intercept = md.coefficient_table(detector, indexed)
-    sql = fe.linear_score(weights, table, intercept, vectors, keys=("space", "term"))
+    fitted, vectors, df = text_model
+    detector, terms = fitted.detector, fitted.vectoriser
+    table, intercept = md.coefficient_table(detector, terms.terms)
+    sql = fe.linear_score(terms.transform(df), table, intercept, vectors, keys=("space", "term"))
     model = md.positive_score(detector.model, vectors).select("sample_id", F.col("router_score").alias("m"))
     gap = sql.join(model, "sample_id").agg(F.max(F.abs(F.col("router_score") - F.col("m"))), F.count("*")).first()
     assert gap[0] < 1e-9 and gap[1] == vectors.count()
 
 
 def test_saved_detector_scores_the_same(spark, text_model):
-    detector, vectors, *_ = text_model
+    fitted, vectors, df = text_model
     path = scratch_path(spark, "detector")
-    detector.save(path)
-    again = md.Detector.load(spark, path, detector.name)
-    a = md.positive_score(detector.model, vectors).select("router_score").orderBy("sample_id").collect()
-    b = md.positive_score(again.model, vectors).select("router_score").orderBy("sample_id").collect()
+    fitted.save(path)
+    again = md.TextDetector.load(spark, path, "text_logreg")
+    a = fitted.score(df).orderBy("sample_id").select("router_score").collect()
+    b = again.score(df).orderBy("sample_id").select("router_score").collect()
     assert a == b
-    suite = md.evaluate_suite(again, vectors.withColumn("dataset", F.lit("all")), replicates=50)
+    suite = md.evaluate_suite(again.detector, vectors.withColumn("dataset", F.lit("all")), replicates=50)
     assert suite["figures"].count() == 7 and suite["intervals"].count() == 5
     assert th.pick_policy(suite["figures"], "best_f1").first()["n"] == 120
 
 
+def test_unseen_terms_have_no_weight(spark):
+    texts = [("a", "garden recipe"), ("b", "garden recipe"), ("c", "garden novel novel"), ("d", None), ("e", "novel")]
+    df = spark.createDataFrame(texts, "sample_id string, prompt string")
+    fitted = fe.fit_vectoriser(df.filter("sample_id < 'c'"), ["word"])
+    rows = fitted.transform(df.filter("sample_id >= 'c'")).collect()
+    assert [(r["sample_id"], r["term"], r["weight"]) for r in rows] == [("c", "garden", 1.0)]
+    vectors = md.text_vectors(fitted, df.filter("sample_id >= 'c'"))
+    assert {r["sample_id"]: r["features"].numNonzeros() for r in vectors.collect()} == {"c": 1, "d": 0, "e": 0}
+
+
 def test_class_weights_balance(spark):
     df = spark.createDataFrame([(1,)] * 10 + [(0,)] * 30, "label int")
     sums = {r[0]: r[1] for r in md.with_class_weights(df).groupBy("label").agg(F.sum("weight")).collect()}
