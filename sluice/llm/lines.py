@@ -27,9 +27,8 @@ SALTS = 8
 KEY = ["h1", "h2"]
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """Two hashes of the line's key; null where the key is too short."""
-    key = F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def line_hash(key: Column, min_chars: int) -> Column:
+    """Two hashes of a line's key; null where the key is too short."""
     pair = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
     return F.when(F.char_length(key) >= min_chars, pair)
 
@@ -38,6 +37,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def keys_of(text: Column) -> Column:
+    """The keys of the text's lines, in order, each made once."""
+    return F.transform(lines_of(text), lambda x: F.translate(F.btrim(x, F.lit(BLANKS)), UPPER, LOWER))
+
+
 class LineRuns:
     """Counts of line keys, kept as sorted runs in levels."""
 
@@ -56,7 +60,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame, text: str = "text") -> None:
         """Count a batch, without the keys that are settled, and add it as a run of the lowest level."""
-        hashes = F.array_compact(F.array_distinct(F.transform(lines_of(F.col(text)), lambda x: line_hash(x, self.min_chars))))
+        hashes = F.array_compact(F.transform(F.array_distinct(keys_of(F.col(text))), lambda x: line_hash(x, self.min_chars)))
         counts = batch.select(F.explode(hashes).alias("key")).groupBy("key.h1", "key.h2").agg(F.count(F.lit(1)).alias("docs"))
         for run in self.runs():
             settled = run.filter(F.col("docs") >= self.min_docs).select(*KEY)
@@ -92,7 +96,7 @@ class LineRuns:
         hold is dealt over several tasks.
         """
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
-        hashes = F.transform(lines_of(F.col("_text")), lambda x: line_hash(x, self.min_chars))
+        hashes = F.transform(keys_of(F.col("_text")), lambda x: line_hash(x, self.min_chars))
         places = rows.select("_row", F.posexplode(hashes).alias("place", "k")).filter("k is not null").select(
             "_row", "place", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("salt")
         )
