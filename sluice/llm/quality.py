@@ -7,7 +7,7 @@
    whose joint bins explain most of what is left get tables of their own, boosted in the same way.
 4. A score is the logistic function of the intercept plus one looked-up number per feature and pair.
 
-Trees are fitted on at most ``rows`` training rows, those with the least hash of the text; bins
+Trees are fitted on at most ``rows`` training rows, those with the least hash of key and text; bins
 and texts are treated whole.
 
 Defined cases: null and empty texts have zero in every feature and get the score of such a row; rows
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.shared import Scratch
 from sluice.llm.words import mix, text_slices, words_of
 
 NAMES = [
@@ -167,6 +168,20 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-self.raw(self.bins(features(texts)))))
 
 
+def measured(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Per row of docs: the keys, _draw (a hash that orders the sample, of keys and text) and the features."""
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = features(batch.column("_text"))
+            held = [batch.column(k) for k in (*keys, "_draw")]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(v) for v in values.T)], [*keys, "_draw", *NAMES])
+
+    drawn = docs.select(*keys, F.xxhash64(*keys, text).alias("_draw"), F.col(text).alias("_text"))
+    return drawn.mapInArrow(run, f"{kinds}, _draw long, " + ", ".join(f"{n} double" for n in NAMES))
+
+
 class AdditiveTrainer:
     """Cyclic boosting of feature tables, then of pair tables."""
 
@@ -176,17 +191,17 @@ class AdditiveTrainer:
 
     def fit(self, train: DataFrame) -> AdditiveModel:
         """``train`` has _text and _label (0 or 1)."""
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                values = features(batch.column("_text"))
-                yield pa.RecordBatch.from_arrays([batch.column("_draw"), batch.column("_label"), *(pa.array(v) for v in values.T)], ["_draw", "_label", *NAMES])
+        return self.fit_measured(measured(train, ["_label"], "_text"))
 
-        keyed = train.select(F.xxhash64("_text").alias("_draw"), F.col("_label").cast("int").alias("_label"), "_text")
-        measured = keyed.mapInArrow(measure, "_draw long, _label int, " + ", ".join(f"{n} double" for n in NAMES)).persist()
+    def fit_measured(self, rows: DataFrame) -> AdditiveModel:
+        """``rows`` has _label (0 or 1) beside the columns of ``measured``."""
+        scratch = Scratch(rows.sparkSession, "quality")
+        labelled = rows.filter("_label is not null")
+        kept = scratch.put(labelled.select("_draw", F.col("_label").cast("int").alias("_label"), *NAMES), "measured")
         try:
             shares = [i / self.bins for i in range(1, self.bins)]
-            cuts = [np.unique(c) for c in measured.approxQuantile(NAMES, shares, 0.002)]
-            chosen = measured.orderBy("_draw", "_label", *NAMES).limit(self.rows)
+            cuts = [np.unique(c) for c in kept.approxQuantile(NAMES, shares, 0.002)]
+            chosen = kept.orderBy("_draw", "_label", *NAMES).limit(self.rows)
             spec = self
 
             def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +216,7 @@ class AdditiveTrainer:
             schema = "intercept double, tables array<array<double>>, places array<array<int>>, joint array<array<double>>"
             row = chosen.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(learn, schema).first()
         finally:
-            measured.unpersist()
+            scratch.drop(kept)
         if row is None:
             return AdditiveModel([], 0.0, [], [], self.coarse)
         joint = [(i, j, np.array(t).reshape(self.coarse, self.coarse)) for (i, j), t in zip(row.places, row.joint, strict=True)]

@@ -73,8 +73,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.AdditiveModel:
     labels = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", F.col("quality").alias("_label"))
-    train = docs.filter(~held_out()).select("doc_id", F.col("text").alias("_text")).join(labels, "doc_id").select("_text", "_label")
-    return quality.AdditiveTrainer().fit(train)
+    rows = quality.measured(docs.filter(~held_out()), ["doc_id"]).join(labels, "doc_id")
+    return quality.AdditiveTrainer().fit_measured(rows)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
