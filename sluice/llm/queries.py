@@ -87,6 +87,7 @@ def conversation_events(turns: DataFrame) -> DataFrame:
     """Conversations as events: assistant turns are calls, the turn after a turn is its result.
 
     The tool and its arguments follow from the text, and every call follows the call before it.
+    The arguments hold the whole text; what is too long or short is for the schema to say.
     """
     turn, conv = F.col("turn"), F.col("conv_id").cast("string")
 
@@ -96,7 +97,7 @@ def conversation_events(turns: DataFrame) -> DataFrame:
     kind = F.when(F.col("role") == "assistant", "call").when((F.col("role") == "user") & (turn > 0), "result").otherwise("message")
     names = F.array(*(F.lit(n) for n in (*TOOLS, "browse")))
     text = F.coalesce("text", F.lit(""))
-    arguments = F.to_json(F.struct(F.substring(text, 1, 40).alias("query"), mixing.word_count(text).alias("limit")))
+    arguments = F.to_json(F.struct(text.alias("query"), mixing.word_count(text).alias("limit")))
     return turns.select(
         F.col("conv_id").cast("long").alias("conv"), turn.cast("long").alias("place"), kind.alias("kind"), "role",
         F.when(kind == "call", call_at(0)).when(kind == "result", call_at(1)).alias("call_id"),

@@ -337,6 +337,23 @@ def test_chat_links(spark):
     assert chat.link_calls(spark.createDataFrame([], event), tools).count() == 0
 
 
+def test_calls_hold_whole_texts(spark):
+    from sluice.llm.queries import TOOLS, conversation_events
+
+    said = ["short", "a" * 39 + "é" + "b" * 5000, 'quoted "x"\n' + "word " * 400, "", None]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(said)] + [(2, 0, "system", "s" * 100), (2, 1, "user", "u" * 100)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls = [r for r in conversation_events(turns).collect() if r.kind == "call"]
+    assert {r.place: json.loads(r.payload)["query"] for r in calls} == {i: t or "" for i, t in enumerate(said)}
+    for r in chat.link_calls(conversation_events(turns), TOOLS).collect():
+        body = json.loads(r.json)
+        if r.kind == "call":
+            arguments = body["arguments"] if isinstance(body["arguments"], dict) else json.loads(body["arguments"])
+            assert arguments["query"] == (said[r.place] or "")
+        else:
+            assert body["content"] == ("s" if r.kind == "message" else "u") * 100
+
+
 def test_long_chain_of_calls(spark):
     event = "conv long, place long, kind string, role string, call_id string, follows string, name string, payload string"
     rows = [(1, i, "call", None, f"c{i}", f"c{i - 1}", "f", "{}") for i in range(40)]
