@@ -7,12 +7,13 @@ per n-gram and class, and texts are scored whole in time linear in their length.
 
 * idf counts every training text, as counters of fixed size that tasks add up.
 * Weights are fitted by follow-the-regularised-leader with elastic-net penalties, on at most
-  ``per_class`` training texts of each language, those with the least hash of id and text.
-* A temperature is fitted on every tenth of these texts, which the weights haven't seen.
+  ``per_class`` distinct training texts of each language, those with the least hash.
+* A temperature is fitted on every tenth of a language's texts, which the weights haven't seen.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text when
 there is nothing to learn from.  Languages are compared in sorted order, ties go to the first.  Rows
-without a language don't train.  Repeated rows are scored alike.
+without a language don't train.  Repeated rows are scored alike, and count once among the texts that
+weights are fitted on, however many copies there are; idf counts each.
 """
 
 from __future__ import annotations
@@ -185,15 +186,24 @@ class LanguageTrainer:
         seen = counters(train.select("_text"), count, width + 1)
         return np.log((1 + seen[width]) / (1 + seen[:width])) + 1
 
+    def sample(self, train: DataFrame) -> DataFrame:
+        """_label, _rank, _text: at most ``per_class`` distinct texts of each language.
+
+        Texts are told apart and drawn by hash, one row per text and task; only drawn texts are shuffled.
+        """
+        span = 1 << 31
+        rows = train.withColumn("_hash", F.xxhash64("_text"))
+        distinct = rows.select("_label", "_hash").distinct().withColumn("_draw", F.pmod(F.xxhash64("_hash"), F.lit(span)))
+        counts = distinct.groupBy("_label").agg((F.lit(2.0 * self.per_class * span) / F.count(F.lit(1)) + 1).alias("_limit"))
+        few = distinct.join(F.broadcast(counts), "_label").filter("_draw < _limit")  # about twice the bound
+        rank = F.row_number().over(Window.partitionBy("_label").orderBy("_draw", "_hash"))
+        drawn = few.select("_label", "_hash", rank.alias("_rank")).filter(F.col("_rank") <= self.per_class)
+        return rows.join(F.broadcast(drawn), ["_label", "_hash"]).groupBy("_label", "_rank").agg(F.min("_text").alias("_text"))
+
     def fit(self, train: DataFrame) -> LanguageModel:
         """``train`` has _text and _label."""
         idf = self._idf(train)
-        span = 1 << 31
-        drawn = train.withColumn("_draw", F.pmod(F.xxhash64("_text"), F.lit(span)))
-        counts = train.groupBy("_label").agg((F.lit(2.0 * self.per_class * span) / F.count(F.lit(1)) + 1).alias("_limit"))
-        few = drawn.join(counts, "_label").filter("_draw < _limit").drop("_limit")  # about twice the bound
-        rank = F.row_number().over(Window.partitionBy("_label").orderBy("_draw", "_text"))
-        sample = few.withColumn("_rank", rank).filter(F.col("_rank") <= self.per_class)
+        sample = self.sample(train)
         spec = self
 
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +227,7 @@ class LanguageTrainer:
             for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True), low):
                 at, times = np.unique(columns[a:b], return_counts=True)
                 rows.append((at, scale * times / max(1, b - a) * idf[at], labels[i]))
-        held = np.arange(len(rows)) % 10 == 9
+        held = pdf["_rank"].to_numpy() % 10 == 0  # of each language, so that one of few texts still trains
         fitted = ftrl([r for r, h in zip(rows, held, strict=True) if not h], len(languages), len(idf), self.alpha, self.beta, self.l1, self.l2, self.epochs)
         checked = [r for r, h in zip(rows, held, strict=True) if h] or rows
         scores = np.array([value @ fitted[at] for at, value, _ in checked])

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +300,30 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(table, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_of_many_copies(spark):
+    few = ["the nation that was", "with that nation", "the one with the hat", "that and this"]
+    many = [f"der nicht einheit{chr(97 + i % 26) * (i // 26 + 1)} \u00fcber" for i in range(60)]
+    rows = [(t, "aa") for t in few for _ in range(500)] + [(t, "bb") for t in many]
+    rows += [("con esta palabra", "cc")] * 2000 + [(f"que para {chr(97 + i) * 3}", "cc") for i in range(20)]
+    train = spark.createDataFrame(rows, "_text string, _label string")
+    trainer = language.LanguageTrainer(per_class=20)
+    drawn = defaultdict(list)
+    for r in trainer.sample(train).collect():
+        drawn[r._label].append(r._text)
+    assert sorted(drawn["aa"]) == sorted(few)
+    assert {k: (len(v), len(set(v))) for k, v in drawn.items()} == {"aa": (4, 4), "bb": (20, 20), "cc": (20, 20)}
+    model = trainer.fit(train)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert model.predict([*few, many[0], "que para aaa"])[0] == ["aa"] * 4 + ["bb", "cc"]
+
+
+def test_every_language_trains():
+    sample = [(f"{c * 5} {c * n}", c, n) for c in "abcdefghij" for n in range(1, 13)]  # the tenth place of the order is always j's
+    learnt = language.LanguageTrainer().learn(pd.DataFrame(sample, columns=["_text", "_label", "_rank"]), np.ones(1 << 16)).iloc[0]
+    model = language.LanguageModel(learnt.languages, np.frombuffer(learnt.weights, np.float32).reshape(10, -1), learnt.temperature, language.NgramFeatures())
+    assert model.predict([c * 4 for c in "abcdefghij"])[0] == list("abcdefghij")
+
+
 def test_quality(spark, sf_dir):
     from sluice.llm.queries import op9_quality
 
