@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import drift
 from sluice.functions import lexicons as lx
 from sluice.operators import monitor as mo
 from sluice.operators.policy import policy_counts
-from sluice.operators.prefix import exact_quantiles
+from sluice.operators.prefix import exact_quantiles, value_counts
 from sluice.streaming.run import drain_batches
 
 GRID = 20
@@ -20,7 +21,7 @@ GRID = 20
 
 @dataclass(frozen=True)
 class Profile:
-    """What a stream needs to know about the reference window: a few dozen numbers."""
+    """What a stream needs to know about the reference window: a few dozen numbers, and rows per distinct length."""
 
     n: int
     edges: list[float]
@@ -28,6 +29,7 @@ class Profile:
     keyword_rate: float
     grid: list[float]
     grid_counts: list[int]
+    lengths: list[tuple[float, int]]
 
 
 def reference_profile(
@@ -38,7 +40,7 @@ def reference_profile(
     bins: int = 10,
     grid: int = GRID,
 ) -> Profile:
-    """Computed once in batch when a stream starts; two one-row results reach the driver."""
+    """Computed once in batch when a stream starts; one row, and one per distinct length, reach the driver."""
     edges = mo.reference_edges(reference, score, bins)
     points = exact_quantiles(reference, length, [i / grid for i in range(grid + 1)], name="q")
     row = (
@@ -56,7 +58,26 @@ def reference_profile(
         .first()
     )
     size = len(row["grid"])
-    return Profile(row["n"], row["edges"], row["bins"], row["rate"], row["grid"], row["below"][:size])
+    lengths = [(float(r[0]), r[1]) for r in value_counts(reference, length).select(length, "n").collect()]
+    return Profile(row["n"], row["edges"], row["bins"], row["rate"], row["grid"], row["below"][:size], lengths)
+
+
+LADDER = "array<struct<v:double,c:bigint,r:bigint>>"
+
+
+def exact_ks(current: Column, n: Column, reference: list[tuple[float, int]]) -> Column:
+    """The KS statistic of counts per distinct value: ``current`` has structs (v, c rows, r = 0), with n rows in all."""
+    steps = F.from_json(F.lit(json.dumps([{"v": v, "c": 0, "r": r} for v, r in reference])), LADDER)
+    total = F.lit(float(sum(r for _, r in reference)))
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.abs(F.try_divide(state["c"], n) - F.try_divide(state["r"], total))
+        best = F.when(x["v"] > state["v"], F.greatest(state["best"], gap)).otherwise(state["best"])  # all rows up to state.v are in
+        return F.struct(x["v"].alias("v"), (state["c"] + x["c"]).alias("c"), (state["r"] + x["r"]).alias("r"), best.alias("best"))
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(float("-inf")).alias("v"), zero.alias("c"), zero.alias("r"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.array_sort(F.concat(current, steps)), start, step, lambda state: state["best"])
 
 
 def window_statistics(
@@ -69,11 +90,13 @@ def window_statistics(
     score: str = "router_score",
     length: str = "prompt_length",
     flag: str = "keyword_hit",
+    exact: bool = False,
 ) -> DataFrame:
     """PSI, KS on the reference's length grid, keyword drift and the decision per window.
 
     State per window is a fixed set of counters.  The KS figure only looks at the grid
-    points, so it is a lower bound of the exact statistic.
+    points, so it is a lower bound of the exact statistic.  With ``exact`` it is the exact
+    one, from a set of counters per window and distinct length; null lengths don't count in it.
     """
     bins = len(profile.bins)
     edges = F.array(*[F.lit(float(e)) for e in profile.edges])
@@ -81,18 +104,28 @@ def window_statistics(
     index = mo.bin_index(F.col(score), edges, bins)
     counters = [F.count_if(index == i).alias(f"_bin{i}") for i in range(bins)]
     timed = stream.withWatermark(time, delay) if stream.isStreaming else stream
-    counted = timed.groupBy(F.window(time, width, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(flag)).alias("hits"),
-        *counters,
-        *below,
-    )
+    window = F.window(time, width, slide).alias("w")
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("hits"), *counters]
+    if exact:
+        value = F.col(length).cast("double").alias("_v")
+        first = timed.groupBy(window, value).agg(*sums)
+        rows = F.struct("_v", F.col("n").alias("c"), F.lit(0).cast("bigint").alias("r"))
+        counted = first.groupBy("w").agg(
+            *[F.sum(c).alias(c) for c in ("n", "hits", *(f"_bin{i}" for i in range(bins)))],
+            F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("n"))), F.lit(0)).alias("_known"),
+            F.collect_list(F.when(F.col("_v").isNotNull(), rows)).cast(LADDER).alias("_lengths"),
+        )
+    else:
+        counted = timed.groupBy(window).agg(*sums, *below)
     n = F.col("n")
     psi = F.lit(0.0)
     for i in range(bins):
         psi = psi + drift.psi_term(F.lit(profile.bins[i] / profile.n), F.col(f"_bin{i}") / n)
-    gaps = [F.abs(F.col(f"_le{i}") / n - F.lit(c / profile.n)) for i, c in enumerate(profile.grid_counts)]
-    ks = F.greatest(*gaps, F.lit(0.0))
+    if exact:
+        ks, sizes = exact_ks(F.col("_lengths"), F.col("_known"), profile.lengths), (F.col("_known"), F.lit(sum(r for _, r in profile.lengths)))
+    else:
+        gaps = [F.abs(F.col(f"_le{i}") / n - F.lit(c / profile.n)) for i, c in enumerate(profile.grid_counts)]
+        ks, sizes = F.greatest(*gaps, F.lit(0.0)), (n, F.lit(profile.n))
     stats = counted.select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -100,8 +133,9 @@ def window_statistics(
         psi.alias("psi"),
         ks.alias("ks_statistic"),
         (F.col("hits") / n - F.lit(profile.keyword_rate)).alias("keyword_diff"),
+        F.struct(*(size.alias(k) for size, k in zip(sizes, "ab", strict=True))).alias("_sizes"),
     )
-    stats = stats.withColumn("ks_pvalue", drift.ks_pvalue(F.col("ks_statistic"), n, F.lit(profile.n)))
+    stats = stats.withColumn("ks_pvalue", drift.ks_pvalue(F.col("ks_statistic"), F.col("_sizes.a"), F.col("_sizes.b"))).drop("_sizes")
     return mo.decide(stats)
 
 
@@ -130,7 +164,7 @@ def window_rates(
 def batch_decision(batch: DataFrame, profile: Profile, tau: float) -> DataFrame:
     """One row: statistics of a whole micro-batch, the decision, and the policy figures."""
     one_window = batch.withColumn("_at", F.lit(0).cast("timestamp"))
-    stats = window_statistics(one_window, profile, "1 day", time="_at").drop("window_start", "window_end")
+    stats = window_statistics(one_window, profile, "1 day", time="_at", exact=True).drop("window_start", "window_end")
     counts = batch.agg(
         F.count_if(F.col("label") == 1).alias("positives"),
         *policy_counts(F.col("label"), F.col("router_score"), F.col("llm_prediction"), tau, "naive_"),

@@ -121,6 +121,33 @@ def test_late_rows_are_dropped_past_the_watermark(spark):
     assert got == {t0: 3, t0 + dt.timedelta(days=1): 2, t0 + dt.timedelta(days=2): 1}
 
 
+def test_exact_ks_sees_shifts_between_grid_points(spark):
+    """Lengths 0-99, and a window that moves half of each grid cell to its lower end: the grid sees nothing."""
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "sample_id string, ts timestamp, router_score double, prompt_length int, keyword_hit boolean, label int, llm_prediction int"
+
+    def rows(lengths, day):
+        return [(f"{day}-{i}", t0 + dt.timedelta(days=day), 0.1 + 0.01 * (i % 30), v, i % 2 == 0, 0, 0) for i, v in enumerate(lengths)]
+
+    cell = lambda v: v - v % 5 + 1 if v % 5 else v
+    reference = spark.createDataFrame(rows([i % 101 for i in range(20200)], 0), schema)
+    profile = sm.reference_profile(reference)
+    moved = [cell(i % 101) for i in range(20200)]
+    batch = spark.createDataFrame(rows(moved, 1) + rows([i % 101 for i in range(101)], 2), schema)
+    at = lambda xs, g: sum(x <= g for x in xs) / len(xs)
+    want = max(abs(at(moved[:101], g) - (g + 1) / 101) for g in range(101))
+    got = {r["window_start"].day: r for r in sm.window_statistics(batch, profile, exact=True).collect()}
+    assert got[2]["ks_statistic"] == pytest.approx(want) and got[2]["ks_trigger"]
+    assert got[3]["ks_statistic"] == pytest.approx(0) and got[3]["n"] == 101 and not got[3]["shift_detected"]
+    assert not any(r["ks_trigger"] for r in sm.window_statistics(batch, profile).collect())
+    decision = sm.batch_decision(batch.filter("sample_id like '1-%'"), profile, 0.2).first()
+    assert decision["ks_trigger"] and decision["n"] == 20200
+    folder = scratch_path(spark, "in")
+    spark.createDataFrame(rows(moved, 1) + rows([5], 9), schema).write.parquet(folder)
+    streamed = drain(sm.window_statistics(file_stream(spark, folder, batch.schema), profile, exact=True), "exact").collect()
+    assert [(r["n"], r["ks_statistic"], r["ks_trigger"]) for r in streamed] == [(20200, pytest.approx(want), True)]
+
+
 def test_routes_and_duplicates(spark, sf_dir):
     folder, rows = fx.event_folder(spark, sf_dir, "events", fx.judged_events(spark, sf_dir))
     rows.limit(100).write.mode("append").parquet(folder)
