@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, quality, sharding, substrings
+from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, packing, quality, sharding, substrings
 from sluice.llm.shared import table
 
 SHARD_BYTES = 16 << 20
@@ -112,11 +112,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumnsRenamed({"conv": "conv_id", "place": "turn"})
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.SequencePacker(tokenizer_path()).pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_ngram_jaccard, op3_source_mix, op4_line_dedup, op5_sharding, op6_order_minhash,
-        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format,
+        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format, op13_packing,
     )
 }
 
