@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, packing, quality, sharding, substrings
+from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, packing, quality, repair, sharding, substrings
 from sluice.llm.shared import table
 
 SHARD_BYTES = 16 << 20
@@ -112,6 +112,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumnsRenamed({"conv": "conv_id", "place": "turn"})
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of conversation and turn; nulls become one space."""
+    space = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    copies = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return turns.filter(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")
+    ).drop("copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    report, repaired = repair.ConversationRepair().apply(damaged(turns))
+    told = repair.joined(report, repair.digests(repaired), ["conv"], "left")
+    every = turns.select(F.col("conv_id").alias("conv")).distinct()
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return repair.joined(every, told, ["conv"], "left").select(
+        F.col("conv").alias("conv_id"), *(value.alias(name) for name, value in zero.items()), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed public tokenizers keep a file."""
     import public_tokenizers
@@ -127,7 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_ngram_jaccard, op3_source_mix, op4_line_dedup, op5_sharding, op6_order_minhash,
-        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format, op13_packing,
+        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format, op12_structure_repair, op13_packing,
     )
 }
 
