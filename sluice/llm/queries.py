@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, packing, quality, repair, sharding, substrings
+from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, packing, quality, repair, sharding, substrings, whitening
 from sluice.llm.shared import table
 
 SHARD_BYTES = 16 << 20
@@ -112,6 +112,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumnsRenamed({"conv": "conv_id", "place": "turn"})
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.Whitening().apply(table(spark, sf_dir, "embeddings"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with faults put in by a hash of conversation and turn; nulls become one space."""
     space = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
@@ -150,7 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_ngram_jaccard, op3_source_mix, op4_line_dedup, op5_sharding, op6_order_minhash,
-        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format, op12_structure_repair, op13_packing,
+        op7_substring_dedup, op8_language_id, op9_quality, op10_chat_format, op11_whitening, op12_structure_repair, op13_packing,
     )
 }
 
