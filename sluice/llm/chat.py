@@ -13,11 +13,14 @@ Status: ``ok``; ``invalid`` (arguments); ``unknown_tool``; ``unanswered`` (call
 ``cycle`` (a call that follows itself).  The first that applies, in the order cycle, duplicate, orphan,
 unknown_tool, invalid, unanswered.  Defined cases: null conversations are one conversation; null
 places come first; null ids link nothing; equal rows stay apart; an empty table gives an empty result.
+Arguments that are no JSON, or nested deeper than ``DEEPEST``, are ``invalid`` and kept as their text.
+Schemas may nest (``properties``, ``items``), name one type or several, or none.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,36 +30,74 @@ from pyspark.sql import functions as F
 from sluice.llm.shared import Scratch
 from sluice.operators.prefix import ranked
 
-KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+#: JSON types by schema name.
+KINDS = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),)}
+DEEPEST = 200
 
 
-def argument_errors(arguments: str | None, schema: dict) -> list[str]:
-    """What a call's arguments violate, in order of field names."""
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """A JSON value, or what is wrong with it: no JSON (NaN and infinities are none), or nested too deep."""
+    deepest = depth = 0
+    for c in re.sub(r'"(?:[^"\\]|\\.)*"?', "", text or ""):
+        depth += (c in "[{") - (c in "]}")
+        deepest = max(deepest, depth)
+    if deepest > DEEPEST:
+        return None, "too deep"
     try:
-        value = json.loads(arguments if arguments is not None else "")
-    except ValueError:
-        return ["not json"]
-    if not isinstance(value, dict):
-        return ["not an object"]
+        value = json.loads(text if text is not None else "", parse_constant=_no_number)
+        canonical(value)
+    except (ValueError, RecursionError):
+        return None, "not json"
+    return value, None
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def value_errors(path: str, given: object, rule: dict) -> list[str]:
+    """What a value violates of type (one or a list), enum, minimum, maximum, minLength, properties, required, items."""
+    kinds = rule.get("type", list(KINDS))
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    fits = any(isinstance(given, KINDS.get(k, ())) and (k == "boolean" or not isinstance(given, bool)) for k in kinds)
+    if not fits:
+        return [f"{path}: not {' or '.join(kinds)}"]
+    if "enum" in rule and given not in rule["enum"]:
+        return [f"{path}: not allowed"]
+    if isinstance(given, int | float) and not isinstance(given, bool) and not rule.get("minimum", given) <= given <= rule.get("maximum", given):
+        return [f"{path}: out of range"]
+    if isinstance(given, str) and len(given) < rule.get("minLength", 0):
+        return [f"{path}: too short"]
+    if isinstance(given, dict) and ("properties" in rule or "required" in rule):
+        return field_errors(f"{path}.", given, rule)
+    if isinstance(given, list) and "items" in rule:
+        return [e for i, x in enumerate(given) for e in value_errors(f"{path}[{i}]", x, rule["items"])]
+    return []
+
+
+def field_errors(path: str, value: dict, schema: dict) -> list[str]:
     fields = schema.get("properties", {})
-    errors = [f"{name}: missing" for name in schema.get("required", []) if name not in value]
+    errors = [f"{path}{name}: missing" for name in schema.get("required", []) if name not in value]
     for name, given in value.items():
-        rule = fields.get(name)
-        if rule is None:
-            errors += [] if schema.get("additionalProperties", False) else [f"{name}: unknown"]
-        elif not isinstance(given, KINDS[rule["type"]]) or isinstance(given, bool) and rule["type"] != "boolean":
-            errors.append(f"{name}: not {rule['type']}")
-        elif "enum" in rule and given not in rule["enum"]:
-            errors.append(f"{name}: not allowed")
-        elif "minimum" in rule and given < rule["minimum"] or "maximum" in rule and given > rule["maximum"]:
-            errors.append(f"{name}: out of range")
-        elif "minLength" in rule and len(given) < rule["minLength"]:
-            errors.append(f"{name}: too short")
-    return sorted(errors)
+        if name in fields:
+            errors += value_errors(path + name, given, fields[name])
+        elif not schema.get("additionalProperties", False):
+            errors.append(f"{path}{name}: unknown")
+    return errors
+
+
+def argument_errors(arguments: str | None, schema: dict) -> list[str]:
+    """What a call's arguments violate, in order of field names."""
+    value, wrong = parsed(arguments)
+    if wrong:
+        return [wrong]
+    return sorted(field_errors("", value, schema)) if isinstance(value, dict) else ["not an object"]
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no blanks; a character that UTF-8 can't hold (half a surrogate pair) stays escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda c: f"\\u{ord(c[0]):04x}", text)
 
 
 def link_calls(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -112,8 +153,8 @@ def link_calls(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
                 if r.kind == "call":
                     errors = argument_errors(r.payload, tools[r.name]) if r.name in tools else None
                     state = state or ("unknown_tool" if errors is None else "invalid" if errors else "unanswered" if r.open else "ok")
-                    parsed = json.loads(r.payload) if errors is not None and "not json" not in errors else r.payload
-                    body |= {"id": r.call_id, "name": r.name, "arguments": parsed, "errors": errors or []}
+                    value, wrong = parsed(r.payload) if errors is not None else (None, "unread")
+                    body |= {"id": r.call_id, "name": r.name, "arguments": r.payload if wrong else value, "errors": errors or []}
                 elif r.kind == "result":
                     body |= {"id": r.call_id, "content": r.payload}
                 else:

@@ -11,8 +11,8 @@ bit-parallel scan computes the least edit distance of the item to any part of th
 Items are taken in blocks of at most ``BLOCK_CHARS`` normalised characters, each with its own automaton;
 every block is one pass over the documents, so any number of items is matched whole.
 
-Defined cases: items that are null or have fewer than ``min_chars`` normalised characters match nothing;
-null texts match nothing; rows with equal ids give one row per id and item, with the least distance.
+Defined cases: an item of fewer than ``min_chars`` normalised characters matches only as it is, between
+word bounds; items that are null or have no letter or digit match nothing; null texts match nothing; rows with equal ids give one row per id and item, with the least distance.
 Columns other than ids and texts are ignored.
 """
 
@@ -25,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_CHARS = 1 << 20
 _GAP = re.compile(r"[\W_]+")
@@ -72,13 +73,13 @@ def myers(item_bits: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """All items of one block: automaton of their pieces, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = items
+    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int):
+        self.items, self.min_chars = items, min_chars
         self.automaton = ahocorasick.Automaton()
         hits: dict[str, list] = {}
         self.budget, self.bits, self.grams = [], [], []
         for index, (_, text) in enumerate(items):
-            k = int(rate * len(text))
+            k = int(rate * len(text)) if len(text) >= min_chars else 0
             self.budget.append(k)
             bits: dict[str, int] = {}
             for i, c in enumerate(text):
@@ -102,6 +103,10 @@ class Matcher:
                     continue
                 seen.add((index, start))
                 item, k = self.items[index][1], self.budget[index]
+                if len(item) < self.min_chars:
+                    if (start == 0 or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        found[index] = 0
+                    continue
                 if text.startswith(item, max(start, 0)) and start >= 0:
                     found[index] = 0
                     continue
@@ -132,7 +137,7 @@ class Decontaminator:
 
         kind = benchmark.schema[item_key].dataType.simpleString()
         items = benchmark.select(F.col(item_key).alias("_item"), F.col(text).alias("_text"))
-        items = items.mapInArrow(normal, f"_item {kind}, _text string").filter(F.length("_text") >= self.min_chars)
+        items = items.mapInArrow(normal, f"_item {kind}, _text string").filter(F.length("_text") > 0)
         block: list[tuple[int, str]] = []
         held = 0
         for row in items.toLocalIterator():
@@ -153,7 +158,7 @@ class Decontaminator:
         rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
         found = None
         for block in self.blocks(benchmark, item_key, item_text):
-            part = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(block), self.rate), schema)
+            part = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(block), self.rate, self.min_chars, to_arrow_type(benchmark.schema[item_key].dataType)), schema)
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = docs.sparkSession.createDataFrame([], schema)
@@ -166,22 +171,22 @@ class Decontaminator:
     def clean(self, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
         """The rows of docs that hold no item, all columns as they are; nothing is shuffled."""
         for block in self.blocks(benchmark, item_key, item_text):
-            docs = docs.mapInArrow(_dropper(docs.sparkSession.sparkContext.broadcast(block), self.rate, text), docs.schema)
+            docs = docs.mapInArrow(_dropper(docs.sparkSession.sparkContext.broadcast(block), self.rate, self.min_chars, text), docs.schema)
         return docs
 
 
-def _dropper(block, rate: float, text: str):
+def _dropper(block, rate: float, min_chars: int, text: str):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block.value, rate)
+        matcher = Matcher(block.value, rate, min_chars)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.matches(normalised(t.as_py())) for t in batch.column(text)], pa.bool_()))
 
     return drop
 
 
-def _finder(block, rate: float):
+def _finder(block, rate: float, min_chars: int, item_type: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block.value, rate)
+        matcher = Matcher(block.value, rate, min_chars)
         for batch in batches:
             rows, items, distances, budgets = [], [], [], []
             for i, text in enumerate(batch.column("_text")):
@@ -191,10 +196,7 @@ def _finder(block, rate: float):
                     distances.append(distance)
                     budgets.append(matcher.budget[index])
             ids = batch.column("_id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(items), pa.array(distances, pa.int64()), pa.array(budgets, pa.int64())] if rows else
-                [ids, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64())],
-                ["_id", "_item", "distance", "budget"],
-            )
+            columns = [ids, pa.array(items, item_type), pa.array(distances, pa.int64()), pa.array(budgets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_item", "distance", "budget"])
 
     return find

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import Scratch, components, counters
+from sluice.llm.shared import Scratch, components, counters, fresh
 from sluice.llm.words import distinct_runs, lists, mix, shingles, text_slices, words_of
 
 SKETCH_BITS = 22
@@ -103,7 +103,7 @@ class JaccardJoin:
         rows = docs.select(F.xxhash64(*keys).alias("_key"), *keys, F.col(text).alias("_text"))
         levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows.select("_text"), self.k))
         signatures = scratch.put(self._signatures(rows, keys, levels), "signatures")
-        levels.unpersist()
+        levels.destroy()
         members = scratch.put(
             signatures.filter("n > 0").drop(*keys).dropDuplicates(["sig"]), "classes"
         )
@@ -304,7 +304,7 @@ class JaccardJoin:
 
         read_sets = rows.select("_key", "_text").mapInArrow(read, "_key long, sig binary, tokens array<long>")
         sets = scratch.put(read_sets.select("sig", "tokens"), "sets")
-        sieve.unpersist()
+        sieve.destroy()
         percent = self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +338,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component, the row with the least doc_id stays.
 
-    Rows are numbered by the scan, so that rows with equal or null ids stay apart.  Blank texts stay.
+    Rows are numbered by the scan, so that rows with equal or null ids stay apart: docs must be a table on
+    files, which every reading numbers alike.  Blank texts stay, and all columns as they are.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = JaccardJoin(k, percent).groups(numbered.select("_row", "doc_id", "text"), ["_row", "doc_id"])
-    rank = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "_row")
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = numbered.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id"), "text")
+    rows = JaccardJoin(k, percent).groups(keyed, ["_row", "_id"])
+    rank = F.struct(F.col("_id").isNull().alias("blank"), "_id", "_row")
     first = rows.filter("component is not null").groupBy("component").agg(F.min(rank).alias("first")).select("first._row")
-    kept = first.union(rows.filter("component is null").select("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = first.union(rows.filter("component is null").select("_row")).withColumnRenamed("_row", row)
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.shared import Scratch, components
+from sluice.llm.shared import Scratch, components, fresh
 from sluice.operators.prefix import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -251,8 +251,12 @@ class SourceMix:
 
 
 def mixed(docs: DataFrame, mix: SourceMix, sources: Column) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
+    """The rows of docs, each as often as the mix takes it, with all columns as they are.
+
+    Rows are numbered by the scan: docs must be a table on files, which every reading numbers alike.
+    """
     rows, _, _ = mix.plan(docs, sources, ["doc_id"])
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = rows.filter("copies > 0").select("_row", "copies")
-    return numbered.join(kept, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = rows.filter("copies > 0").select(F.col("_row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(copy))
+    return numbered.join(kept, row).withColumn(copy, F.explode(copy)).select(*docs.columns)

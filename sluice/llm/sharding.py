@@ -58,12 +58,12 @@ def _directory(cells: DataFrame, base: int, limit: int) -> DataFrame:
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with ``n_bytes`` and ``shard``, the bucket's prefix as a string of bits."""
     scratch = Scratch(docs.sparkSession, "shards")
-    rows = docs.drop("shard", "n_bytes").withColumns(
-        {
-            "n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
-            "_h1": hash_bits(F.col(key), F.col(text)),
-            "_h2": F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS),
-        }
+    kept = docs.drop("shard", "n_bytes")
+    rows = kept.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("_doc"),
+        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
+        hash_bits(F.col(key), F.col(text)).alias("_h1"),
+        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS).alias("_h2"),
     )
     sizes = scratch.put(rows.select("_h1", "_h2", "n_bytes"), "sizes")
     out, base, found = rows, 0, []
@@ -84,4 +84,4 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         base += STEP
     depth = F.coalesce(*(F.col(c) for c in found), F.lit(2 * BITS))
     bits = F.concat(F.lpad(F.bin("_h1"), BITS, "0"), F.lpad(F.bin("_h2"), BITS, "0"))
-    return out.withColumn("shard", F.substring(bits, F.lit(1), depth)).drop("_h1", "_h2", *found)
+    return out.select("_doc.*", "n_bytes", F.substring(bits, F.lit(1), depth).alias("shard"))

@@ -5,7 +5,7 @@ d, two members that differ by d modulo v.  So when two documents share a window
 some shift j < v makes both p + j and q + j fall on D.  Only the runs of ``length - v + 1`` words that
 start on cover positions are compared between documents; every shared window contains a shared run
 whose two copies are aligned.  The second step extends: around each shared run, the windows that
-contain it at that alignment are hashed whole and compared.  A window is repeated when a document with
+contain it at that alignment are compared whole, by two independent 64-bit hashes.  A window is repeated when a document with
 a smaller id has it too.
 
 Texts with equal words are one class.  In all but the rows with the class's least id, every word goes
@@ -28,12 +28,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.llm.shared import Scratch, counters
-from sluice.llm.words import mix, run_hashes, shingles, text_slices, words_of
+from sluice.llm.words import mix, shingles, text_slices, window_hashes, words_of
 
 SIEVE_BITS = 22
 LAST = (1 << 63) - 1
@@ -76,7 +77,8 @@ class SubstringDedup:
         classes = scratch.put(rows.select("_row", rank, "_text").mapInArrow(self._digests, "_row long, rank long, digest binary"), "classes")
         least = classes.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most")
         copies = scratch.put(classes.join(least, "digest").filter("rank > least").select("_row"), "copies")
-        anchors = rows.select("_row", rank, "_text").mapInArrow(self._anchors(copies), "_row long, rank long, pos int, hash long, maybe boolean")
+        sieve = self._sieve(copies)
+        anchors = rows.select("_row", rank, "_text").mapInArrow(self._anchors(sieve), "_row long, rank long, pos int, hash long, maybe boolean")
         sure, unsure = anchors.filter("not maybe"), anchors.filter("maybe").join(copies, "_row", "left_anti")
         same = Window.partitionBy("hash")
         shared = (
@@ -86,9 +88,11 @@ class SubstringDedup:
             .select("_row", "pos")
         )
         shared = scratch.put(shared, "anchors")
+        sieve.destroy()
+        same = Window.partitionBy("hash", "check")
         places = shared.groupBy("_row").agg(F.sort_array(F.collect_set("pos")).alias("places"))
         windows = rows.join(places, "_row").select("_row", rank, "_text", "places").mapInArrow(
-            self._windows, "_row long, rank long, pos array<int>, hash long"
+            self._windows, "_row long, rank long, pos array<int>, hash long, check long"
         )
         repeated = (
             windows.withColumn("least", F.min("rank").over(same))
@@ -113,12 +117,13 @@ class SubstringDedup:
                 part = batch.slice(low, high - low).select(["_row", "rank"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())], ["_row", "rank", "digest"])
 
-    def _anchors(self, copies: DataFrame):
-        """Runs on cover positions; ``maybe`` marks texts that a sieve of fixed size can't tell from copies."""
-        size, length, period, cover = 1 << SIEVE_BITS, self.length, self.period, self.cover
+    @staticmethod
+    def _place(batch: pa.RecordBatch) -> np.ndarray:
+        return mix(batch.column("_row").to_numpy().view(np.uint64)).astype(np.int64) & ((1 << SIEVE_BITS) - 1)
 
-        def place(batch: pa.RecordBatch) -> np.ndarray:
-            return mix(batch.column("_row").to_numpy().view(np.uint64)).astype(np.int64) & (size - 1)
+    def _sieve(self, copies: DataFrame) -> Broadcast:
+        """One bit for each place that a row among the copies has."""
+        size, place = 1 << SIEVE_BITS, self._place
 
         def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             total = np.zeros(size, np.uint8)
@@ -126,7 +131,11 @@ class SubstringDedup:
                 total[place(batch)] = 1
             return total
 
-        sieve = copies.sparkSession.sparkContext.broadcast(np.packbits(counters(copies, mark, size, kind=np.bool_)))
+        return copies.sparkSession.sparkContext.broadcast(np.packbits(counters(copies, mark, size, kind=np.bool_)))
+
+    def _anchors(self, sieve: Broadcast):
+        """Runs on cover positions; ``maybe`` marks texts that a sieve of fixed size can't tell from copies."""
+        length, period, cover, place = self.length, self.period, self.cover, self._place
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,14 +170,16 @@ class SubstringDedup:
                     starts.append(own)
                     counts.append(len(own))
                 owner, start = np.repeat(np.arange(high - low), counts), np.concatenate(starts).astype(np.int64)
-                hashes = run_hashes(words.hash, words.first[owner] + start, np.full(len(start), self.length))
-                order = np.lexsort((start, hashes, owner))  # one row per distinct window of a document
-                owner, start, hashes = owner[order], start[order], hashes[order]
-                fresh = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))[: len(owner)])
+                at = words.first[owner] + start
+                hashes, checks = (window_hashes(words.hash, self.length, seed)[at] if len(at) else np.zeros(0, np.uint64) for seed in (0, 1))
+                order = np.lexsort((start, checks, hashes, owner))  # one row per distinct window of a document
+                owner, start, hashes, checks = owner[order], start[order], hashes[order], checks[order]
+                other = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+                fresh = np.flatnonzero(np.concatenate(([True], other))[: len(owner)])
                 places_of = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(start)).astype(np.int32)), pa.array(start.astype(np.int32)))
                 ids = batch.slice(low, high - low).select(["_row", "rank"]).take(pa.array(owner[fresh]))
-                columns = [*ids.columns, places_of, pa.array(hashes[fresh].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "rank", "pos", "hash"])
+                columns = [*ids.columns, places_of, pa.array(hashes[fresh].view(np.int64)), pa.array(checks[fresh].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "rank", "pos", "hash", "check"])
 
     def _kept(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Drop covered words; the one start -1 stands for all windows of the text."""

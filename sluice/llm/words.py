@@ -1,8 +1,10 @@
 """Words and runs of words of many texts at once, as 64-bit hashes (NumPy on Arrow buffers).
 
-A word is a run of bytes other than space and 0x09-0x0D.  Hashes are polynomials modulo 2**64 over
-fixed random values, finished by a mixing step, so that any run of bytes or words is hashed from one
-running sum.  Texts are taken in slices of about a megabyte: memory doesn't follow the batch size.
+A word is a run of bytes other than space and 0x09-0x0D.  A word's hash adds up one random value for each
+pair of place and byte; a run of words is hashed by halves, each step a mixing one.  So no pattern in a
+text makes two hashes equal more often than random bits are.  (``run_hashes`` is a polynomial modulo
+2**64, for short runs only: long periodic ones can cancel out in it.)  Texts are taken in slices of about
+a megabyte: memory doesn't follow the batch size.
 """
 
 from __future__ import annotations
@@ -39,6 +41,48 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BYTE_VALUE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
 
+PLACES = 256
+PLACE_VALUE = mix((np.arange(PLACES * 256, dtype=np.uint64) + np.uint64(1)) * _STEP)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start : end] for each word; words don't overlap and none is empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    cell = place * 256 + data[np.repeat(start, size) + place]
+    values = PLACE_VALUE[np.minimum(cell, len(PLACE_VALUE) - 1)]
+    late = np.flatnonzero(place >= PLACES)
+    values[late] = mix((cell[late].astype(np.uint64) + np.uint64(1)) * _STEP)
+    return mix(np.add.reduceat(values, ends - size) + size.astype(np.uint64) * _STEP)
+
+
+def joined_hashes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hash of two things after one another, from their hashes."""
+    turned = two << np.uint64(32)
+    turned |= two >> np.uint64(32)
+    turned ^= one * np.uint64(_BASE)
+    return mix(turned)
+
+
+def window_hashes(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Hash of values[i : i + length] for every i; another seed gives an independent hash."""
+    if len(values) < length:
+        return np.zeros(0, np.uint64)
+    part, size = (mix(values + np.uint64(seed) * _STEP) if seed else values), 1  # hashes of runs of ``size`` values
+    out, done = None, 0
+    while True:
+        if length & size:
+            out = part if out is None else joined_hashes(out[: len(values) - done - size + 1], part[done:])
+            done += size
+        if done == length:
+            return out[: len(values) - length + 1]
+        part = joined_hashes(part[:-size], part[size:])
+        size *= 2
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -88,7 +132,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     begin[offsets[full]] = inside[offsets[full]]
     finish[offsets[full + 1] - 1] = inside[offsets[full + 1] - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    hashes = run_hashes(BYTE_VALUE[FOLD[data] if fold else data], start, end - start)
+    hashes = word_hashes(FOLD[data] if fold else data, start, end)
     return Words(hashes, start, end, np.searchsorted(start, offsets))
 
 
@@ -103,7 +147,15 @@ def shingles(words: Words, k: int, whole_if_short: bool = True) -> tuple[np.ndar
     if whole_if_short:
         keep |= (words.counts[owner] < k) & (room == words.counts[owner])
     index = np.flatnonzero(keep)
-    hashes = run_hashes(words.hash, index, np.minimum(room[index], k))
+    hashes = np.zeros(len(index), np.uint64)
+    whole = room[index] >= k
+    hashes[whole] = window_hashes(words.hash, k)[index[whole]]
+    first, count = index[~whole], room[index[~whole]]
+    short = words.hash[first]
+    for place in range(1, k - 1):
+        more = count > place
+        short[more] = joined_hashes(short[more], words.hash[first[more] + place])
+    hashes[~whole] = mix(short + count.astype(np.uint64) * _STEP)
     return hashes, index, np.searchsorted(index, words.first)
 
 

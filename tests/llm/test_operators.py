@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, decontaminate, jaccard, language, lines, mixing, order_minhash, quality, sharding, substrings
-from sluice.llm.words import shingles, text_slices, words_of
+from sluice.llm.words import shingles, text_slices, window_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, _row string, root string"
 
@@ -394,3 +394,78 @@ def test_empty_tables(spark, empty):
     assert mixing.mixed(empty, mixing.SourceMix(), F.array("source")).count() == 0
     assert order_minhash.OrderMinHash().against_edits(empty).count() == 0
     assert order_minhash.OrderMinHash().fingerprints(empty).count() == 0
+
+
+def mirrored(length):
+    """Two words, unlike in every place, that cancel out in polynomials modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("length", [1024, 2048])
+def test_hashes_hold_against_patterns(spark, length):
+    one, two = mirrored(length)
+    words = [f"w{i}" for i in range(24)]
+    rows = [(1, one), (2, two), (3, " ".join([*words, one, *words, "end"])), (4, " ".join([*words, two, *words, "end"]))]
+    rows += [(5, " ".join(mirrored(length)[0])), (6, " ".join(mirrored(length)[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(jaccard.near_duplicates(docs, 3, 90))
+    assert [found[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    assert jaccard.one_per_component(docs).filter("doc_id < 5").count() == 4
+    kept = by_id(substrings.SubstringDedup().apply(docs))
+    assert kept[4].n_removed == 0
+
+
+def test_window_hashes_are_of_the_run_alone():
+    values = np.random.default_rng(0).integers(0, 2**63, 200).astype(np.uint64)
+    twice = np.concatenate((values, values))
+    for length in (1, 2, 3, 7, 20, 50, 64):
+        one, two = window_hashes(twice, length), window_hashes(twice, length, 1)
+        assert len(one) == 400 - length + 1 and (one[: 200 - length + 1] == one[200:]).all() and (two[: 200 - length + 1] == two[200:]).all()
+        assert len(np.unique(one)) == 200 and not (one == two).any()
+
+
+@pytest.mark.parametrize("kind, ids", [("int", [1, 2, None]), ("string", ["a", "b", None])])
+def test_items_by_any_id_and_of_any_length(spark, kind, ids):
+    items = ["a question of one line that is long enough", "short one", "..."]
+    benchmark = spark.createDataFrame(list(zip(ids, items, strict=True)), f"item_id {kind}, text string")
+    texts = ["nothing here", f"x {items[0]}? y", "A short, one!", "short oneself", "nothing", None, "", f"{items[1]} {items[0]}"] * 2
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts[:8])], "doc_id string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = decontaminate.Decontaminator().matches(docs.repartition(1), benchmark)
+        assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {("1", ids[0], 0), ("2", ids[1], 0), ("7", ids[0], 0), ("7", ids[1], 0)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert decontaminate.Decontaminator().clean(docs, benchmark).count() == 5
+
+
+def test_arguments_of_any_shape():
+    schema = {
+        "properties": {"q": {"type": ["string", "null"]}, "n": {}, "l": {"type": "array", "items": {"type": "integer", "minimum": 1}}, "o": {"type": "object", "properties": {"a": {"type": "boolean"}}, "required": ["a"]}},
+        "required": ["q"],
+    }
+    cases = {
+        '{"q":"\\ud800"}': [], '{"q":null,"n":[1]}': [], '{"q":"]]]]{{"}': [], "[" * 100_000: ["too deep"], '{"q":NaN}': ["not json"], '{"q":1e999}': ["not json"],
+        '{"q":1}': ["q: not string or null"], '{"q":"x","l":[1,0,"a"],"o":{}}': ["l[1]: out of range", "l[2]: not integer", "o.a: missing"], "[1]": ["not an object"], "": ["not json"],
+    }
+    assert {a: chat.argument_errors(a, schema) for a in cases} == cases
+    assert chat.canonical(chat.parsed('{"b":"\\ud800é","a":1}')[0]).encode() == '{"a":1,"b":"\\ud800é"}'.encode()
+
+
+def test_odd_arguments_are_written(spark):
+    rows = [(1, i, "call", "assistant", f"c{i}", None, "t", a) for i, a in enumerate(['{"q":"\\ud800"}', "[" * 3000, '{"q":NaN}', None, '{"q":{"q":1}}'])]
+    events = spark.createDataFrame(rows, "conv long, place long, kind string, role string, call_id string, follows string, name string, payload string")
+    got = {r.place: (r.status, json.loads(r.json)["errors"]) for r in chat.link_calls(events, {"t": {"properties": {"q": {}}}}).collect()}
+    assert got == {0: ("unanswered", []), 1: ("invalid", ["too deep"]), 2: ("invalid", ["not json"]), 3: ("invalid", ["not json"]), 4: ("unanswered", [])}
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["_row", "_copy", "_h1", "_h2", "_c1", "_depth0", "_id", "_doc", "component", "copies"]
+    rows = [(i, f"text number {i} of many words in a line", "s", *(f"{n}-{i}" for n in names)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    wanted = sorted(map(tuple, rows))
+    assert sorted(map(tuple, jaccard.one_per_component(docs).collect())) == wanted
+    assert set(map(tuple, mixing.mixed(docs, mixing.SourceMix(), F.array("source")).collect())) == set(wanted)
+    assert sorted(tuple(r)[: len(wanted[0])] for r in sharding.shard(docs, 100).collect()) == wanted
