@@ -76,37 +76,38 @@ def psi_by_stream(
     return joined.select(stream, "n", value_of.alias("psi"))
 
 
-def ks_by_stream(
-    df: DataFrame, value: str = "prompt_length", stream: str = "stream", reference: str = REFERENCE
-) -> DataFrame:
-    """Two-sample KS statistic against the reference, and its asymptotic p-value.
+def ks_against(current: DataFrame, reference: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """Two-sample KS statistic of every group's counts against one reference's: groups, n, n_reference, ks_statistic, ks_pvalue.
 
-    Rows shrink to counts per distinct value first.  The reference histogram is repeated
-    once per stream (streams are a monitored list, not data), then both cumulative
-    distributions come from one distributed running sum per stream.
+    Both inputs hold rows per distinct value (``value_counts``).  The distance is greatest at a value of the
+    group, or just below one, so the reference's running counts are only looked up there: one running sum
+    over distinct values for the reference, one per group for the rest, and nothing is repeated per group.
     """
-    counts = value_counts(df, value, [stream])
-    current = counts.filter(F.col(stream) != reference)
-    names = current.agg(F.collect_set(stream).alias("s")).scalar()
-    repeated = (
-        counts.filter(F.col(stream) == reference)
-        .select(value, F.col("n").alias("n_ref"), names.alias("_names"))
-        .select(F.explode("_names").alias(stream), value, F.lit(0).cast("bigint").alias("n_cur"), "n_ref")
+    at, size = F.col(value).alias("_v"), F.col("n")
+    values = (
+        reference.select(at, size.alias("_r"))
+        .unionByName(current.select(at, F.lit(0).cast("bigint").alias("_r")))
+        .groupBy("_v")
+        .agg(F.sum("_r").alias("_r"))
     )
-    points = (
-        current.select(stream, value, F.col("n").alias("n_cur"), F.lit(0).cast("bigint").alias("n_ref"))
-        .unionByName(repeated)
-        .groupBy(stream, value)
-        .agg(F.sum("n_cur").alias("n_cur"), F.sum("n_ref").alias("n_ref"))
-    )
-    cum = running_sums(points, [value], ["n_cur", "n_ref"], [stream])
-    gap = F.abs(F.col("cum_n_cur") / F.col("total_n_cur") - F.col("cum_n_ref") / F.col("total_n_ref"))
-    stat = cum.groupBy(stream).agg(
-        F.max("total_n_cur").alias("n"), F.max("total_n_ref").alias("n_reference"), F.max(gap).alias("ks_statistic")
-    )
-    return stat.withColumn(
-        "ks_pvalue", drift.ks_pvalue(F.col("ks_statistic"), F.col("n"), F.col("n_reference"))
+    ladder = running_sums(values, ["_v"], ["_r"]).withColumnRenamed("_v", "_value")
+    own = running_sums(current.select(*groups, at, size.alias("_c")), ["_v"], ["_c"], groups)
+    met = own.join(ladder, F.col("_v") == F.col("_value"))
+    upto = F.abs(F.col("cum__c") / F.col("total__c") - F.col("cum__r") / F.col("total__r"))
+    below = F.abs((F.col("cum__c") - F.col("_c")) / F.col("total__c") - (F.col("cum__r") - F.col("_r")) / F.col("total__r"))
+    stat = met.groupBy(*groups).agg(
+        F.max("total__c").alias("n"), F.max("total__r").alias("n_reference"), F.max(F.greatest(upto, below)).alias("ks_statistic")
     )
+    return stat.withColumn("ks_pvalue", drift.ks_pvalue(F.col("ks_statistic"), F.col("n"), F.col("n_reference")))
+
+
+def ks_by_stream(
+    df: DataFrame, value: str = "prompt_length", stream: str = "stream", reference: str = REFERENCE
+) -> DataFrame:
+    """KS statistic of every stream against the reference, and its asymptotic p-value."""
+    counts = value_counts(df, value, [stream])
+    of_reference = F.col(stream) == reference
+    return ks_against(counts.filter(F.col(stream) != reference), counts.filter(of_reference).drop(stream), value, [stream])
 
 
 def keyword_drift(
@@ -132,8 +133,19 @@ def decide(
     out = stats.withColumns(
         drift.trigger_columns(F.col("psi"), F.col("ks_pvalue"), F.col("keyword_diff"), *as_col)
     )
+    return _decided(out)
+
+
+def with_triggers(stats: DataFrame, ks_trigger: Column) -> DataFrame:
+    """The decision where KS is settled without a p-value of every row."""
+    limits = (F.lit(lx.PSI_LIMIT), F.lit(lx.KS_P_LIMIT), F.lit(lx.KEYWORD_DRIFT_LIMIT))
+    flags = drift.trigger_columns(F.col("psi"), F.lit(1.0), F.col("keyword_diff"), *limits) | {"ks_trigger": ks_trigger}
+    return _decided(stats.withColumns(flags))
+
+
+def _decided(flagged: DataFrame) -> DataFrame:
     p, k, w = (F.col(c) for c in ("psi_trigger", "ks_trigger", "keyword_trigger"))
-    return out.withColumns({"shift_detected": p | k | w, "triggers": drift.trigger_codes(p, k, w)})
+    return flagged.withColumns({"shift_detected": p | k | w, "triggers": drift.trigger_codes(p, k, w)})
 
 
 def stream_statistics(

@@ -157,9 +157,6 @@ MONITOR_SQL = f"""WITH {q.EVENTS},
 psi_edges AS (
   SELECT DISTINCT unnest(quantile_cont(router_score, [{", ".join(repr(i * 0.1) for i in range(1, 10))}])) AS edge
   FROM judged_events WHERE stream = 'reference'),
-grid AS (
-  SELECT DISTINCT unnest(quantile_cont(prompt_length, [{", ".join(repr(i / 20) for i in range(21))}])) AS g
-  FROM judged_events WHERE stream = 'reference'),
 binned AS (SELECT *, {BIN_SQL} AS bin, date_trunc('day', ts) AS window_start FROM judged_events),
 ref AS (SELECT count(*) AS rn, avg(CASE WHEN keyword_hit THEN 1.0 ELSE 0.0 END) AS rk,
   {", ".join(f"count(*) FILTER (WHERE bin = {i}) / CAST(count(*) AS DOUBLE) AS r{i}" for i in range(10))}
@@ -167,11 +164,18 @@ ref AS (SELECT count(*) AS rn, avg(CASE WHEN keyword_hit THEN 1.0 ELSE 0.0 END)
 win AS (SELECT window_start, count(*) AS n, avg(CASE WHEN keyword_hit THEN 1.0 ELSE 0.0 END) AS ck,
   {", ".join(f"count(*) FILTER (WHERE bin = {i}) / CAST(count(*) AS DOUBLE) AS c{i}" for i in range(10))}
   FROM binned GROUP BY window_start),
-gaps AS (
-  SELECT b.window_start, g, avg(CASE WHEN b.prompt_length <= g THEN 1.0 ELSE 0.0 END) AS f FROM binned b, grid GROUP BY ALL),
-rgaps AS (
-  SELECT g, avg(CASE WHEN prompt_length <= g THEN 1.0 ELSE 0.0 END) AS f FROM binned, grid WHERE stream = 'reference' GROUP BY g),
-ksw AS (SELECT window_start, max(abs(a.f - b.f)) AS ks_statistic FROM gaps a JOIN rgaps b ON a.g = b.g GROUP BY window_start),
+points AS (
+  SELECT window_start, v, sum(cur) AS cur, sum(ref) AS ref FROM (
+    SELECT window_start, prompt_length AS v, count(*) AS cur, 0 AS ref FROM binned GROUP BY ALL
+    UNION ALL
+    SELECT w.window_start, r.v, 0, r.c FROM win w,
+      (SELECT prompt_length AS v, count(*) AS c FROM binned WHERE stream = 'reference' GROUP BY ALL) r)
+  GROUP BY window_start, v),
+sums AS (
+  SELECT window_start, sum(cur) OVER o / CAST(sum(cur) OVER (PARTITION BY window_start) AS DOUBLE) AS fc,
+    sum(ref) OVER o / CAST(sum(ref) OVER (PARTITION BY window_start) AS DOUBLE) AS fr
+  FROM points WINDOW o AS (PARTITION BY window_start ORDER BY v)),
+ksw AS (SELECT window_start, max(abs(fc - fr)) AS ks_statistic FROM sums GROUP BY window_start),
 stats AS (
   SELECT w.window_start, w.window_start + INTERVAL 1 DAY AS window_end, n, {PSI_CELLS} AS psi, ks_statistic,
     ck - rk AS keyword_diff, {q.ks_pvalue('ks_statistic', 'n', 'rn')} AS ks_pvalue
@@ -183,9 +187,14 @@ WINDOW = (
 )
 
 
-@query("stream_monitor", WINDOW, MONITOR_SQL + CLOSED)
+DECISION = " ".join(c for c in WINDOW.split() if c not in ("ks_statistic:f", "ks_pvalue:f"))
+
+
+@query("stream_monitor", DECISION, MONITOR_SQL + CLOSED)
 def stream_monitor(spark, d):
-    return drain(sm.window_statistics(event_stream(spark, d), profile(spark, d)), "monitor")
+    """Decisions of exact KS from sketches; only windows that their bounds leave open are counted exactly."""
+    rows = fx.judged_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return sm.run_window_monitor(event_stream(spark, d), rows, profile(spark, d), scratch_path(spark, "monitor"))
 
 
 @query("window_monitor_batch", WINDOW, MONITOR_SQL)
@@ -279,21 +288,24 @@ def stream_dedupe(spark, d):
 @query(
     "stream_failsafe",
     "route:s stream:s n:i",
-    f"""WITH {q.EVENTS}, shifted AS (SELECT * FROM judged_events WHERE stream = 'shifted'),
-watched AS (SELECT * FROM shifted UNION ALL SELECT * FROM judged_events WHERE stream = 'reference'),
-{q.statistics('watched')}, dec AS (SELECT {q.decision()} FROM stats)
-SELECT CASE WHEN NOT shift_detected AND router_score <= {ROUTE_TAU} THEN 'bypass' ELSE 'judge' END AS route, stream, count(*) AS n
-FROM shifted, dec GROUP BY ALL""",
+    f"""WITH {q.EVENTS},
+arriving AS (SELECT * FROM judged_events WHERE stream = 'shifted'
+  UNION ALL SELECT * REPLACE ('steady' AS stream) FROM judged_events WHERE stream = 'reference'),
+watched AS (SELECT * FROM arriving UNION ALL SELECT * FROM judged_events WHERE stream = 'reference'),
+{q.statistics('watched')}, dec AS (SELECT stream, {q.decision()} FROM stats)
+SELECT CASE WHEN NOT shift_detected AND router_score <= {ROUTE_TAU} THEN 'bypass' ELSE 'judge' END AS route, a.stream, count(*) AS n
+FROM arriving a JOIN dec USING (stream) GROUP BY ALL""",
 )
 def stream_failsafe(spark, d):
-    """The shifted stream trips the monitor, so its micro-batch is judged in full."""
-    rows = fx.judged_events(spark, d)
-    folder, shifted = fx.event_folder(spark, d, "shifted", rows.filter("stream = 'shifted'"))
-    path = scratch_path(spark, "failsafe")
-    columns = ("sample_id", "router_score", "stream")
-    results = sm.run_fail_safe(file_stream(spark, folder, shifted.schema), profile(spark, d), path, ROUTE_TAU, columns)
-    _, routed = results()
-    return routed.groupBy("route", "stream").agg(F.count(F.lit(1)).alias("n"))
+    """The shifted stream trips the monitor and is judged in full; the steady one, the reference again, isn't."""
+    rows, watch, columns = fx.judged_events(spark, d), profile(spark, d), ("sample_id", "router_score", "stream")
+    parts = {"shifted": rows.filter("stream = 'shifted'"), "steady": rows.filter("stream = 'reference'").withColumn("stream", F.lit("steady"))}
+    out = []
+    for name, part in parts.items():
+        folder, arriving = fx.event_folder(spark, d, name, part)
+        results = sm.run_fail_safe(file_stream(spark, folder, arriving.schema), watch, scratch_path(spark, "failsafe"), ROUTE_TAU, columns)
+        out.append(results()[1])
+    return out[0].unionByName(out[1]).groupBy("route", "stream").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -116,36 +116,61 @@ def test_late_rows_are_dropped_past_the_watermark(spark):
     for batch in (rows("a", [1, 2, 3, 30, 31, 60]), rows("late", [4, 5]) + rows("b", [90])):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
         stream = file_stream(spark, folder, reference.schema)
-        results = drain(sm.window_statistics(stream, profile), "windows", path)
+        results = drain(sm.window_sketches(stream, profile), "windows", path)
     got = {r["window_start"]: r["n"] for r in results.collect()}
     assert got == {t0: 3, t0 + dt.timedelta(days=1): 2, t0 + dt.timedelta(days=2): 1}
 
 
-def test_exact_ks_sees_shifts_between_grid_points(spark):
-    """Lengths 0-99, and a window that moves half of each grid cell to its lower end: the grid sees nothing."""
+SHORT = "sample_id string, ts timestamp, router_score double, prompt_length int, keyword_hit boolean, label int, llm_prediction int"
+
+
+def lengths_on(day, lengths):
     t0 = dt.datetime(2024, 1, 1)
-    schema = "sample_id string, ts timestamp, router_score double, prompt_length int, keyword_hit boolean, label int, llm_prediction int"
+    return [(f"{day}-{i}", t0 + dt.timedelta(days=day, seconds=i), 0.1 + 0.01 * (i % 30), v, i % 2 == 0, 0, 0) for i, v in enumerate(lengths)]
 
-    def rows(lengths, day):
-        return [(f"{day}-{i}", t0 + dt.timedelta(days=day), 0.1 + 0.01 * (i % 30), v, i % 2 == 0, 0, 0) for i, v in enumerate(lengths)]
 
-    cell = lambda v: v - v % 5 + 1 if v % 5 else v
-    reference = spark.createDataFrame(rows([i % 101 for i in range(20200)], 0), schema)
-    profile = sm.reference_profile(reference)
-    moved = [cell(i % 101) for i in range(20200)]
-    batch = spark.createDataFrame(rows(moved, 1) + rows([i % 101 for i in range(101)], 2), schema)
+def ks_of(one, two):
     at = lambda xs, g: sum(x <= g for x in xs) / len(xs)
-    want = max(abs(at(moved[:101], g) - (g + 1) / 101) for g in range(101))
-    got = {r["window_start"].day: r for r in sm.window_statistics(batch, profile, exact=True).collect()}
-    assert got[2]["ks_statistic"] == pytest.approx(want) and got[2]["ks_trigger"]
-    assert got[3]["ks_statistic"] == pytest.approx(0) and got[3]["n"] == 101 and not got[3]["shift_detected"]
-    assert not any(r["ks_trigger"] for r in sm.window_statistics(batch, profile).collect())
-    decision = sm.batch_decision(batch.filter("sample_id like '1-%'"), profile, 0.2).first()
-    assert decision["ks_trigger"] and decision["n"] == 20200
-    folder = scratch_path(spark, "in")
-    spark.createDataFrame(rows(moved, 1) + rows([5], 9), schema).write.parquet(folder)
-    streamed = drain(sm.window_statistics(file_stream(spark, folder, batch.schema), profile, exact=True), "exact").collect()
-    assert [(r["n"], r["ks_statistic"], r["ks_trigger"]) for r in streamed] == [(20200, pytest.approx(want), True)]
+    return max(abs(at(one, g) - at(two, g)) for g in {*one, *two})
+
+
+def test_bounds_hold_the_exact_ks_and_open_windows_are_counted(spark):
+    rng = random.Random(1)
+    reference = [rng.randrange(1000) for _ in range(6000)]
+    days = {
+        1: [rng.randrange(1000) for _ in range(3000)],  # no shift, sketch of more values than k
+        2: [v // 2 for v in reference[:3000]],  # a clear one
+        3: [int(v * 0.965) for v in reference[:3000]],  # near the limit
+        4: [rng.randrange(1000) for _ in range(40)],
+        5: [None, 7],
+        6: [None],
+    }
+    known = {day: [v for v in lengths if v is not None] for day, lengths in days.items()}
+    profile = sm.reference_profile(spark.createDataFrame(lengths_on(0, reference), SHORT), k=256)
+    rows = [r for day, lengths in days.items() for r in lengths_on(day, lengths)]
+    history = spark.createDataFrame(rows, SHORT)
+    batch = {r["window_start"].day - 1: r for r in sm.window_statistics(history, profile).collect()}
+    for day, values in known.items():
+        want = ks_of(values, reference) if values else 0.0
+        assert batch[day]["ks_statistic"] == pytest.approx(want) and batch[day]["n"] == len(days[day])
+    sketched = {r["window_start"].day - 1: r for r in sm.window_sketches(history, profile).collect()}
+    for day, values in known.items():
+        if values:
+            assert sketched[day]["ks_low"] - 1e-12 <= batch[day]["ks_statistic"] <= sketched[day]["ks_high"] + 1e-12
+        assert sketched[day]["ks_trigger"] in (None, batch[day]["ks_trigger"])
+    assert sketched[2]["ks_trigger"] and sketched[3]["ks_trigger"] is None and sketched[6]["ks_trigger"] is False
+    folder, path = scratch_path(spark, "in"), scratch_path(spark, "monitor")
+    decided = None
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :] + lengths_on(20, [5])):
+        spark.createDataFrame(part, SHORT).coalesce(1).write.mode("append").parquet(folder)
+        decided = sm.run_window_monitor(file_stream(spark, folder, history.schema), history, profile, path)
+    got = {r["window_start"].day - 1: r for r in decided.collect()}
+    assert {d: (r["n"], r["ks_trigger"], r["shift_detected"], r["triggers"]) for d, r in got.items()} == {
+        d: (r["n"], r["ks_trigger"], r["shift_detected"], r["triggers"]) for d, r in batch.items()
+    }
+    assert got[3]["ks_statistic"] == pytest.approx(batch[3]["ks_statistic"]) and got[2]["ks_statistic"] is None
+    decision = sm.batch_decision(history.filter("sample_id like '2-%'"), profile, 0.2).first()
+    assert decision["ks_trigger"] and decision["n"] == 3000
 
 
 def test_routes_and_duplicates(spark, sf_dir):
