@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import lexicons as lx
+from sluice.functions.draws import binomial_draw, poisson_draw
 from sluice.functions.hashing import unit_bucket
 from sluice.functions.rates import confusion_counts, with_rates
 from sluice.functions.text import keyword_hit
@@ -203,73 +203,41 @@ def _interval(replicates: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def _replicates(df: DataFrame, predicted: Column, groups: Sequence[str], seed: int, replicates: int, label: str) -> DataFrame:
+    """The confusion counts of every group, once per replicate, with a uniform number for each count (``_u0`` ...)."""
+    counted = df.groupBy(*groups).agg(*confusion_counts(F.col(label), predicted))
+    spread = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    name = F.concat_ws("|", *(F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups), F.lit(f"boot:{seed}"), F.col("replicate").cast("string"))
+    return spread.withColumns({f"_u{i}": unit_bucket(F.concat(name, F.lit(f"|{c}"))) for i, c in enumerate(COUNTS)})
+
+
 def bootstrap_ci(
     df: DataFrame, predicted: Column, groups: Sequence[str], seed: int, replicates: int = 500, label: str = "label"
 ) -> DataFrame:
     """Resample-with-replacement intervals from one pass over the rows.
 
-    The metrics depend on the four confusion counts only, and resampling n rows with
-    replacement draws those counts from a multinomial.  So the rows are counted once and
-    the replicates are drawn from the counts, at a cost that does not grow with n.
+    The metrics depend on the four confusion counts only, and resampling n rows with replacement draws
+    those counts from a multinomial: each count is binomial in what the ones before it have left.  So
+    the rows are counted once, and the draws are columns over groups x replicates.
     """
     groups = list(groups)
-    counted = df.groupBy(*groups).agg(*confusion_counts(F.col(label), predicted))
-    spread = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    salted = spread.withColumn("_salt", F.crc32(F.concat_ws("|", *groups).cast("binary")) if groups else F.lit(0))
-
-    def draw(batches):
-        for pdf in batches:
-            counts = pdf[COUNTS].to_numpy(dtype=np.int64)
-            drawn = np.zeros_like(counts)
-            for i, row in enumerate(counts):
-                total = int(row.sum())
-                if total:
-                    rng = np.random.default_rng([seed, int(pdf["_salt"].iat[i]), int(pdf["replicate"].iat[i])])
-                    drawn[i] = rng.multinomial(total, row / total)
-            yield pd.concat([pdf[groups], pd.DataFrame(drawn, columns=COUNTS, index=pdf.index)], axis=1)
-
-    kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*groups, *COUNTS])
-    return _interval(salted.mapInPandas(draw, schema), groups)
-
-
-# Cumulative Poisson(1) probabilities.
-POISSON_STEPS = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-]
-
-
-def bootstrap_ci_hashed(
-    df: DataFrame,
-    predicted: Column,
-    groups: Sequence[str],
-    seed: int,
-    replicates: int = 100,
-    label: str = "label",
-    id_col: str = "sample_id",
+    spread = _replicates(df, predicted, groups, seed, replicates, label)
+    whole, left = spread, sum((F.col(c) for c in COUNTS), F.lit(0))
+    whole = whole.withColumns({"_rows": left, "_left": left})
+    for i, c in enumerate(COUNTS[:-1]):
+        drawn = binomial_draw(F.col(f"_u{i}"), F.col("_left"), F.try_divide(F.col(c), F.col("_rows")))
+        whole = whole.withColumn(f"_d{i}", F.coalesce(drawn, F.lit(0).cast("bigint")))
+        whole = whole.withColumns({"_rows": F.col("_rows") - F.col(c), "_left": F.col("_left") - F.col(f"_d{i}")})
+    last = len(COUNTS) - 1
+    drawn = [F.col(f"_d{i}").alias(c) for i, c in enumerate(COUNTS[:-1])] + [F.col("_left").alias(COUNTS[last])]
+    return _interval(whole.select(*groups, *drawn), groups)
+
+
+def bootstrap_ci_poisson(
+    df: DataFrame, predicted: Column, groups: Sequence[str], seed: int, replicates: int = 500, label: str = "label"
 ) -> DataFrame:
-    """Poisson bootstrap whose row weights come from a hash, so any engine can repeat it.
-
-    Costs one hash per row and replicate; partial sums leave four numbers per task and
-    replicate.  ``bootstrap_ci`` gives the same kind of interval in one pass.
-    """
-    y = F.col(label)
-    rows = df.select(*groups, id_col, y.alias("_y"), predicted.alias("_p"))
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = unit_bucket(
-        F.concat(F.col(id_col).cast("string"), F.lit(f":boot:{seed}:"), F.col("replicate").cast("string"))
-    )
-    spread = spread.withColumn("_u", draw)
-    weight = sum(((F.col("_u") >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
-    spread = spread.withColumn("_w", weight)
-
-    def cell(y_value: int, p_value: int, name: str) -> Column:
-        hit = (F.col("_y") == y_value) & (F.col("_p") == p_value)
-        return F.sum(F.when(hit, F.col("_w")).otherwise(0)).alias(name)
-
-    drawn = spread.groupBy(*groups, "replicate").agg(
-        cell(0, 0, "tn"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(1, 1, "tp")
-    )
+    """Poisson bootstrap: every row weighs Poisson(1), so a count of c rows weighs Poisson(c), drawn as one number."""
+    groups = list(groups)
+    spread = _replicates(df, predicted, groups, seed, replicates, label)
+    drawn = spread.select(*groups, *(poisson_draw(F.col(f"_u{i}"), F.col(c)).alias(c) for i, c in enumerate(COUNTS)))
     return _interval(drawn, groups)

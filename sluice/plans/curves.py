@@ -217,32 +217,68 @@ def policy_pick(spark, d):
 
 
 CI = "stream:s metric:s mean:f ci95_low:f ci95_high:f"
-STEPS = " + ".join(f"CASE WHEN u >= CAST({s} AS DOUBLE) THEN 1 ELSE 0 END" for s in qu.POISSON_STEPS)
-BOOT_SQL = f"""WITH {q.EVENTS}, w AS (
-  SELECT stream, label, CASE WHEN router_score >= 0.5 THEN 1 ELSE 0 END AS pred, r.b,
-    {q.bucket("sample_id || ':boot:11:' || r.b")} AS u
-  FROM judged_events CROSS JOIN range(100) r(b)),
-k AS (SELECT *, {STEPS} AS wt FROM w),
-c AS (
-  SELECT stream, b, sum(CASE WHEN label = 0 AND pred = 0 THEN wt ELSE 0 END) AS tn,
-    sum(CASE WHEN label = 0 AND pred = 1 THEN wt ELSE 0 END) AS fp,
-    sum(CASE WHEN label = 1 AND pred = 0 THEN wt ELSE 0 END) AS fn,
-    sum(CASE WHEN label = 1 AND pred = 1 THEN wt ELSE 0 END) AS tp FROM k GROUP BY stream, b),
-m AS (SELECT stream, {q.RATES} FROM c),
+CELLS = ["tn", "fp", "fn", "tp"]
+
+
+def uniform(cell: str, seed: int) -> str:
+    return q.bucket(f"stream || '|boot:{seed}|' || b || '|{cell}'")
+
+
+def drawn(source: str, name: str, cell: str, seed: int, mean: str, variance: str, most: str, log_weight: str, keep: str) -> str:
+    """CTEs that draw one count per row of ``source`` by inversion; table ``name`` has d_<cell> next to the columns kept."""
+    return f"""{name}_w AS (
+  SELECT stream, b, {uniform(cell, seed)} AS u, {mean} AS mean, {variance} AS variance, {most} AS most, {keep} FROM {source}),
+{name}_k AS (
+  SELECT *, unnest(range(CAST(greatest(0, floor(mean - 12 * sqrt(variance) - 30)) AS BIGINT),
+    CAST(least(most, ceil(mean + 12 * sqrt(variance) + 30)) AS BIGINT) + 1)) AS k FROM {name}_w),
+{name}_s AS (SELECT stream, b, u, k, sum(exp({log_weight})) OVER w AS s, sum(exp({log_weight})) OVER (PARTITION BY stream, b) AS t
+  FROM {name}_k WINDOW w AS (PARTITION BY stream, b ORDER BY k)),
+{name}_d AS (SELECT stream, b, min(k) FILTER (WHERE s >= u * t) AS d FROM {name}_s GROUP BY stream, b),
+{name} AS (SELECT w.*, coalesce(d, 0) AS d_{cell} FROM {name}_w w LEFT JOIN {name}_d USING (stream, b))"""
+
+
+BOOT_COUNTS = f"""WITH {q.EVENTS}, counted AS (
+  SELECT stream, {q.confusion("(CASE WHEN router_score >= 0.5 THEN 1 ELSE 0 END)")} FROM judged_events GROUP BY stream),
+base AS (SELECT *, 0 AS none, tn + fp + fn + tp AS n FROM counted CROSS JOIN range(500) r(b))"""
+BOOT_METRICS = f"""m AS (SELECT stream, {q.RATES} FROM c),
 l AS (UNPIVOT m ON accuracy, "precision", recall, f1, fpr INTO NAME metric VALUE v)
 SELECT stream, metric, avg(v) AS mean, quantile_cont(v, 0.025) AS ci95_low, quantile_cont(v, 0.975) AS ci95_high
 FROM l GROUP BY stream, metric"""
 
 
+def multinomial_sql(seed: int) -> str:
+    steps, source, kept = [BOOT_COUNTS], "base", "tn, fp, fn, tp, n"
+    rows, left = "n", "n"
+    for i, cell in enumerate(CELLS[:-1]):
+        p = f"(CAST({cell} AS DOUBLE) / ({rows}))"
+        weight = "CASE WHEN p <= 0 THEN (CASE WHEN k = 0 THEN 0 ELSE -1e9 END) WHEN p >= 1 THEN (CASE WHEN k = most THEN 0 ELSE -1e9 END) " \
+            "ELSE lgamma(most + 1.0) - lgamma(k + 1.0) - lgamma(most - k + 1.0) + k * ln(p) + (most - k) * ln(1 - p) END"
+        steps.append(drawn(source, f"draw{i}", cell, seed, f"({left}) * {p}", f"greatest(0, ({left}) * {p} * (1 - {p}))", f"({left})", weight, f"{p} AS p, {kept}"))
+        source, kept = f"draw{i}", f"{kept}, d_{cell}"
+        rows, left = f"{rows} - {cell}", f"{left} - d_{cell}"
+    done = f"c AS (SELECT stream, d_tn AS tn, d_fp AS fp, d_fn AS fn, {left} AS tp FROM {source})"
+    return ",\n".join([*steps, done, BOOT_METRICS])
+
+
+def poisson_sql(seed: int) -> str:
+    steps, source, kept = [BOOT_COUNTS], "base", "tn, fp, fn, tp, n"
+    for i, cell in enumerate(CELLS):
+        weight = "CASE WHEN mean <= 0 THEN (CASE WHEN k = 0 THEN 0 ELSE -1e9 END) ELSE k * ln(mean) - mean - lgamma(k + 1.0) END"
+        steps.append(drawn(source, f"draw{i}", cell, seed, cell, cell, "CAST(9000000000000000 AS BIGINT)", weight, kept))
+        source, kept = f"draw{i}", f"{kept}, d_{cell}"
+    done = f"c AS (SELECT stream, d_tn AS tn, d_fp AS fp, d_fn AS fn, d_tp AS tp FROM {source})"
+    return ",\n".join([*steps, done, BOOT_METRICS])
+
+
 def flagged():
     return (F.col("router_score") >= 0.5).cast("int")
 
 
-@query("bootstrap_ci_hashed", CI, BOOT_SQL)
+@query("bootstrap_ci_hashed", CI, poisson_sql(11))
 def bootstrap_ci_hashed(spark, d):
-    return qu.bootstrap_ci_hashed(fx.judged_events(spark, d), flagged(), ["stream"], seed=11, replicates=100)
+    return qu.bootstrap_ci_poisson(fx.judged_events(spark, d), flagged(), ["stream"], seed=11)
 
 
-@query("bootstrap_ci", CI)
+@query("bootstrap_ci", CI, multinomial_sql(20260604))
 def bootstrap_ci(spark, d):
-    return qu.bootstrap_ci(fx.judged_events(spark, d), flagged(), ["stream"], seed=20260604, replicates=500)
+    return qu.bootstrap_ci(fx.judged_events(spark, d), flagged(), ["stream"], seed=20260604)

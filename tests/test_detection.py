@@ -1,10 +1,13 @@
 """Quality metrics, thresholds, calibration, monitor and gates against plain Python."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions import draws
 from sluice.functions import lexicons as lx
 from sluice.functions.hashing import audit_flag
 from sluice.operators import calibration as ca
@@ -120,8 +123,27 @@ def test_bootstrap_interval_is_that_of_row_resampling(scored):
     assert rows["recall"]["ci95_high"] == pytest.approx(np.quantile(recalls, 0.975), abs=0.02)
     again = {r["metric"]: r for r in qu.bootstrap_ci(df, flagged, [], seed=1, replicates=500).collect()}
     assert rows == again
-    hashed = {r["metric"]: r for r in qu.bootstrap_ci_hashed(df, flagged, [], seed=1, replicates=100).collect()}
-    assert hashed["recall"]["mean"] == pytest.approx(np.mean(recalls), abs=0.02)
+    weighted = {r["metric"]: r for r in qu.bootstrap_ci_poisson(df, flagged, [], seed=1).collect()}
+    assert weighted["recall"]["mean"] == pytest.approx(np.mean(recalls), abs=0.01)
+    assert weighted["recall"]["ci95_low"] == pytest.approx(np.quantile(recalls, 0.025), abs=0.02)
+
+
+def test_draws_invert_their_distributions(spark):
+    """Against the distribution function, term by term, over small, skewed, certain and large cases."""
+    cases = [(0, 0.5), (1, 0.5), (7, 0.2), (50, 0.99), (1000, 0.001), (100_000, 0.4), (9, 0.0), (9, 1.0), (10_000_000, 0.5)]
+    rows = [(n, p, u) for n, p in cases for u in (0.0, 1e-9, 0.1, 0.5, 0.9, 1 - 1e-9, 1.0)]
+    df = spark.createDataFrame(rows, "n bigint, p double, u double")
+    drawn = df.select("n", "p", "u", draws.binomial_draw(F.col("u"), F.col("n"), F.col("p")).alias("b"), draws.poisson_draw(F.col("u"), F.col("n") * F.col("p")).alias("c"))
+    for r in drawn.collect():
+        if r.n <= 1000:
+            cdf = np.cumsum([math.comb(r.n, k) * r.p**k * (1 - r.p) ** (r.n - k) for k in range(r.n + 1)])
+            assert r.b == (min(np.searchsorted(cdf, r.u * (1 - 1e-15)), r.n) if 0 < r.u < 1 else r.b) and 0 <= r.b <= r.n
+        else:
+            assert abs(r.b - r.n * r.p) <= 13 * (r.n * r.p * (1 - r.p)) ** 0.5 + 31
+        assert abs(r.c - r.n * r.p) <= 13 * (r.n * r.p) ** 0.5 + 31
+    many = spark.range(4000).select(draws.binomial_draw((F.col("id") + 0.5) / 4000, F.lit(600).cast("bigint"), F.lit(0.3)).alias("b"))
+    mean, variance = many.agg(F.avg("b"), F.var_pop("b")).first()
+    assert mean == pytest.approx(180, abs=0.05) and variance == pytest.approx(126, rel=0.02)
 
 
 def test_calibrated_threshold_keeps_its_promise(spark):
