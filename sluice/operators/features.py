@@ -1,13 +1,25 @@
-"""Term weights over texts: word n-grams, character n-grams, and linear scores on them."""
+"""Term weights over texts: word n-grams, character n-grams, and linear scores on them.
+
+Terms are counted inside the row (``row_counts``), so no posting is shuffled by text.  A vocabulary takes
+one read of the texts: every task keeps at most ``CAPACITY`` terms and flushes what it has to one sum per
+term.  For a cut of a vocabulary far larger than the cut, a task may instead shrink its table by the
+Misra-Gries rule (``lossy``): every count loses what the smallest kept one had, so rare terms go and no
+count is off by more than the sum of these losses.  The cut is then certain as soon as that sum is below
+the count of its last term: what can still belong to it are the candidates, and only these are counted
+exactly, in a second read.  Where it isn't, all terms are counted.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from sluice.functions import lexicons as lx
 from sluice.operators.prefix import ranked
@@ -15,109 +27,175 @@ from sluice.session import stored
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+LOW, HIGH = 3, 5
+CAPACITY = 1 << 20
+MAX_FEATURES = 300_000
+SPACES = ("word", "char")
 
 
-def word_ngrams(text: Column) -> Column:
-    """Lower-cased words of two or more characters, then pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+def words(text: Column) -> Column:
+    """Lower-cased words of two or more characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def padded_words(text: Column) -> Column:
-    """Lower-cased words with one space on each side."""
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    return F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+def pieces(text: Column) -> Column:
+    """Lower-cased runs of anything but white space."""
+    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
 
-def word_windows(word: Column, low: int = 3, high: int = 5) -> Column:
-    """All character windows of a padded word, for every length up to the word's own."""
+CUTS: dict[str, Callable[[Column], Column]] = {"word": words, "char": pieces}
 
-    def windows(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))
 
-    sizes = F.sequence(F.lit(low), F.least(F.lit(high), F.length(word)))
-    return F.flatten(F.transform(sizes, windows))
+def windows(piece: str) -> list[str]:
+    """All windows of 3 to 5 characters of a piece with one space on each side."""
+    padded = f" {piece} "
+    return [padded[i : i + n] for n in range(LOW, min(HIGH, len(padded)) + 1) for i in range(len(padded) - n + 1)]
 
 
-def word_postings(df: DataFrame, id_col: str = "sample_id", text: str = "prompt") -> DataFrame:
-    """(id, term, tf) of word n-grams."""
-    terms = df.select(id_col, F.explode(word_ngrams(F.col(text))).alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+def row_counts(space: str, cut: list[str]) -> Counter:
+    """Counts of one text's terms: words and pairs of neighbours, or windows of its pieces."""
+    if space == "word":
+        found = Counter(cut)
+        found.update(f"{a} {b}" for a, b in zip(cut, cut[1:], strict=False))
+        return found
+    found = Counter()
+    for piece, n in Counter(cut).items():  # each distinct piece is cut once
+        for window in windows(piece):
+            found[window] += n
+    return found
 
 
-def char_postings(df: DataFrame, id_col: str = "sample_id", text: str = "prompt") -> DataFrame:
-    """(id, term, tf) of character n-grams inside word bounds.
+def _cut(df: DataFrame, spaces: Sequence[str], text: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keys, *(CUTS[s](F.col(text)).alias(f"_cut_{s}") for s in spaces))
 
-    Words are counted per text before they are cut up, so each distinct word of a text is
-    expanded once.
-    """
-    words = df.select(id_col, F.explode(padded_words(F.col(text))).alias("_w"))
-    per_word = words.groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    grams = per_word.select(id_col, F.explode(word_windows(F.col("_w"))).alias("term"), "_n")
-    return grams.groupBy(id_col, "term").agg(F.sum("_n").alias("tf"))
 
+def _row_terms(batch: pa.RecordBatch, space: str) -> Iterator[Counter]:
+    for cut in batch.column(f"_cut_{space}"):
+        yield row_counts(space, [w for w in cut.as_py() or [] if w])
 
-def vocabulary(postings: DataFrame, min_df: int = 2, max_features: int = 300_000) -> DataFrame:
-    """(term, df, cf, idx) of the most frequent terms; never more than ``max_features`` rows.
 
-    Ranked over sort ranges: a top-k of this size would send k candidates per task to one
-    task.
-    """
-    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = stored(counted.filter(F.col("df") >= min_df).withColumn("_rare", -F.col("cf")), "terms")
-    placed = ranked(kept, ["_rare", "term"], name="_place").filter(F.col("_place") <= max_features)
-    return placed.select("term", "df", "cf", (F.col("_place") - 1).cast("int").alias("idx"))
+class TermTable:
+    """Documents and occurrences per term, at most ``capacity`` of them after each shrink."""
 
+    def __init__(self, capacity: int):
+        self.capacity, self.lost = capacity, 0
+        self.docs: dict[str, int] = {}
+        self.occurrences: dict[str, int] = {}
 
-def tfidf(postings: DataFrame, vocab: DataFrame, n_docs: Column, id_col: str = "sample_id") -> DataFrame:
-    """(id, term, weight): sublinear tf, smoothed idf, unit length per text.
+    def add(self, counts: Counter) -> None:
+        for term, n in counts.items():
+            self.docs[term] = self.docs.get(term, 0) + 1
+            self.occurrences[term] = self.occurrences.get(term, 0) + n
 
-    The vocabulary is bounded by ``max_features``, so it is sent to the postings rather
-    than shuffling them by term, where a frequent term would be a hot key.  The length of a
-    text is a window over its terms, of which it has at most ``max_features``.
-    """
-    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("_idf")
-    raw = postings.join(F.broadcast(vocab.select("term", idf.alias("_idf"))), "term")
-    raw = raw.select(id_col, "term", weight.alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
+    def full(self) -> bool:
+        return len(self.occurrences) > 2 * self.capacity
 
+    def shrink(self) -> None:
+        """Take from every count what the first one beyond the capacity has, and drop what is used up."""
+        values = np.fromiter(self.occurrences.values(), np.int64, len(self.occurrences))
+        off = int(np.partition(values, len(values) - self.capacity - 1)[len(values) - self.capacity - 1])
+        self.lost += off
+        self.occurrences = {t: n - off for t, n in self.occurrences.items() if n > off}
+        self.docs = {t: max(0, self.docs[t] - off) for t in self.occurrences}
 
-def fit_tfidf(
-    df: DataFrame,
-    analyzer: str = "word",
-    id_col: str = "sample_id",
-    text: str = "prompt",
-    min_df: int = 2,
-    max_features: int = 300_000,
-) -> DataFrame:
-    """Weights of a corpus under its own vocabulary.
+    def take(self) -> tuple[list[str], list[int], list[int]]:
+        out = list(self.occurrences), list(self.docs.values()), list(self.occurrences.values())
+        self.docs, self.occurrences = {}, {}
+        return out
 
-    The postings are written once; cutting the texts up is the expensive part, and both
-    the vocabulary and the weights need them.
-    """
-    cut = word_postings if analyzer == "word" else char_postings
-    postings = stored(cut(df, id_col, text), "postings")
-    n_docs = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    return tfidf(postings, vocabulary(postings, min_df, max_features), n_docs, id_col)
 
+def term_counts(df: DataFrame, space: str, text: str, lossy: bool, capacity: int) -> DataFrame:
+    """(term, df, cf) from one read; the row with a null term has in cf what a count may lack at most, in df the texts."""
 
-def concat_features(parts: dict[str, DataFrame]) -> DataFrame:
-    """Stack weight tables into one feature space; ``space`` keeps equal terms apart."""
-    stacked = None
-    for name, part in parts.items():
-        tagged = part.withColumn("space", F.lit(name))
-        stacked = tagged if stacked is None else stacked.unionByName(tagged)
-    return stacked
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rows = TermTable(capacity), 0
+
+        def batch_of(terms: list, docs: list, occurrences: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(occurrences, pa.int64())], ["term", "df", "cf"])
 
+        for batch in batches:
+            rows += batch.num_rows
+            for counts in _row_terms(batch, space):
+                table.add(counts)
+                if table.full():
+                    if lossy:
+                        table.shrink()
+                    else:
+                        yield batch_of(*table.take())
+        if lossy and len(table.occurrences) > capacity:
+            table.shrink()
+        yield batch_of(*table.take())
+        yield batch_of([None], [rows], [table.lost])
 
-CUTS = {"word": word_postings, "char": char_postings}
+    partial = _cut(df, [space], text).mapInArrow(count, "term string, df bigint, cf bigint")
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _ranked_terms(counted: DataFrame, min_df: int) -> DataFrame:
+    """Terms of enough texts by falling frequency, then by term: (term, df, cf, place from 1)."""
+    kept = counted.filter((F.col("df") >= min_df) & F.col("term").isNotNull()).withColumn("_rare", -F.col("cf"))
+    return ranked(kept, ["_rare", "term"], name="place").drop("_rare")
+
+
+@dataclass
+class Space:
+    """The vocabulary of one space, (term, df, cf, place), and the number of texts it was counted over."""
+
+    terms: DataFrame
+    texts: int
+
+
+def fit_space(
+    df: DataFrame, space: str, text: str = "prompt", min_df: int = 2, max_features: int | None = MAX_FEATURES, capacity: int = CAPACITY
+) -> Space:
+    """The most frequent terms; ties by term.  ``max_features`` None keeps all."""
+    lossy = max_features is not None and max_features < capacity
+    counted = stored(term_counts(df, space, text, lossy, capacity), "terms")
+    totals = counted.filter("term is null").first()
+    if totals.cf and lossy:
+        exact = _verified(df, space, text, counted, totals.cf, min_df, max_features, capacity)
+        counted = exact if exact is not None else stored(term_counts(df, space, text, False, capacity), "terms")
+    placed = _ranked_terms(counted, min_df)
+    if max_features is not None:
+        placed = placed.filter(F.col("place") <= max_features)
+    return Space(stored(placed, "vocabulary"), totals.df)
+
+
+def _verified(
+    df: DataFrame, space: str, text: str, counted: DataFrame, lost: int, min_df: int, max_features: int, capacity: int
+) -> DataFrame | None:
+    """Exact counts of every term that may be in the cut, or None where the summary can't tell."""
+    last = _ranked_terms(counted, min_df).filter(F.col("place") == max_features).first()
+    if last is None or last.cf <= lost:
+        return None
+    candidates = counted.filter(F.col("term").isNotNull() & (F.col("cf") + lost >= last.cf)).select("term")
+    names = [r.term for r in candidates.limit(4 * capacity + 1).collect()]  # the bound of what tasks are sent
+    if len(names) > 4 * capacity:
+        return None
+    sent = df.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, t in enumerate(sent.value)}
+        docs, occurrences = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for batch in batches:
+            for counts in _row_terms(batch, space):
+                at = [(place[t], n) for t, n in counts.items() if t in place]
+                if at:
+                    where, times = np.array(at).T
+                    docs[where] += 1
+                    occurrences[where] += times
+        seen = np.flatnonzero(docs)
+        yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in seen], pa.string()), pa.array(docs[seen]), pa.array(occurrences[seen])], ["term", "df", "cf"])
+
+    partial = _cut(df, [space], text).mapInArrow(count, "term string, df bigint, cf bigint")
+    exact = stored(partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "candidates")
+    sent.destroy()
+    return exact
+
+
+def idf(texts: int, df: str = "df") -> Column:
+    """Smoothed inverse document frequency."""
+    return F.log((F.lit(1.0) + F.lit(float(texts))) / (F.lit(1.0) + F.col(df))) + 1.0
 
 
 @dataclass
@@ -125,20 +203,52 @@ class Vectoriser:
     """Vocabulary and idf of training texts, for any texts.
 
     ``terms`` has (space, term, idf, idx); ``idx`` numbers the terms of all spaces from 0 to ``size``.
-    Terms that the training texts lack have no weight, and texts without a known term have no row.
+    Terms that the training texts lack have no weight.  The terms travel to the tasks: ``max_features`` of
+    each space bounds them, and a task holds them once.
     """
 
     terms: DataFrame
     size: int
 
+    def arrays(self, df: DataFrame, text: str = "prompt") -> DataFrame:
+        """The rows with ``idx`` and ``weight`` (arrays) instead of the text: sublinear tf, idf, unit length per text and space."""
+        spark = df.sparkSession
+        found = self.terms.select("space", "term", "idx", "idf").orderBy("idx").collect()
+        spaces = sorted({r.space for r in found})
+        sent = spark.sparkContext.broadcast([(r.space, r.term, r.idx, r.idf) for r in found])
+        keys = [c for c in df.columns if c != text]
+        schema = T.StructType(df.select(*keys).schema.fields).add("idx", T.ArrayType(T.IntegerType())).add("weight", T.ArrayType(T.DoubleType()))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place: dict[str, dict[str, int]] = {s: {} for s in spaces}
+            known = np.zeros(max([i for _, _, i, _ in sent.value], default=-1) + 1)
+            for s, term, i, value in sent.value:
+                place[s][term] = i
+                known[i] = value
+            for batch in batches:
+                rows: list[list] = [[] for _ in range(batch.num_rows)]
+                for s in spaces:
+                    for row, counts in enumerate(_row_terms(batch, s)):
+                        at = sorted((place[s][t], n) for t, n in counts.items() if t in place[s])
+                        if at:
+                            where, times = np.array(at).T
+                            w = (1.0 + np.log(times)) * known[where]
+                            rows[row].append((where, w / np.sqrt(np.sum(w * w))))
+                indices = [np.concatenate([i for i, _ in r]) if r else np.zeros(0, np.int64) for r in rows]
+                values = [np.concatenate([w for _, w in r]) if r else np.zeros(0) for r in rows]
+                order = [np.argsort(i, kind="stable") for i in indices]
+                bounds = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in indices]))).astype(np.int32))
+                flat = [np.concatenate([x[o] for x, o in zip(part, order, strict=True)] or [np.zeros(0)]) for part in (indices, values)]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(flat[1].astype(np.float64)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *lists], [*keys, "idx", "weight"])
+
+        return _cut(df, spaces, text, keys).mapInArrow(weigh, schema)
+
     def transform(self, df: DataFrame, id_col: str = "sample_id", text: str = "prompt") -> DataFrame:
-        """(id, space, term, idx, weight): sublinear tf, idf of the training texts, unit length per text and space."""
-        spaces = [row["space"] for row in self.terms.select("space").distinct().collect()]
-        postings = concat_features({space: CUTS[space](df, id_col, text) for space in sorted(spaces)})
-        weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
-        raw = postings.join(self.terms, ["space", "term"]).select(id_col, "space", "term", "idx", weight.alias("_w"))
-        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col, "space")))
-        return raw.select(id_col, "space", "term", "idx", (F.col("_w") / norm).alias("weight"))
+        """(id, space, term, idx, weight): a row per text and known term; texts without one have no row."""
+        flat = self.arrays(df.select(id_col, text), text).select(id_col, F.explode(F.arrays_zip("idx", "weight")).alias("e"))
+        rows = flat.select(id_col, F.col("e.idx").alias("idx"), F.col("e.weight").alias("weight"))
+        return rows.join(self.terms.select("space", "term", "idx"), "idx").select(id_col, "space", "term", "idx", "weight")
 
     def save(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(path)
@@ -151,44 +261,65 @@ class Vectoriser:
 
 def fit_vectoriser(
     train: DataFrame,
-    spaces: Sequence[str] = ("word", "char"),
-    id_col: str = "sample_id",
+    spaces: Sequence[str] = SPACES,
     text: str = "prompt",
     min_df: int = 2,
-    max_features: int = 300_000,
+    max_features: int | None = MAX_FEATURES,
+    capacity: int = CAPACITY,
 ) -> Vectoriser:
     """Vocabulary (at most ``max_features`` terms a space) and idf of training texts, written once."""
-    n_docs = train.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     terms, size = None, 0
     for space in spaces:
-        vocab = vocabulary(stored(CUTS[space](train, id_col, text), "postings"), min_df, max_features)
-        numbered = vocab.select(F.lit(space).alias("space"), "term", idf.alias("idf"), (F.col("idx") + size).alias("idx"))
-        part = stored(numbered, "vocabulary")
+        fitted = fit_space(train, space, text, min_df, max_features, capacity)
+        part = stored(
+            fitted.terms.select(F.lit(space).alias("space"), "term", "df", "cf", idf(fitted.texts).alias("idf"), (F.col("place") - 1 + size).cast("int").alias("idx")),
+            "vocabulary",
+        )
         size += part.count()
         terms = part if terms is None else terms.unionByName(part)
     return Vectoriser(terms, size)
 
 
-def linear_score(
-    weights: DataFrame,
-    coefficients: DataFrame,
-    intercept: float,
-    ids: DataFrame,
-    id_col: str = "sample_id",
-    keys: Sequence[str] = ("term",),
+def fit_tfidf(
+    df: DataFrame, analyzer: str = "word", id_col: str = "sample_id", text: str = "prompt", min_df: int = 2, max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
-    """Logistic score of every id, including texts without any known term.
+    """(id, term, weight) of a corpus under its own vocabulary."""
+    fitted = fit_vectoriser(df, [analyzer], text, min_df, max_features)
+    return fitted.transform(df, id_col, text).select(id_col, "term", "weight")
 
-    The coefficient table is a model's vocabulary (bounded at fitting time).
-    """
-    products = weights.join(F.broadcast(coefficients), list(keys)).groupBy(id_col).agg(
-        F.sum(F.col("weight") * F.col("coefficient")).alias("_m")
-    )
-    margin = F.coalesce(F.col("_m"), F.lit(0.0)) + F.lit(intercept)
-    return ids.select(id_col).join(products, id_col, "left").select(
-        id_col, (1.0 / (1.0 + F.exp(-margin))).alias("router_score")
-    )
+
+def concat_features(parts: dict[str, DataFrame]) -> DataFrame:
+    """Stack weight tables into one feature space; ``space`` keeps equal terms apart."""
+    stacked = None
+    for name, part in parts.items():
+        tagged = part.withColumn("space", F.lit(name))
+        stacked = tagged if stacked is None else stacked.unionByName(tagged)
+    return stacked
+
+
+def linear_score(rows: DataFrame, coefficients: np.ndarray, intercept: float, out: str = "router_score") -> DataFrame:
+    """Rows with ``idx`` and ``weight`` arrays, scored by a logistic model inside the row; no known term counts 0."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.append(coefficients, 0.0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = margins(batch, sent.value[:-1, None])[:, 0] + intercept
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1.0 / (1.0 + np.exp(-margin)))], [*batch.schema.names, out])
+
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+def flat_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and values end to end, and the row of each."""
+    idx, weight = batch.column("idx"), batch.column("weight")
+    sizes = np.diff(idx.offsets.to_numpy())
+    return idx.flatten().to_numpy(), weight.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def margins(batch: pa.RecordBatch, coefficients: np.ndarray) -> np.ndarray:
+    """Dot product of every row with every column of coefficients."""
+    idx, weight, row = flat_rows(batch)
+    return np.stack([np.bincount(row, weight * c[idx], batch.num_rows) for c in coefficients.T], axis=1)
 
 
 def benign_lexicon(coefficients: DataFrame, n: int = 120, blocked: Sequence[str] = tuple(lx.BLOCKED_TERMS)) -> DataFrame:

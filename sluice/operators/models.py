@@ -9,44 +9,19 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.operators import thresholds as th
 from sluice.operators.features import Vectoriser, fit_vectoriser
+from sluice.operators.linear import LinearModel, fit_grid
 from sluice.operators.quality import bootstrap_ci, score_summary
-from sluice.session import scratch_path, stored
+from sluice.session import stored
 
 TEXT_C = [0.5, 1.0, 2.0, 4.0]
 VECTOR_C = [0.1, 0.5, 1.0, 2.0, 4.0]
 
 
-def vector_table(weights: DataFrame, size: int, path: str, rows: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Materialise sparse feature vectors (id, idx, weight) next to their rows.
-
-    Training reads the rows once per iteration, so the vectors are written to the shared
-    scratch folder once, laid out the way the vector type is stored, and read back as
-    vectors.  Texts without a known term get an empty vector.
-    """
-    entry = F.struct(F.col("idx").cast("int").alias("i"), F.col("weight").alias("w"))
-    per_id = weights.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    empty = F.array().cast("array<struct<i:int,w:double>>")
-    entries = F.coalesce(F.col("_e"), empty)
-    stored = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).cast("int").alias("size"),
-        F.transform(entries, lambda e: e["i"]).alias("indices"),
-        F.transform(entries, lambda e: e["w"]).alias("values"),
-    )
-    kept = list(rows.columns)
-    joined = rows.join(per_id, id_col, "left").select(*kept, stored.alias("features"))
-    joined.write.mode("overwrite").parquet(path)
-    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("features", VectorUDT())])
-    return rows.sparkSession.read.schema(schema).parquet(path)
-
-
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (2 * rows of the class)."""
     total = df.agg(
@@ -57,8 +32,10 @@ def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return t.withColumn("weight", F.col("_t.n") / (2.0 * of_class)).drop("_t")
 
 
-def positive_score(model: Transformer, df: DataFrame, out: str = "router_score") -> DataFrame:
+def positive_score(model: Transformer | LinearModel, df: DataFrame, out: str = "router_score") -> DataFrame:
     """Probability of class 1; the model is applied as it is, never refitted."""
+    if isinstance(model, LinearModel):
+        return model.score(df, out)
     scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return scored.select(*df.columns, out)
 
@@ -68,18 +45,22 @@ class Detector:
     """A fitted model with the thresholds chosen on validation rows."""
 
     name: str
-    model: PipelineModel
+    model: PipelineModel | LinearModel
     thresholds: DataFrame
     selected_c: float | None = None
     candidates: list[dict] = field(default_factory=list)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, LinearModel):
+            self.model.save(self.thresholds.sparkSession, f"{path}/linear")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         self.thresholds.write.mode("overwrite").parquet(f"{path}/thresholds")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, name: str) -> "Detector":
-        return Detector(name, PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/thresholds"))
+    def load(spark: SparkSession, path: str, name: str, linear: bool = False) -> "Detector":
+        model = LinearModel.load(spark, f"{path}/linear") if linear else PipelineModel.load(f"{path}/model")
+        return Detector(name, model, spark.read.parquet(f"{path}/thresholds"))
 
 
 @dataclass
@@ -90,10 +71,10 @@ class TextDetector:
     detector: Detector
 
     def vectors(self, rows: DataFrame, text: str = "prompt") -> DataFrame:
-        return text_vectors(self.vectoriser, rows, text)
+        return self.vectoriser.arrays(rows, text)
 
     def score(self, rows: DataFrame, text: str = "prompt") -> DataFrame:
-        return positive_score(self.detector.model, self.vectors(rows, text)).drop("features")
+        return positive_score(self.detector.model, self.vectors(rows, text)).drop("idx", "weight")
 
     def save(self, path: str) -> None:
         self.vectoriser.save(f"{path}/terms")
@@ -101,32 +82,34 @@ class TextDetector:
 
     @staticmethod
     def load(spark: SparkSession, path: str, name: str) -> "TextDetector":
-        return TextDetector(Vectoriser.load(spark, f"{path}/terms"), Detector.load(spark, path, name))
-
+        return TextDetector(Vectoriser.load(spark, f"{path}/terms"), Detector.load(spark, path, name, linear=True))
 
-def text_vectors(vectoriser: Vectoriser, rows: DataFrame, text: str = "prompt") -> DataFrame:
-    """Rows with the sparse vectors of their texts instead of the texts."""
-    weights = vectoriser.transform(rows, text=text)
-    return vector_table(weights, vectoriser.size, scratch_path(rows.sparkSession, "features"), rows.drop(text))
 
+def fit_text_detector(
+    train: DataFrame, validation: DataFrame, text: str = "prompt", name: str = "text_logreg", c_values: Sequence[float] = tuple(TEXT_C), max_iter: int = 100
+) -> TextDetector:
+    """Vocabulary, idf and classifier from the training rows; C and thresholds from the validation rows.
 
-def fit_text_detector(train: DataFrame, validation: DataFrame, text: str = "prompt", **grid) -> TextDetector:
-    """Vocabulary, idf and classifier from the training rows; C and thresholds from the validation rows."""
+    Texts are read for the vocabulary and once more for their weights, which are written: fitting reads
+    these once per iteration, for all values of C together.
+    """
     vectoriser = fit_vectoriser(train, text=text)
-    fitted = fit_logreg_grid(text_vectors(vectoriser, train, text), text_vectors(vectoriser, validation, text), **grid)
-    return TextDetector(vectoriser, fitted)
+    rows = with_class_weights(train.select(text, F.col("label").cast("int").alias("label"))).withColumnRenamed("weight", "row_weight")
+    weights = stored(vectoriser.arrays(rows, text), "weights")
+    models = fit_grid(weights, vectoriser.size, c_values, max_iter)
+    held = stored(vectoriser.arrays(validation.select("sample_id", "label", text), text), "weights")
+    return TextDetector(vectoriser, chosen(name, models, validated(models, held)))
 
 
-def validated(models: dict[float, PipelineModel], validation: DataFrame) -> DataFrame:
+def validated(models: dict[float, PipelineModel] | dict[float, LinearModel], validation: DataFrame) -> DataFrame:
     """Operating points of every candidate on validation rows, materialised.
 
     All candidates are scored into one long table, so their curves are one job; the result
     is a handful of rows per candidate.
     """
-    rows = validation.select("sample_id", "label", "features")
     scored = None
     for c, model in models.items():
-        part = positive_score(model, rows).select(F.lit(float(c)).alias("candidate"), "label", "router_score")
+        part = positive_score(model, validation).select(F.lit(float(c)).alias("candidate"), "label", "router_score")
         scored = part if scored is None else scored.unionByName(part)
     curve = th.metric_curve(stored(scored, "scored"), ["candidate"])
     return stored(th.threshold_set(curve, ["candidate"]), "thresholds")
@@ -167,13 +150,16 @@ def fit_logreg_grid(
     models = {
         float(c): PipelineModel([*stages, _logreg(c, weight_sum, max_iter, column).fit(weighted)]) for c in c_values
     }
-    points = validated(models, validation)
+    return chosen(name, models, validated(models, validation.select("sample_id", "label", "features")))
+
+
+def chosen(name: str, models: dict, points: DataFrame) -> Detector:
+    """The candidate of best validation F1, then recall, with its operating points."""
     tops = points.filter("policy = 'best_f1'").select("candidate", "f1", "recall").collect()
     ranks = {row["candidate"]: (row["f1"], row["recall"]) for row in tops}
     best = max(models, key=lambda c: ranks[c])
     candidates = [{"C": c, "best_f1": ranks[c][0], "recall": ranks[c][1]} for c in models]
-    chosen = points.filter(F.col("candidate") == best).drop("candidate")
-    return Detector(name, models[best], chosen, best, candidates)
+    return Detector(name, models[best], points.filter(F.col("candidate") == best).drop("candidate"), best, candidates)
 
 
 def fit_forest(
@@ -192,16 +178,9 @@ def fit_forest(
 
 
 def coefficient_table(detector: Detector, indexed: DataFrame) -> tuple[DataFrame, float]:
-    """(space, term, coefficient) of a linear text model, and its intercept.
-
-    A linear model's coefficients live on the driver already; there are as many as
-    features, which the vocabulary bounds.
-    """
-    fitted = detector.model.stages[-1]
-    spark = indexed.sparkSession
-    values = [(i, float(v)) for i, v in enumerate(fitted.coefficients.toArray()) if v != 0.0]
-    table = spark.createDataFrame(values, "idx int, coefficient double")
-    return indexed.select("space", "term", "idx").join(table, "idx").drop("idx"), float(fitted.intercept)
+    """(space, term, coefficient) of a linear text model, and its intercept."""
+    table = detector.model.table(indexed.sparkSession)
+    return indexed.select("space", "term", "idx").join(table, "idx").drop("idx"), detector.model.intercept
 
 
 def evaluate_suite(

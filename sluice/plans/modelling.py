@@ -9,7 +9,7 @@ from sluice.operators import models as md
 from sluice.plans import fixtures as fx
 from sluice.plans import sql as q
 from sluice.plans.registry import query
-from sluice.session import scratch_path, stored
+from sluice.session import scratch_path
 from sluice.sources import vectors as ve
 
 WORDS_SQL = f"""words AS (SELECT sample_id, regexp_extract_all(lower(prompt), '{fe.WORD}') AS w FROM judged_docs),
@@ -35,26 +35,19 @@ def tfidf_sql(terms: str, name: str, max_features: int = 300_000) -> str:
 {name} AS (SELECT sample_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS weight FROM {name}_raw)"""
 
 
-TERM = "term:s docs:i total_weight:f max_weight:f"
-PER_TERM = "term, count(*) AS docs, sum(weight) AS total_weight, max(weight) AS max_weight"
+WEIGHT = "sample_id:s term:s weight:f"
 WORD_TFIDF = f"{q.DOCS}, {WORDS_SQL}, {tfidf_sql('word_terms', 'wt')}"
 CHAR_TFIDF = f"{q.DOCS}, {CHARS_SQL}, {tfidf_sql('char_terms', 'ct')}"
 
 
-def per_term(weights):
-    return weights.groupBy("term").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("total_weight"), F.max("weight").alias("max_weight")
-    )
-
-
-@query("tfidf_word", TERM, f"WITH {WORD_TFIDF} SELECT {PER_TERM} FROM wt GROUP BY term")
+@query("tfidf_word", WEIGHT, f"WITH {WORD_TFIDF} SELECT * FROM wt")
 def tfidf_word(spark, d):
-    return per_term(fe.fit_tfidf(fx.judged_docs(spark, d)))
+    return fe.fit_tfidf(fx.judged_docs(spark, d))
 
 
-@query("tfidf_charwb", TERM, f"WITH {CHAR_TFIDF} SELECT {PER_TERM} FROM ct GROUP BY term")
+@query("tfidf_charwb", WEIGHT, f"WITH {CHAR_TFIDF} SELECT * FROM ct")
 def tfidf_charwb(spark, d):
-    return per_term(fe.fit_tfidf(fx.judged_docs(spark, d), "char"))
+    return fe.fit_tfidf(fx.judged_docs(spark, d), "char")
 
 
 @query(
@@ -66,7 +59,7 @@ SELECT sample_id, space, count(*) AS terms, sqrt(sum(weight * weight)) AS norm F
 )
 def feature_concat(spark, d):
     docs = fx.judged_docs(spark, d)
-    both = fe.concat_features({"word": fe.fit_tfidf(docs), "char": fe.fit_tfidf(docs, "char")})
+    both = fe.fit_vectoriser(docs).transform(docs)
     return both.groupBy("sample_id", "space").agg(
         F.count(F.lit(1)).alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
     )
@@ -78,7 +71,7 @@ COEFFICIENTS = f"""coef AS (SELECT term, ({q.bucket("term || ':coef'")} - 0.5) *
 
 def coefficients(terms):
     weight = (unit_bucket(F.concat(F.col("term"), F.lit(":coef"))) - 0.5) * 4.0
-    return terms.select("term", weight.alias("coefficient"))
+    return terms.withColumn("coefficient", weight)
 
 
 @query(
@@ -89,9 +82,10 @@ SELECT d.sample_id, 1 / (1 + exp(-(coalesce(sum(weight * coefficient), 0) - 0.25
 FROM judged_docs d LEFT JOIN wt ON wt.sample_id = d.sample_id LEFT JOIN coef ON coef.term = wt.term GROUP BY d.sample_id""",
 )
 def linear_score(spark, d):
-    docs = fx.judged_docs(spark, d)
-    weights = stored(fe.fit_tfidf(docs), "weights")
-    return fe.linear_score(weights, coefficients(weights.select("term").distinct()), -0.25, docs)
+    docs = fx.judged_docs(spark, d).select("sample_id", "prompt")
+    vectoriser = fe.fit_vectoriser(docs, ["word"])
+    by_idx = coefficients(vectoriser.terms).orderBy("idx").select("coefficient").toPandas()
+    return fe.linear_score(vectoriser.arrays(docs), by_idx["coefficient"].to_numpy(), -0.25)
 
 
 BLOCKED = " AND ".join(f"NOT contains(term, '{b}')" for b in lx.BLOCKED_TERMS)
@@ -104,8 +98,8 @@ BLOCKED = " AND ".join(f"NOT contains(term, '{b}')" for b in lx.BLOCKED_TERMS)
 WHERE length(term) >= 3 AND NOT regexp_matches(term, '[^\\p{{L}}\\p{{N}}\\s]') AND {BLOCKED} ORDER BY coefficient, term LIMIT 120""",
 )
 def lexicon_top(spark, d):
-    postings = stored(fe.word_postings(fx.judged_docs(spark, d)), "postings")
-    return fe.benign_lexicon(coefficients(fe.vocabulary(postings)))
+    terms = fe.fit_vectoriser(fx.judged_docs(spark, d), ["word"]).terms
+    return fe.benign_lexicon(coefficients(terms.select("term")))
 
 
 FIT = "detector:s selected_c:f family:s policy:s tau:f n:i positives:i f1:f recall:f bypass_count:i false_bypass_count:i"
@@ -161,7 +155,7 @@ def tfidf_transform(spark, d):
     """Weights of unseen texts under the vocabulary and idf of the training texts."""
     docs = fx.judged_docs(spark, d)
     seen = unit_bucket(F.col("sample_id")) < 0.6
-    return fe.fit_vectoriser(docs.filter(seen), ["word"]).transform(docs.filter(~seen))
+    return fe.fit_vectoriser(docs.filter(seen), ["word"]).transform(docs.filter(~seen)).select("sample_id", "term", "weight")
 
 
 @query("trained_lexicon", "term:s coefficient:f")

@@ -1,11 +1,15 @@
 """Trained detectors: vectors, scores, persistence."""
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sluice.operators import features as fe
 from sluice.operators import models as md
 from sluice.operators import thresholds as th
+from sluice.operators.linear import fit_grid
 from sluice.plans import fixtures as fx
 from sluice.session import scratch_path
 from sluice.sources.vectors import as_vector, with_embeddings
@@ -35,14 +39,30 @@ def test_model_separates_and_keeps_the_best_candidate(text_model):
 
 def test_linear_score_equals_the_model(text_model):
     fitted, vectors, df = text_model
-    detector, terms = fitted.detector, fitted.vectoriser
-    table, intercept = md.coefficient_table(detector, terms.terms)
-    sql = fe.linear_score(terms.transform(df), table, intercept, vectors, keys=("space", "term"))
-    model = md.positive_score(detector.model, vectors).select("sample_id", F.col("router_score").alias("m"))
-    gap = sql.join(model, "sample_id").agg(F.max(F.abs(F.col("router_score") - F.col("m"))), F.count("*")).first()
+    table, intercept = md.coefficient_table(fitted.detector, fitted.vectoriser.terms)
+    weights = fitted.vectoriser.transform(df)
+    margin = weights.join(table, ["space", "term"]).groupBy("sample_id").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("m"))
+    plain = margin.select("sample_id", (1 / (1 + F.exp(-(F.col("m") + intercept)))).alias("p"))
+    model = md.positive_score(fitted.detector.model, vectors).select("sample_id", "router_score")
+    gap = model.join(plain, "sample_id").agg(F.max(F.abs(F.col("router_score") - F.col("p"))), F.count("*")).first()
     assert gap[0] < 1e-9 and gap[1] == vectors.count()
 
 
+def test_grid_fit_is_that_of_the_library(spark):
+    """Every C of the shared pass against Spark's own fit of the same objective."""
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=(400, 6)) * [1, 2, 0.5, 1, 3, 0]
+    label = (rng.random(400) < 1 / (1 + np.exp(-dense @ [1, -0.5, 2, 0, 0.2, 0] - 0.3))).astype(int)
+    rows = [([j for j in range(6) if v[j]], [float(x) for x in v if x], int(y), float(1 + y)) for v, y in zip(dense, label, strict=True)]
+    df = spark.createDataFrame(rows + [([], [], 1, 0.5)], "idx array<int>, weight array<double>, label int, row_weight double").repartition(3)
+    total = float(df.agg(F.sum("row_weight")).first()[0])
+    vectors = spark.createDataFrame([(Vectors.sparse(6, i, w), float(y), x) for i, w, y, x in df.collect()], ["features", "label", "weight"])
+    fitted = fit_grid(df, 6, [0.01, 0.5, 4.0], tolerance=1e-9)
+    for c, model in fitted.items():
+        own = LogisticRegression(weightCol="weight", regParam=1 / (c * total), standardization=False, maxIter=300, tol=1e-12).fit(vectors)
+        assert np.allclose(model.coefficients, own.coefficients.toArray(), atol=1e-4) and model.intercept == pytest.approx(own.intercept, abs=1e-4)
+
+
 def test_saved_detector_scores_the_same(spark, text_model):
     fitted, vectors, df = text_model
     path = scratch_path(spark, "detector")
@@ -62,8 +82,8 @@ def test_unseen_terms_have_no_weight(spark):
     fitted = fe.fit_vectoriser(df.filter("sample_id < 'c'"), ["word"])
     rows = fitted.transform(df.filter("sample_id >= 'c'")).collect()
     assert [(r["sample_id"], r["term"], r["weight"]) for r in rows] == [("c", "garden", 1.0)]
-    vectors = md.text_vectors(fitted, df.filter("sample_id >= 'c'"))
-    assert {r["sample_id"]: r["features"].numNonzeros() for r in vectors.collect()} == {"c": 1, "d": 0, "e": 0}
+    vectors = fitted.arrays(df.filter("sample_id >= 'c'"))
+    assert {r["sample_id"]: len(r["idx"]) for r in vectors.collect()} == {"c": 1, "d": 0, "e": 0}
 
 
 def test_class_weights_balance(spark):

@@ -1,6 +1,7 @@
 """Text functions, n-grams, hygiene and the judge against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -97,12 +98,41 @@ def test_tfidf(spark, analyzer, cut):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_vocabulary_is_cut_by_frequency(spark):
-    rows = [(str(d), f"t{t:02d}", 1 + t % 7) for t in range(40) for d in range(2)]
-    postings = spark.createDataFrame(rows, "sample_id string, term string, tf int")
-    got = [(r["term"], r["idx"]) for r in fe.vocabulary(postings, 2, 12).orderBy("idx").collect()]
-    order = sorted(range(40), key=lambda t: (-(1 + t % 7), f"t{t:02d}"))[:12]
-    assert got == [(f"t{t:02d}", i) for i, t in enumerate(order)]
+@pytest.mark.parametrize("capacity", [20, 60, 1 << 20])
+def test_vocabulary_is_cut_by_frequency(spark, capacity, monkeypatch):
+    """Few counters and many terms: summaries that lose counts, that can't tell, and exact ones give the same cut."""
+    rng = random.Random(capacity)
+    frequent = [f"t{t:02d}" for t in range(12)]
+    texts = [" ".join(frequent[: 1 + d % 12] * 3 + [f"rare{rng.randrange(400)}" for _ in range(8)]) for d in range(300)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sample_id string, prompt string").repartition(3)
+    docs, occurrences = Counter(), Counter()
+    for t in texts:
+        counts = Counter(python_words(t))
+        docs.update(counts.keys())
+        occurrences.update(counts)
+    for size in (10, 150):
+        wanted = sorted((t for t in docs if docs[t] >= 2), key=lambda t: (-occurrences[t], t))[:size]
+        fitted = fe.fit_space(df, "word", max_features=size, capacity=capacity)
+        got = [(r.term, r.df, r.cf) for r in fitted.terms.orderBy("place").collect()]
+        assert got == [(t, docs[t], occurrences[t]) for t in wanted] and fitted.texts == 300
+    whole = fe.fit_space(df, "word", max_features=None, capacity=capacity).terms
+    assert whole.count() == sum(n >= 2 for n in docs.values())
+
+
+def test_shrinking_never_loses_more_than_it_says():
+    rng = random.Random(3)
+    table, exact, seen = fe.TermTable(30), Counter(), Counter()
+    for _ in range(2000):
+        counts = Counter(f"t{int(rng.paretovariate(0.7))}" for _ in range(6))
+        exact.update(counts)
+        seen.update(counts.keys())
+        table.add(counts)
+        if table.full():
+            table.shrink()
+            assert len(table.occurrences) <= 30
+    assert table.lost > 0
+    for term, n in exact.items():
+        assert n - table.lost <= table.occurrences.get(term, 0) <= n and table.docs.get(term, 0) <= seen[term]
 
 
 def test_benign_lexicon(spark):
