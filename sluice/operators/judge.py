@@ -69,7 +69,7 @@ def judge_rows(
     """Judge every row; ``calls`` partitions bound how many calls run at a time.
 
     ``wait`` gives the seconds before a further try.  Each action on the result pays the calls
-    again: append it to the judged table first, and read that.  Returns id, answer, reason, usage, and an error text for rows that kept failing.
+    again; ``ledger.judged_records`` keeps what is paid.  Returns id, answer, reason, usage, and an error text for rows that kept failing.
     """
     texts = df.select(F.col("sample_id").cast("string").alias("sample_id"), truncate("prompt", max_chars).alias("prompt"))
     if calls:
@@ -95,17 +95,24 @@ def run_cascade(
     retries: int = 3,
     max_chars: int = JUDGE_CHARS,
     calls: int | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """The deployed form: only rows above tau, and audited ones, reach the judge.
 
-    Returns id, score, route and prediction; bypassed rows predict 0.  (``judge_rows`` on all
+    With ``ledger``, a folder, answers are kept there and no action pays twice.  Returns id, score, route and prediction; bypassed rows predict 0.  (``judge_rows`` on all
     rows is the evaluation form, which can be scored at any tau afterwards.)
     """
     bypass = F.col("router_score") <= tau
     drawn = audit_flag(F.col("sample_id"), audit_rate, audit_seed)
     route = F.when(~bypass, "judge").when(drawn, "audit").otherwise("bypass")
     routed = df.withColumn("route", route)
-    answers = judge_rows(routed.filter("route <> 'bypass'"), judge, retries, max_chars, calls)
+    called = routed.filter("route <> 'bypass'")
+    if ledger:
+        from sluice.operators.ledger import judged_records
+
+        answers = judged_records(called.select("sample_id", "prompt"), judge, ledger, retries=retries, max_chars=max_chars)
+    else:
+        answers = judge_rows(called, judge, retries, max_chars, calls)
     kept = routed.select("sample_id", "router_score", "route")
     joined = kept.join(answers.select("sample_id", "llm_prediction", "error"), "sample_id", "left")
     return joined.withColumn("prediction", F.when(F.col("route") == "bypass", 0).otherwise(F.col("llm_prediction")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import joins as jo
 from sluice.operators import judge as ju
+from sluice.operators import ledger as le
 from sluice.operators import monitor as mo
 from sluice.operators import policy as po
 from sluice.operators import quality as qu
@@ -130,6 +131,44 @@ def judge_batch(spark, d):
     return ju.judge_rows(fx.judged_docs(spark, d), ju.rule_judge)
 
 
+CHANGED = "CASE WHEN position % 8 = 0 THEN 'Is this changed? ' || prompt ELSE prompt END"
+
+
+def changed(docs):
+    """Every eighth text has changed since it was first seen."""
+    return docs.withColumn("prompt", F.when(F.col("position") % 8 == 0, F.concat(F.lit("Is this changed? "), "prompt")).otherwise(F.col("prompt")))
+
+
+@query(
+    "judge_ledger",
+    "sample_id:s position:i label:i router_score:f llm_prediction:i reason:s total_tokens:i reused:b",
+    f"""WITH {q.DOCS}, now AS (SELECT *, substr({CHANGED}, 1, 2400) AS t FROM judged_docs)
+SELECT sample_id, position, label, router_score, CAST(contains(t, '?') AS INTEGER) AS llm_prediction,
+  CASE WHEN contains(t, '?') THEN 'asks a question' ELSE 'no question' END AS reason,
+  len(regexp_extract_all(t, '[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+')) + 1 AS total_tokens, position % 4 = 0 AND position % 8 <> 0 AS reused FROM now""",
+)
+def judge_ledger(spark, d):
+    """A quarter is judged first; of these every second text changes, so its answer no longer serves."""
+    docs = fx.judged_docs(spark, d).select("sample_id", "position", "label", "router_score", "prompt")
+    path = scratch_path(spark, "ledger")
+    le.judged_records(docs.filter("position % 4 = 0"), ju.rule_judge, path)
+    return le.judged_records(changed(docs), ju.rule_judge, path).withColumn("total_tokens", F.col("usage.total_tokens"))
+
+
+@query(
+    "embed_resume",
+    "sample_id:s chars:f dim:i reused:b",
+    f"""WITH {q.DOCS}, now AS (SELECT *, substr({CHANGED}, 1, 4000) AS t FROM judged_docs)
+SELECT sample_id, length(t) AS chars, 4 AS dim, position % 4 = 0 AND position % 8 <> 0 AS reused FROM now""",
+)
+def embed_resume(spark, d):
+    docs = fx.judged_docs(spark, d).select("sample_id", "position", "prompt")
+    path = scratch_path(spark, "vectors")
+    le.embedded_rows(docs.filter("position % 4 = 0"), ju.length_embedder, path)
+    rows = le.embedded_rows(changed(docs), ju.length_embedder, path)
+    return rows.select("sample_id", F.col("embedding")[0].alias("chars"), F.size("embedding").alias("dim"), "reused")
+
+
 @query(
     "cascade_run",
     "sample_id:s route:s prediction:i",
@@ -139,7 +178,7 @@ def judge_batch(spark, d):
 SELECT sample_id, route, CASE WHEN route = 'bypass' THEN 0 ELSE CAST(contains(substr(prompt, 1, 2400), '?') AS INTEGER) END AS prediction FROM r""",
 )
 def cascade_run(spark, d):
-    return ju.run_cascade(fx.judged_docs(spark, d), ju.rule_judge, 0.4, 0.05)
+    return ju.run_cascade(fx.judged_docs(spark, d), ju.rule_judge, 0.4, 0.05, ledger=scratch_path(spark, "ledger"))
 
 
 @query(
