@@ -104,10 +104,10 @@ class JaccardJoin:
         levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows.select("_text"), self.k))
         signatures = scratch.put(self._signatures(rows, keys, levels), "signatures")
         levels.destroy()
-        members = scratch.put(
-            signatures.filter("n > 0").drop(*keys).dropDuplicates(["sig"]), "classes"
+        members, size = scratch.measured(
+            signatures.filter("n > 0").drop(*keys).dropDuplicates(["sig"]), "classes", n=F.count(F.lit(1))
         )
-        found = self._roots(rows, members, scratch)
+        found = self._roots(rows, members, size["n"], scratch)
         sized = signatures.select(*keys, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
         return (
             sized.join(found.withColumnRenamed("item", "sig"), "sig", "left")
@@ -137,7 +137,7 @@ class JaccardJoin:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
         return rows.mapInArrow(sign, f"{SIGNATURE}, {kinds}")
 
-    def _roots(self, rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    def _roots(self, rows: DataFrame, members: DataFrame, classes: int, scratch: Scratch) -> DataFrame:
         """The component (item, root) of every class that is linked with another."""
         postings = members.dropDuplicates(["gid", "n"]).select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
         packed = postings.select("token", "gid", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
@@ -155,9 +155,8 @@ class JaccardJoin:
             members.join(several, "gid").select(F.col("gid").alias("key"), F.col("sig").alias("item"), "n", F.lit(0).cast("long").alias("pos")),
             "inner",
         )
-        budget = WORK * max(1, members.count())
-        links = scratch.put(members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0), "links")
-        labels = links.select(F.col("a").alias("item"), F.col("b").alias("root"))
+        budget = WORK * max(1, classes)
+        labels = members.sparkSession.createDataFrame([], "item binary, root binary")
         step = 0
         while True:
             rooted = members.select("sig", "gid").join(labels.withColumnRenamed("item", "sig"), "sig", "left").withColumn(
@@ -178,12 +177,25 @@ class JaccardJoin:
             if own_pairs is not None:
                 own = self._bounded(self._side(one, "sig", "a"), self._side(one, "sig", "b"), own_pairs)
                 pairs = own if pairs is None else pairs.union(own).distinct()
-            candidates = scratch.put(pairs, "candidates")
+            candidates, size = scratch.measured(pairs, "candidates", n=F.count(F.lit(1)))
             step += 1
-            if not candidates.isEmpty():
-                found = self._verified(rows, members, candidates, scratch)
-                links = scratch.put(links.union(found), "links")
-                labels = scratch.put(components(links, scratch), "labels")
+            if size["n"]:
+                labels = self._labelled(labels, self._verified(rows, members, candidates, scratch), scratch)
+
+    @staticmethod
+    def _labelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+        """Labels after further links: only the roots that the links join are contracted."""
+        known = labels.withColumnRenamed("root", "r")
+        ends = (
+            links.join(known.withColumnsRenamed({"item": "a", "r": "ra"}), "a", "left")
+            .join(known.withColumnsRenamed({"item": "b", "r": "rb"}), "b", "left")
+            .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+        )
+        joined = components(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), scratch)
+        above = joined.select(F.col("item").alias("root"), F.col("root").alias("top"))
+        moved = labels.join(above, "root", "left").select("item", F.coalesce("top", "root").alias("root"))
+        fresh = joined.join(labels.select("item"), "item", "left_anti")
+        return scratch.put(moved.union(fresh), "labels")
 
     def _round(
         self, state: DataFrame, roots: DataFrame, budget: int, last: bool, step: int, counted: bool, scratch: Scratch
@@ -203,13 +215,13 @@ class JaccardJoin:
         reach = (100 + self.percent) * (F.col("n") - F.col("pos")) * 100 >= self.percent * (
             F.col("n") * 100 + F.greatest(F.col("least_n") * 100, F.col("n") * self.percent)
         )
-        state = scratch.put(state.join(open_keys, "key").withColumn("reach", reach), "open")
-        weight = state.agg(F.sum(F.when(F.col("size") > SMALL, F.col("apart") / F.col("size")).otherwise(0)).alias("w"), F.count(F.lit(1)).alias("n")).first()
-        if not weight.n:
+        weight = F.sum(F.when(F.col("size") > SMALL, F.col("apart") / F.col("size")).otherwise(0))
+        state, figures = scratch.measured(state.join(open_keys, "key").withColumn("reach", reach), "open", w=weight, n=F.count(F.lit(1)))
+        if not figures["n"]:
             return None, state
         small, large = state.filter(F.col("size") <= SMALL), state.filter((F.col("size") > SMALL) & F.col("reach"))
         pairs = self._counted(state, small) if counted else self._all_pairs(small.filter("reach"))
-        if last or (weight.w or 0) <= budget:
+        if last or (figures["w"] or 0) <= budget:
             pairs, rest = pairs.union(self._all_pairs(large)), state.limit(0)
         else:
             chosen = large.groupBy("key").agg(

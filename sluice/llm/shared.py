@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import scratch_path
@@ -36,6 +36,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+        """``put``, and aggregates of the rows as they are written, without another job."""
+        seen = Observation()
+        kept = self.put(df.observe(seen, *(c.alias(k) for k, c in figures.items())), name)
+        return kept, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``put`` returned, once nothing reads it any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
@@ -101,44 +107,45 @@ def counters(df: DataFrame, count: Callable, size: int, finish: Callable = np.as
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): one row (item, root) per vertex, root the least vertex.
 
-    Contraction: every vertex hooks to its least neighbour, chains are halved until they are stars,
+    Contraction: every vertex hooks to its least neighbour, chains are quartered until they are stars,
     and edges are renamed to the stars' centres; edges inside a star go.  All tables hold one row
-    per vertex or edge left.
+    per vertex or edge left, and each is written once, with the figure that ends its loop.
     """
-    edges = scratch.put(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = scratch.put(
-        edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct().withColumn("root", F.col("item")),
-        "labels",
-    )
-    while not edges.isEmpty():
+    rows = F.count(F.lit(1))
+    edges, left = scratch.measured(edges.select("a", "b").filter("a <> b").distinct(), "edges", n=rows)
+    labels = edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct().withColumn("root", F.col("item"))
+    while left["n"]:
         both = edges.union(edges.select("b", "a"))
         parents = scratch.put(
             both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("v"), F.least("a", "low").alias("up")),
             "parents",
         )
-        while True:
-            above = parents.select(F.col("v").alias("up"), F.col("up").alias("top"))
-            jumped = scratch.put(
-                parents.join(above, "up").select("v", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")),
-                "jumped",
+        moved = 1
+        while moved:
+            twice = _jumped(parents)
+            parents, figures = scratch.measured(
+                _jumped(twice.select("v", "up")).join(parents.select("v", F.col("up").alias("first")), "v")
+                .select("v", "up", (F.col("up") != F.col("first")).alias("moved")),
+                "jumped", moved=F.count_if("moved"),
             )
-            moved = not jumped.filter("moved").isEmpty()
-            parents = jumped.select("v", "up")
-            if not moved:
-                break
+            moved, parents = figures["moved"], parents.select("v", "up")
         named = parents.select(F.col("v").alias("root"), F.col("up").alias("top"))
-        labels = scratch.put(
-            labels.join(named, "root", "left").select("item", F.coalesce("top", "root").alias("root")), "labels"
-        )
-        edges = scratch.put(
+        labels = labels.join(named, "root", "left").select("item", F.coalesce("top", "root").alias("root"))
+        edges, left = scratch.measured(
             edges.join(parents.select(F.col("v").alias("a"), F.col("up").alias("ra")), "a")
             .join(parents.select(F.col("v").alias("b"), F.col("up").alias("rb")), "b")
             .filter("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct(),
-            "edges",
+            "edges", n=rows,
         )
-    return labels
+    return scratch.put(labels, "labels")
+
+
+def _jumped(parents: DataFrame) -> DataFrame:
+    """Every vertex with its parent's parent."""
+    above = parents.select(F.col("v").alias("up"), F.col("up").alias("top"))
+    return parents.join(above, "up").select("v", F.col("top").alias("up"))
 
 
 ROW_BITS = 33
