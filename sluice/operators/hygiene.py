@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import lexicons as lx
+from sluice.session import stored
 
 
 def _pruned(value: Column, kind: T.DataType, private: set[str]) -> Column:
@@ -103,8 +104,48 @@ def forbidden_paths(schema: T.DataType, names: Sequence[str] = tuple(lx.FORBIDDE
     return found
 
 
+def walked(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, json_columns: Sequence[str] = ()) -> DataFrame:
+    """Every key and leaf of a table at any depth, without a schema: keys, path, name, text (null unless a string).
+
+    Columns become variants, strings of ``json_columns`` by what they hold as JSON (a text that is none
+    stays a string).  Each level of nesting is one step: containers are unfolded in a lateral join, and
+    the steps end when none is left.  Names come as they are meant, whatever escapes spell them.
+    """
+    spark = df.sparkSession
+    names = [c for c in (df.columns if columns is None else columns) if c not in keys]
+
+    def as_variant(c: str) -> Column:
+        plain = F.to_variant_object(F.struct(F.col(c).alias("v")))
+        if c not in json_columns:
+            return F.variant_get(plain, "$.v", "variant")
+        return F.coalesce(F.try_parse_json(c), F.variant_get(plain, "$.v", "variant"))
+
+    start = F.array(*(F.struct(F.lit(c).alias("path"), F.lit(c).alias("name"), as_variant(c).alias("v")) for c in names))
+    level, out = df.select(*keys, F.explode(start).alias("e")).select(*keys, "e.*"), None
+    while True:
+        kind = F.schema_of_variant("v")
+        shown = level.select(*keys, "path", "name", F.when(kind == "STRING", F.variant_get("v", "$", "string")).alias("text"))
+        out = shown if out is None else out.unionByName(shown)
+        inner = stored(level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).withColumn("json", F.to_json("v")).drop("v"), "level")
+        if inner.isEmpty():
+            return out
+        inner = inner.withColumn("v", F.parse_json("json")).drop("json").withColumnsRenamed({"path": "above", "name": "within"})
+        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+            *keys,
+            F.when(F.col("key").isNull(), F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat_ws(".", "above", "key")).alias("path"),
+            F.coalesce("key", "within").alias("name"), F.col("value").alias("v"),
+        )
+
+
+def leak_paths(
+    df: DataFrame, keys: Sequence[str], terms: Sequence[str] = (), rules: dict[str, str] | None = None, json_columns: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, path, rule) for every string of a table, nested ones too, and every rule that matched it."""
+    return leak_scan(walked(df, keys, json_columns=json_columns), "text", [*keys, "path"], terms, rules)
+
+
 def forbidden_json_keys(df: DataFrame, json_col: str, names: Sequence[str] = tuple(lx.FORBIDDEN_FIELDS)) -> DataFrame:
-    """Rows per forbidden key that occurs, at any depth, in a JSON string column."""
-    hits = [F.when(F.col(json_col).rlike(f'"{n}"\\s*:'), F.lit(n)) for n in names]
-    keys = df.select(F.explode(F.array_compact(F.array(*hits))).alias("key"))
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per forbidden key that occurs, at any depth and however spelled, in a JSON string column."""
+    row = df.select(F.monotonically_increasing_id().alias("_row"), F.col(json_col).alias("payload"))
+    found = walked(row, ["_row"], json_columns=["payload"]).filter(F.col("name").isin(*names) & (F.col("path") != "payload") & ~F.col("path").endswith("]"))
+    return found.select("_row", F.col("name").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))

@@ -233,10 +233,19 @@ def attempt_stream(spark, d):
     return file_stream(spark, folder, rows.schema)
 
 
+#: Attempt numbers at which another part of the attempts arrives.
+ARRIVALS = [2, 4, 8, 16, 32]
+FILES_PER_PART = 2
+
+
 @query("stream_quarantine", ROUTED, f"WITH {FLAGGED} SELECT * FROM flagged")
 def stream_quarantine(spark, d):
-    path = scratch_path(spark, "quarantine")
-    sq.run_quarantine(attempt_stream(spark, d), TAU, path)
+    """Six micro-batches, in order of attempt numbers, against one state."""
+    rows, folder, path = fx.attempts(spark, d), scratch_path(spark, "arriving"), scratch_path(spark, "quarantine")
+    for low, high in zip([0, *ARRIVALS], [*ARRIVALS, 1 << 62], strict=True):
+        part = rows.filter((F.col("attempt_no") >= low) & (F.col("attempt_no") < high))
+        part.repartition(FILES_PER_PART).write.mode("append").parquet(folder)
+    sq.run_quarantine(file_stream(spark, folder, rows.schema, per_trigger=FILES_PER_PART), TAU, path)
     return spark.read.parquet(f"{path}/flagged")
 
 
@@ -247,12 +256,8 @@ def stream_quarantine(spark, d):
 )
 def stream_catches(spark, d):
     """Stateful operator; the state store it needs is set for this query only."""
-    before = spark.conf.get(sq.STORE_KEY, None)
-    spark.conf.set(sq.STORE_KEY, sq.STORE_CLASS)
-    try:
+    with sq.state_store(spark):
         decisions = drain(sq.catch_stream(attempt_stream(spark, d), TAU), "catches")
-    finally:
-        spark.conf.unset(sq.STORE_KEY) if before is None else spark.conf.set(sq.STORE_KEY, before)
     return decisions.groupBy("session_id").agg(F.min("first_catch").alias("first_catch"))
 
 

@@ -299,4 +299,20 @@ def forbidden_fields(spark, d):
     if hy.forbidden_paths(hy.drop_private(rows).schema):
         raise ValueError("a forbidden field survived")
     assert isinstance(rows.schema, T.StructType)
-    return hy.forbidden_json_keys(rows.select(F.to_json(F.struct("*")).alias("payload")), "payload")
+    payload = F.to_json(F.struct("*"))
+    escaped = F.replace(payload, F.lit('"prompt":'), F.lit('"pr\\u006fmpt":'))  # the same key for every reader of JSON
+    third = F.pmod(F.crc32(F.col("sample_id").cast("binary")), F.lit(3)) == 0
+    return hy.forbidden_json_keys(rows.select(F.when(third, escaped).otherwise(payload).alias("payload")), "payload")
+
+
+@query(
+    "leak_paths",
+    "sample_id:s path:s rule:s",
+    f"""WITH {q.PLANTED}, hits AS ({SCAN})
+SELECT sample_id, path, rule FROM hits, (SELECT unnest(['detail.records[0].prompt', 'detail.rows[0].prompt', 'notes.prompt', 'payload.more[1].text']) AS path)""",
+)
+def leak_paths(spark, d):
+    """The whole nested frame, a JSON text among its columns."""
+    rows = released(spark, d)
+    more = F.to_json(F.struct(F.array(F.struct(F.lit("clean").alias("text")), F.struct(F.col("notes")["prompt"].alias("text"))).alias("more")))
+    return hy.leak_paths(rows.withColumn("payload", more), ["sample_id"], rules=RULES, json_columns=["payload"])

@@ -195,3 +195,32 @@ def test_fail_safe_switch(spark, sf_dir, stream_name, expected):
     assert policy.count() == 1 and policy.first()["shift_detected"] == (stream_name == "shifted")
     assert {r[0] for r in routed.select("route").distinct().collect()} == expected
     assert routed.count() == rows.count()
+
+
+def test_state_is_the_table_of_catches(spark):
+    """Five micro-batches of one state; a quiet session is forgotten by its timer."""
+    rows = sorted(attempts(300), key=lambda r: r[2])
+    folder, path = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for i in range(5):
+        write_part(spark, rows[60 * i : 60 * (i + 1)], folder)
+    stream = file_stream(spark, folder, spark.createDataFrame([], SCHEMA).schema, per_trigger=1)
+    sq.run_quarantine(stream, TAU, path)
+    flagged = spark.read.parquet(f"{path}/flagged")
+    assert flagged.select("batch").distinct().count() == 5 and flagged.count() == 300
+    got = {r["sample_id"]: r["quarantined"] for r in flagged.collect()}
+    assert got == loop(rows)[0]
+    want = {}
+    for _, s, no, _, score, judge, audited in rows:
+        if score <= TAU and audited and judge == 1:
+            want[s] = min(no, want.get(s, no))
+    assert {r.session_id: r.first_catch for r in sq.known_catches(spark, f"{path}/catching").collect()} == want
+
+
+def test_quiet_sessions_are_forgotten(spark):
+    """Timers in event time: the watermark passes the first session's last catch by more than an hour."""
+    folder, path, t0 = scratch_path(spark, "in"), scratch_path(spark, "out"), dt.datetime(2024, 1, 1)
+    schema = f"{SCHEMA}, ts timestamp"
+    for part in ([("a", 1, 3, 1, 0.1, 1, True, t0)], [("b", 2, 4, 1, 0.1, 1, True, t0 + dt.timedelta(days=2))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        sq.run_quarantine(file_stream(spark, folder, spark.createDataFrame([], schema).schema), TAU, path, quiet_ms=3_600_000)
+    assert [(r.session_id, r.first_catch) for r in sq.known_catches(spark, f"{path}/catching").collect()] == [(2, 4)]

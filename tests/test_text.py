@@ -213,3 +213,19 @@ def test_report_numbers_round_like_python(spark):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     got = [tuple(r) for r in df.select(rp.number(F.col("v")), rp.percent(F.col("v"))).collect()]
     assert got == [(f"{v:.3f}", f"{100 * v:.1f}%") for v in values] + [("--", "--")]
+
+
+def test_walk_sees_every_key_and_string(spark):
+    payloads = ['{"a": [1, {"pr\\u006fmpt": "x sk-1"}], "b": {"c": null, "d": "y"}}', "no json sk-2", None, '"sk-3"', "[[]]", "{}"]
+    rows = [(i, p, [Row(k="v", deep=[{"m": "sk-4"}])] if i == 0 else None) for i, p in enumerate(payloads)]
+    df = spark.createDataFrame(rows, "id long, payload string, more array<struct<k: string, deep: array<map<string, string>>>>")
+    got = {(r.id, r.path, r.name, r.text) for r in hy.walked(df, ["id"], json_columns=["payload"]).collect() if r.text is not None}
+    assert got == {
+        (0, "payload.a[1].prompt", "prompt", "x sk-1"), (0, "payload.b.d", "d", "y"), (1, "payload", "payload", "no json sk-2"),
+        (3, "payload", "payload", "sk-3"), (0, "more[0].k", "k", "v"), (0, "more[0].deep[0].m", "m", "sk-4"),
+    }
+    hits = hy.leak_paths(df, ["id"], rules={"key": "sk-[0-9]"}, json_columns=["payload"]).collect()
+    assert {(r.id, r.path) for r in hits} == {(0, "payload.a[1].prompt"), (1, "payload"), (3, "payload"), (0, "more[0].deep[0].m")}
+    found = hy.forbidden_json_keys(df.select(F.col("payload").alias("p")), "p", ["prompt", "c", "payload"]).collect()
+    assert {(r.key, r.n) for r in found} == {("prompt", 1), ("c", 1)}
+    assert hy.walked(df.limit(0), ["id"]).count() == 0
