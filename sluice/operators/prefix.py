@@ -127,7 +127,14 @@ def exact_quantiles(
     The built-in exact percentile keeps every distinct value of a group in one task; this
     reads the two neighbouring order statistics off distributed running counts instead.
     """
-    rows = running_sums(value_counts(df, value, groups), [value], ["n"], groups)
+    return counted_quantiles(value_counts(df, value, groups), value, probs, groups, name)
+
+
+def counted_quantiles(
+    counts: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), name: str = "quantiles"
+) -> DataFrame:
+    """``exact_quantiles`` of rows that are counted already: one row per group and distinct value, with ``n``."""
+    rows = running_sums(counts, [value], ["n"], groups)
     v = F.col(value).cast("double")
 
     def at(p: float, total: str) -> Column:

@@ -13,7 +13,8 @@ from sluice.functions.draws import binomial_draw, poisson_draw
 from sluice.functions.hashing import unit_bucket
 from sluice.functions.rates import confusion_counts, with_rates
 from sluice.functions.text import keyword_hit
-from sluice.operators.prefix import exact_quantiles, running_sums
+from sluice.operators.prefix import counted_quantiles, exact_quantiles, running_sums
+from sluice.session import stored
 
 COUNTS = ["tn", "fp", "fn", "tp"]
 
@@ -123,7 +124,7 @@ def dataset_audit(df: DataFrame, words: Sequence[str] = tuple(lx.AUDIT_WORDS)) -
     Long form: ``level`` is ``dataset``, ``label`` or ``split`` and ``member`` the value.
     Duplicate texts are counted over digests, so the texts themselves are not shuffled.
     """
-    rows = df.select(
+    counted = df.select(
         "dataset",
         "split",
         "label",
@@ -131,46 +132,50 @@ def dataset_audit(df: DataFrame, words: Sequence[str] = tuple(lx.AUDIT_WORDS)) -
         F.length("prompt").alias("chars"),
         keyword_hit("prompt", words).cast("int").alias("_hit"),
     )
+    # One read of the texts: what follows reads this narrow table of distinct rows.
+    rows = stored(counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("rows")), "audit")
     cells = rows.groupBy("dataset", "split", "label").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("_hit").alias("_hits"),
-        F.sum("chars").alias("_chars"),
-    )
-    sums = [
+        F.sum("rows").alias("n"),
+        F.sum(F.col("_hit") * F.col("rows")).alias("_hits"),
+        F.sum(F.col("chars") * F.col("rows")).alias("_chars"),
+    )
+    dataset, split, label = (F.col(c) for c in ("dataset", "split", "label"))
+    sets = cells.groupingSets([["dataset"], ["dataset", "label"], ["dataset", "split"]], "dataset", "label", "split").agg(
+        F.grouping("label").alias("_no_label"),
+        F.grouping("split").alias("_no_split"),
         F.sum("n").alias("n"),
         (F.sum("_hits") / F.sum("n")).alias("keyword_hit_rate"),
         (F.sum("_chars") / F.sum("n")).alias("mean_chars"),
-    ]
-
-    def level(name: str, member: Column) -> DataFrame:
-        return cells.groupBy("dataset", F.lit(name).alias("level"), member.alias("member")).agg(*sums)
-
-    by_level = (
-        level("dataset", F.col("dataset"))
-        .unionByName(level("label", F.col("label").cast("string")))
-        .unionByName(level("split", F.col("split")))
     )
-    copies = rows.groupBy("dataset").agg(
-        (1.0 - F.count_distinct("_digest") / F.count(F.lit(1))).alias("duplicate_prompt_rate")
+    of_label, of_split = F.col("_no_label") == 0, F.col("_no_split") == 0
+    by_level = sets.select(
+        "dataset",
+        F.when(of_label, "label").when(of_split, "split").otherwise("dataset").alias("level"),
+        F.when(of_label, label.cast("string")).when(of_split, split).otherwise(dataset).alias("member"),
+        "n", "keyword_hit_rate", "mean_chars",
     )
+    digests = rows.groupBy("dataset", "_digest").agg(F.sum("rows").alias("_n"))
+    copies = digests.groupBy("dataset").agg((1.0 - F.count("_digest") / F.sum("_n")).alias("duplicate_prompt_rate"))
     copies = copies.select(
         "dataset", F.lit("dataset").alias("level"), F.col("dataset").alias("member"), "duplicate_prompt_rate"
     )
-    tagged = rows.select(
+    lengths = rows.groupBy("dataset", "label", "chars").agg(F.sum("rows").alias("n")).filter("chars is not null")
+    tagged = lengths.select(
         "dataset",
         F.explode(
             F.array(
-                F.struct(F.lit("dataset").alias("level"), F.col("dataset").alias("member")),
-                F.struct(F.lit("label").alias("level"), F.col("label").cast("string").alias("member")),
+                F.struct(F.lit("dataset").alias("level"), dataset.alias("member")),
+                F.struct(F.lit("label").alias("level"), label.cast("string").alias("member")),
             )
         ).alias("_at"),
-        "chars",
-    ).select("dataset", "_at.level", "_at.member", "chars")
+        "chars", "n",
+    ).select("dataset", "_at.level", "_at.member", "chars", "n")
     keys = ["dataset", "level", "member"]
-    lengths = exact_quantiles(tagged, "chars", [0.5, 0.95], keys).select(
+    merged = tagged.groupBy(*keys, "chars").agg(F.sum("n").alias("n"))
+    spread = counted_quantiles(merged, "chars", [0.5, 0.95], keys).select(
         *keys, F.col("quantiles")[0].alias("median_chars"), F.col("quantiles")[1].alias("p95_chars")
     )
-    return by_level.join(copies, keys, "left").join(lengths, keys, "left")
+    return by_level.join(copies, keys, "left").join(spread, keys, "left")
 
 
 def usage_totals(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

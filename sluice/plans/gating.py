@@ -283,11 +283,7 @@ MIXED = f"{q.EVENTS}, mixed AS ({' UNION ALL '.join(mix_sql(r) for r in lx.MIX_R
 def mixtures(spark, d):
     events = fx.judged_events(spark, d)
     base, foreign = events.filter("stream = 'holdout'"), events.filter("stream = 'shifted'")
-    out = None
-    for rate in lx.MIX_RATES:
-        part = sa.mix_streams(base, foreign, rate, 42)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return sa.mix_streams(base, foreign, lx.MIX_RATES, 42)
 
 
 @query(

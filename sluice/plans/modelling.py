@@ -177,9 +177,9 @@ def embedding_logreg(spark, d):
     return described(md.fit_logreg_grid(train, validation, "embedding_logreg", md.VECTOR_C, 100, scale=True))
 
 
-def forest_on(spark, d, trees=40):
+def forest_on(spark, d):
     train, validation, test = three_ways(vector_rows(spark, d), "sample_id")
-    return md.fit_forest(train, validation, trees=trees, max_depth=10), test
+    return md.fit_forest(train, validation), test
 
 
 @query("forest", FIT)
@@ -213,5 +213,5 @@ def detector_suite(spark, d):
 
 @query("positive_score", "sample_id:s router_score:f")
 def positive_score(spark, d):
-    detector, test = forest_on(spark, d, trees=10)
+    detector, test = forest_on(spark, d)
     return md.positive_score(detector.model, test).select("sample_id", "router_score")

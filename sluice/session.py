@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,17 +64,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-SMALL_ROWS = 100_000
+SMALL_BYTES = 8 << 20
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Bring a per-group table (thresholds, limits) to the rows of a large table.
 
-    The small side is written once and counted: up to ``SMALL_ROWS`` rows it is broadcast;
-    beyond that the join treats hot groups apart.  Rows of groups without an entry go.
+    The small side is written once, and its bytes (as text) are added up on the way: up to
+    ``SMALL_BYTES`` it is broadcast; beyond that the join treats hot groups apart.  Rows of groups
+    without an entry go.
     """
-    kept = stored(small, "per-group")
-    if kept.count() <= SMALL_ROWS:
+    seen = Observation()
+    size = F.sum(F.length(F.to_json(F.struct(*small.columns))))
+    kept = stored(small.observe(seen, size.alias("bytes")), "per-group")
+    if (seen.get["bytes"] or 0) <= SMALL_BYTES:
         return df.join(F.broadcast(kept), keys)
     return join_hot(df, kept.withColumn("_kept", F.lit(True)), keys).filter("_kept").drop("_kept")
 

@@ -157,7 +157,7 @@ def test_join_small_beyond_its_limit(spark, monkeypatch):
     df = spark.createDataFrame(skewed())
     table = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, w int")
     small = sorted(session.join_small(df, table, ["g"]).select("id", "w").collect())
-    monkeypatch.setattr(session, "SMALL_ROWS", 1)
+    monkeypatch.setattr(session, "SMALL_BYTES", 1)
     assert sorted(session.join_small(df, table, ["g"]).select("id", "w").collect()) == small
 
 
