@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sluice.operators import thresholds as th
 from sluice.operators.features import Vectoriser, fit_vectoriser
 from sluice.operators.linear import LinearModel, fit_grid
-from sluice.operators.quality import bootstrap_ci, score_summary
+from sluice.operators.quality import bootstrap_ci, label_counts, score_summary
 from sluice.session import stored
 
 TEXT_C = [0.5, 1.0, 2.0, 4.0]
@@ -183,17 +183,29 @@ def coefficient_table(detector: Detector, indexed: DataFrame) -> tuple[DataFrame
     return indexed.select("space", "term", "idx").join(table, "idx").drop("idx"), detector.model.intercept
 
 
+INTERVALS_AT = ("threshold_0_5", "best_f1")
+
+
 def evaluate_suite(
-    detector: Detector, datasets: DataFrame, seed: int = 20260604, replicates: int = 500, dataset: str = "dataset"
+    detector: Detector, datasets: DataFrame, seed: int = 20260604, replicates: int = 500, dataset: str = "dataset",
+    intervals_at: Sequence[str] = INTERVALS_AT,
 ) -> dict[str, DataFrame]:
-    """Figures of every dataset at the validation thresholds, score spread, and intervals."""
-    scored = positive_score(detector.model, datasets)
-    best: Column = detector.thresholds.filter("policy = 'best_f1'").select("tau").scalar()
-    flagged = scored.select(dataset, "label", "router_score", best.alias("_t"))
+    """What a detector does on validation, test and external parts (``dataset`` names them), refitted on none.
+
+    ``figures``: classification and triage rows of every part at the thresholds chosen on validation rows;
+    ``labels``: rows per label; ``summary``: score spread; ``intervals``: of every metric, at the 0.5 and the
+    best-F1 threshold.  Rows are scored once and written.
+    """
+    rows = positive_score(detector.model, datasets).select(dataset, "label", "router_score")
+    scored = stored(rows, "scored")
+    taus = detector.thresholds.filter(F.col("policy").isin(*intervals_at)).select("policy", "tau")
+    at: Column = taus.agg(F.collect_list(F.struct("policy", "tau")).alias("t")).scalar()
+    flagged = scored.withColumn("_at", at).select(dataset, "label", "router_score", F.inline("_at"))
     return {
         "figures": th.apply_threshold_set(scored, detector.thresholds, [dataset]),
+        "labels": label_counts(scored, [dataset]),
         "summary": score_summary(scored, groups=[dataset]),
         "intervals": bootstrap_ci(
-            flagged, (F.col("router_score") >= F.col("_t")).cast("int"), [dataset], seed, replicates
+            flagged, (F.col("router_score") >= F.col("tau")).cast("int"), [dataset, "policy"], seed, replicates
         ),
     }

@@ -246,8 +246,8 @@ SELECT stream, metric, avg(v) AS mean, quantile_cont(v, 0.025) AS ci95_low, quan
 FROM l GROUP BY stream, metric"""
 
 
-def multinomial_sql(seed: int) -> str:
-    steps, source, kept = [BOOT_COUNTS], "base", "tn, fp, fn, tp, n"
+def multinomial_sql(seed: int, counts: str = BOOT_COUNTS) -> str:
+    steps, source, kept = [counts], "base", "tn, fp, fn, tp, n"
     rows, left = "n", "n"
     for i, cell in enumerate(CELLS[:-1]):
         p = f"(CAST({cell} AS DOUBLE) / ({rows}))"

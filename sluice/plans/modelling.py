@@ -1,15 +1,19 @@
 """Queries: text features, linear scores, trained detectors."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.functions import lexicons as lx
 from sluice.functions.hashing import unit_bucket
 from sluice.operators import features as fe
 from sluice.operators import models as md
+from sluice.operators import thresholds as th
+from sluice.operators.linear import LinearModel
+from sluice.plans import curves as cu
 from sluice.plans import fixtures as fx
 from sluice.plans import sql as q
 from sluice.plans.registry import query
-from sluice.session import scratch_path
+from sluice.session import scratch_path, stored
 from sluice.sources import vectors as ve
 
 WORDS_SQL = f"""words AS (SELECT sample_id, regexp_extract_all(lower(prompt), '{fe.WORD}') AS w FROM judged_docs),
@@ -206,12 +210,94 @@ def detector_suite(spark, d):
     """Intervals and score spread per dataset at the validation best-F1 threshold."""
     train, validation, test = three_ways(vector_rows(spark, d), "sample_id")
     detector = md.fit_logreg_grid(train, validation, "embedding_logreg", md.VECTOR_C, 100, scale=True)
-    parts = validation.withColumn("dataset", F.lit("validation")).unionByName(test.withColumn("dataset", F.lit("test")))
+    half = F.concat(F.lit("external_"), (F.col("vec_id") % 2).cast("string"))
+    parts = validation.withColumn("dataset", F.lit("validation")).unionByName(test.withColumn("dataset", half))
     suite = md.evaluate_suite(detector, parts)
-    return suite["intervals"].join(suite["summary"], "dataset")
+    return suite["intervals"].filter("policy = 'best_f1'").join(suite["summary"], "dataset")
 
 
 @query("positive_score", "sample_id:s router_score:f")
 def positive_score(spark, d):
     detector, test = forest_on(spark, d)
     return md.positive_score(detector.model, test).select("sample_id", "router_score")
+
+
+# A linear detector that isn't trained: hash-drawn coefficients, so that SQL can score the same rows.
+DIMENSIONS, GIVEN_INTERCEPT = 64, -0.1
+
+
+def given_coefficients(spark):
+    drawn = (unit_bucket(F.concat(F.lit("dim"), F.col("id").cast("string"), F.lit(":coef"))) - 0.5) * 4.0
+    rows = spark.range(DIMENSIONS).select("id", drawn.alias("c")).orderBy("id").collect()
+    return np.array([r.c for r in rows])
+
+
+def given_rows(spark, d):
+    """Vectors by part: the validation rows choose the thresholds, the others are seen for the first time."""
+    v = fx.vectors(spark, d)
+    part = F.element_at(F.array(*(F.lit(p) for p in ("reference", "test", "external_a", "external_b"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    entries = F.transform("embedding", lambda c: c.cast("double"))
+    return v.select("sample_id", "label", part.alias("stream"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("idx"), entries.alias("weight"))
+
+
+def given_detector(spark, rows):
+    """The detector with thresholds from the validation rows, saved and loaded again."""
+    model = LinearModel(given_coefficients(spark), GIVEN_INTERCEPT)
+    scored = model.score(rows.filter("stream = 'reference'")).select("label", "router_score")
+    path = scratch_path(spark, "given")
+    md.Detector("given", model, th.threshold_set(th.metric_curve(stored(scored, "scored")))).save(path)
+    return md.Detector.load(spark, path, "given", linear=True)
+
+
+GIVEN = f"""{q.VECTORS},
+dims AS (SELECT list(({q.bucket("'dim' || i || ':coef'")} - 0.5) * 4.0 ORDER BY i) AS c FROM range({DIMENSIONS}) r(i)),
+judged_events AS (
+  SELECT sample_id, label, CASE vec_id % 4 WHEN 0 THEN 'reference' WHEN 1 THEN 'test' WHEN 2 THEN 'external_a' ELSE 'external_b' END AS stream,
+    1 / (1 + exp(-(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * c[i])) + ({GIVEN_INTERCEPT})))) AS router_score
+  FROM vectors, dims)"""
+
+
+def on_given(ctes: str) -> str:
+    return ctes.replace(q.EVENTS, GIVEN)
+
+
+@query("given_scores", "sample_id:s label:i router_score:f", f"WITH {GIVEN} SELECT sample_id, label, router_score FROM judged_events WHERE stream <> 'reference'")
+def given_scores(spark, d):
+    """Class-1 scores of rows that a saved and loaded detector has not seen."""
+    rows = given_rows(spark, d)
+    return md.positive_score(given_detector(spark, rows).model, rows.filter("stream <> 'reference'"))
+
+
+@query("suite_figures", cu.APPLIED, cu.applied_sql("(CASE WHEN router_score >= tau THEN 1 ELSE 0 END)", "chosen", on_given(cu.set_ctes())))
+def suite_figures(spark, d):
+    """Classification and triage rows of validation, test and external parts at the validation thresholds."""
+    rows = given_rows(spark, d)
+    return md.evaluate_suite(given_detector(spark, rows), rows, dataset="stream")["figures"]
+
+
+SUITE_COUNTS = f"""WITH {on_given(cu.set_ctes())}, counted AS (
+  SELECT e.stream || '|' || c.policy AS stream, {q.confusion("(CASE WHEN router_score >= tau THEN 1 ELSE 0 END)")}
+  FROM judged_events e, chosen c WHERE c.policy IN ('threshold_0_5', 'best_f1') GROUP BY ALL),
+base AS (SELECT *, 0 AS none, tn + fp + fn + tp AS n FROM counted CROSS JOIN range(500) r(b))"""
+
+
+@query(
+    "suite_intervals",
+    "stream:s policy:s metric:s mean:f ci95_low:f ci95_high:f",
+    f"""SELECT split_part(stream, '|', 1) AS stream, split_part(stream, '|', 2) AS policy, metric, mean, ci95_low, ci95_high
+FROM ({cu.multinomial_sql(20260604, SUITE_COUNTS)})""",
+)
+def suite_intervals(spark, d):
+    """Bootstrap intervals of every part at the 0.5 and the best-F1 threshold."""
+    rows = given_rows(spark, d)
+    return md.evaluate_suite(given_detector(spark, rows), rows, dataset="stream")["intervals"]
+
+
+@query(
+    "suite_labels",
+    "stream:s label:i n:i",
+    f"WITH {GIVEN} SELECT stream, label, count(*) AS n FROM judged_events GROUP BY ALL",
+)
+def suite_labels(spark, d):
+    rows = given_rows(spark, d)
+    return md.evaluate_suite(given_detector(spark, rows), rows, dataset="stream")["labels"]
