@@ -82,14 +82,29 @@ def caught_text(caught: Column, total: Column, miss_rate: Column) -> Column:
     )
 
 
-def report_table(parts: dict[str, DataFrame | None]) -> tuple[DataFrame, list[str]]:
-    """Stack the sections that exist; the names of missing ones are returned, not hidden."""
+#: A part of a note: a text as it is, or a column with its form: i whole number or text, n three decimals, p percent.
+Part = str | tuple[str, str]
+
+
+def note_text(parts: list[Part]) -> Column:
+    """A note from texts and columns; ``--`` for null figures."""
+    shown = {"i": lambda c: F.coalesce(c.cast("string"), F.lit("--")), "n": number, "p": percent}
+    return F.concat(*(F.lit(p) if isinstance(p, str) else shown[p[1]](F.col(p[0])) for p in parts))
+
+
+def report_table(parts: dict[str, DataFrame | None]) -> DataFrame:
+    """Stack the sections; a section without input is one row that says so."""
     present = [p for p in parts.values() if p is not None]
-    missing = [name for name, p in parts.items() if p is None]
     if not present:
         raise ValueError("no report section has any input")
     full = [p if "note" in p.columns else p.withColumn("note", F.lit("--")) for p in present]
     table = full[0]
     for part in full[1:]:
         table = table.unionByName(part)
-    return table, missing
+    missing = [name for name, p in parts.items() if p is None]
+    if missing:
+        dashes = [F.lit("--").alias(c) for c in table.columns if c not in ("section", "name", "note")]
+        names = F.explode(F.array(*map(F.lit, missing))).alias("section")
+        rows = table.sparkSession.range(1).select(names, F.lit("missing").alias("name"), *dashes, F.lit("no input").alias("note"))
+        table = table.unionByName(rows)
+    return table

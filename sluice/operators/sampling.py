@@ -131,11 +131,19 @@ def mix_streams(
     return kept.unionByName(added.select(*kept.columns))
 
 
+GROUP_LIMIT = 1000
+
+
 def top_per_group(df: DataFrame, n: int, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First ``n`` rows of each group with their ``place``; ``order`` must be unique in a group.
 
-    Ranked over sort ranges, whatever ``n``: a hot group is spread over many of them.
+    Up to the engine's group limit (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000) the row-number
+    limit runs before the shuffle, so a hot group sends at most ``n`` rows per input partition.  A larger
+    ``n`` is ranked over sort ranges; its order must be plain rising columns.
     """
+    if n <= GROUP_LIMIT:
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return df.withColumn("place", place).filter(F.col("place") <= n)
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns(dict(zip(names, order, strict=True)))
     return ranked(keyed, names, groups, "place").drop(*names).filter(F.col("place") <= n)

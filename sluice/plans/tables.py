@@ -12,12 +12,13 @@ from sluice.operators import policy as po
 from sluice.operators import quality as qu
 from sluice.operators import report as rp
 from sluice.operators import sampling as sa
+from sluice.plans import calibrations, gating, modelling  # noqa: F401  (their finished tables are sections)
 from sluice.plans import fixtures as fx
 from sluice.plans import sql as q
 from sluice.plans.attempts import OUTCOME, session_summary, summary_side
 from sluice.plans.gating import GATE_ROWS, gate_eval, gate_sql
 from sluice.plans.policies import POLICY_SQL, failsafe_sql
-from sluice.plans.registry import query
+from sluice.plans.registry import ENTRIES, query
 from sluice.plans.texts import CATEGORY, error_categories
 from sluice.session import scratch_path, stored
 from sluice.sources import judged as js
@@ -282,6 +283,38 @@ CELLS = "concat_ws('/', tn, fp, fn, tp) AS confusion"
 FB = f"CASE WHEN false_bypass_rate IS NULL THEN '--' ELSE false_bypass_count || ' (' || {shown('false_bypass_rate')} || ')' END AS false_bypass"
 
 
+#: Further sections, each from the finished table of a query: name, call reduction, note.
+SECTIONS = {
+    "same_subset": ("same_subset", [("subset", "i"), " ", ("detector", "i"), " ", ("threshold_name", "i")], None, ["F1 ", ("f1", "n"), ", recall ", ("recall", "n"), " of ", ("n", "i")]),
+    "detectors": ("suite_figures", [("stream", "i"), " ", ("policy", "i")], "cost_reduction", ["F1 ", ("f1", "n"), ", ", ("false_bypass_count", "i"), "/", ("positives", "i"), " passed"]),
+    "mixed": ("mixed_shift_probe", [("stream", "i"), " ", ("policy", "i")], "cost_reduction", [("triggers", "i"), ", PSI ", ("psi", "n"), ", KS p ", ("ks_pvalue", "n"), ", keywords ", ("keyword_diff", "n")]),
+    "audit": ("audit_policy", [("stream", "i")], "cost_reduction", [("adaptive_audited_count", "i"), "/", ("adaptive_count", "i"), " audited, ", ("adaptive_caught_when_audited", "i"), " caught"]),
+    "seeds": ("audit_seed_sensitivity", [("seeds", "i"), " seeds"], None, [("mean_adaptive_e2e_fn_rate", "p"), " missed, ", ("mean_adaptive_audited_count", "n"), " audited"]),
+    "calibration": ("np_threshold_by_stream", [("stream", "i")], None, ["tau ", ("tau_safe", "n"), ", ", ("false_bypass_count", "i"), " of ", ("max_allowed", "i"), " allowed, feasible ", ("feasible", "i")]),
+    "confirmation": ("hash_split_confirm", [("selection", "i")], "call_reduction", ["upper ", ("cp_upper", "n"), ", passes ", ("passes", "i")]),
+    "by_rate": ("outcome_by_rate", [("mixture_rate", "p")], None, [("observed_e2e_fn_rate", "p"), " missed, ", ("judge_would_catch", "i"), " catchable of ", ("router_bypass_count", "i")]),
+    "statistics": ("shift_failsafe", [("stream", "i"), " ", ("policy", "i")], "cost_reduction", ["PSI ", ("psi", "n"), ", KS p ", ("ks_pvalue", "n"), ", keywords ", ("keyword_diff", "n")]),
+    "usage": ("usage_totals", [("stream", "i")], None, [("total_tokens", "i"), " tokens, ", ("reused_records", "i"), "/", ("n", "i"), " reused"]),
+}
+FORMS = {"i": "coalesce(CAST({0} AS VARCHAR), '--')", "n": "coalesce(printf('%.3f', {0}), '--')", "p": "coalesce(printf('%.1f%%', {0} * 100.0), '--')"}
+
+
+def text_sql(parts) -> str:
+    return " || ".join(f"'{p}'" if isinstance(p, str) else FORMS[p[1]].format(p[0]) for p in parts)
+
+
+def section_sql(section: str) -> str:
+    source, name, reduction, note = SECTIONS[section]
+    shown_reduction = FORMS["p"].format(reduction) if reduction else "'--'"
+    return f"SELECT '{section}', {text_sql(name)}, {DASHES}, {shown_reduction}, '--', '--', '--', {text_sql(note)} FROM ({ENTRIES[source].oracle()})"
+
+
+def section_rows(spark, d, section: str):
+    source, name, reduction, note = SECTIONS[section]
+    figures = stored(ENTRIES[source].run(spark, d), section)
+    return rp.note_rows(figures, section, rp.note_text(name), F.col(reduction) if reduction else None, rp.note_text(note))
+
+
 @query(
     "report_table",
     "section:s name:s accuracy:s precision:s recall:s specificity:s f1:s confusion:s call_reduction:s call_rate:s triggers:s false_bypass:s note:s",
@@ -305,7 +338,10 @@ UNION ALL
 SELECT 'missed', lang, {DASHES}, '--', '--', '--', '--', string_agg(category || ': ' || n, '; ' ORDER BY n DESC, category)
 FROM (WITH {q.PLANTED} SELECT lang, category, count(*) AS n FROM (
   SELECT lang, {CATEGORY} AS category FROM planted_docs WHERE label = 1 AND llm_prediction = 0) GROUP BY lang, category
-  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, category) <= 3) GROUP BY lang""",
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, category) <= 3) GROUP BY lang
+UNION ALL
+{" UNION ALL ".join(map(section_sql, SECTIONS))}
+UNION ALL SELECT 'embedding', 'missing', {DASHES}, '--', '--', '--', '--', 'no input'""",
 )
 def report_table(spark, d):
     # The report reads finished metric tables, as it does in operation.
@@ -327,7 +363,7 @@ def report_table(spark, d):
     line = F.struct("place", F.concat(F.col("category"), F.lit(": "), F.col("n").cast("string")).alias("t"))
     missed = top.groupBy("lang").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     missed_note = F.array_join(F.transform("lines", lambda x: x["t"]), "; ")
-    table, _ = rp.report_table(
+    return rp.report_table(
         {
             "judge": rp.metric_rows(judge_only, "judge", F.col("stream")),
             "cascade": rp.policy_rows(cascade, "cascade", F.concat(F.col("stream"), F.lit(f" at {TAU}"))),
@@ -335,7 +371,7 @@ def report_table(spark, d):
             "gates": rp.note_rows(gates, "gates", F.col("gate"), F.col("cost_reduction"), gate_note),
             "sessions": rp.note_rows(sessions, "sessions", F.col("policy"), None, session_note),
             "missed": rp.note_rows(missed, "missed", F.col("lang"), None, missed_note),
+            **{section: section_rows(spark, d, section) for section in SECTIONS},
             "embedding": None,
         }
     )
-    return table
