@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sluice.operators import features as fe
@@ -99,6 +100,44 @@ def test_forest_on_vectors(spark, sf_dir):
     assert scored.filter("router_score < 0 OR router_score > 1 OR router_score IS NULL").count() == 0
 
 
+def observed(spark):
+    """A session that has observed a table."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    return seen.get["n"]
+
+
+def drawn_vectors(spark, n, at=0):
+    rng = np.random.default_rng(n + at)
+    points = rng.normal(size=(n, 4))
+    return spark.createDataFrame(
+        [(f"v{at + i}", Vectors.dense(p), int(p[0] + p[1] > 0)) for i, p in enumerate(points)], ["sample_id", "features", "label"]
+    )
+
+
+def test_trained_models_travel_after_an_observation(spark):
+    assert observed(spark) == 3
+    train, validation = drawn_vectors(spark, 80), drawn_vectors(spark, 40, 80)
+    forest = md.fit_forest(train, validation, trees=3, max_depth=3)
+    linear = md.fit_logreg_grid(train, validation, c_values=[1.0], max_iter=5, scale=True)
+    for detector in (forest, linear):
+        assert md.positive_score(detector.model, validation).filter("router_score between 0 and 1").count() == 40
+
+
+def test_forest_in_parts(spark):
+    """Trees beyond the bound are fitted and written in parts; all of them vote, saved and loaded too."""
+    train, validation = drawn_vectors(spark, 80), drawn_vectors(spark, 40, 80)
+    fitted = md.fit_forest(train, validation, trees=7, max_depth=4, tree_rows=240)
+    assert [n for _, n in fitted.model.parts] == [3, 3, 1]
+    path = scratch_path(spark, "forest")
+    fitted.save(path)
+    again = md.Detector.load(spark, path, "vector_forest", forest=True)
+    alone = [md.positive_score(md.ForestModel([part]), validation, f"p{i}").select("sample_id", f"p{i}") for i, part in enumerate(fitted.model.parts)]
+    together = md.positive_score(again.model, validation).join(alone[0], "sample_id").join(alone[1], "sample_id").join(alone[2], "sample_id")
+    gap = together.select(F.abs(F.col("router_score") - (3 * F.col("p0") + 3 * F.col("p1") + F.col("p2")) / 7).alias("g")).agg(F.max("g"), F.count("*")).first()
+    assert gap[0] < 1e-12 and gap[1] == 40
+
+
 def test_missing_embedding_fails(spark):
     table = spark.createDataFrame([("a",), ("b",)], "sample_id string")
     vectors = spark.createDataFrame([("a", [1.0])], "sample_id string, embedding array<float>")
