@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -229,3 +231,28 @@ def test_walk_sees_every_key_and_string(spark):
     found = hy.forbidden_json_keys(df.select(F.col("payload").alias("p")), "p", ["prompt", "c", "payload"]).collect()
     assert {(r.key, r.n) for r in found} == {("prompt", 1), ("c", 1)}
     assert hy.walked(df.limit(0), ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("space, cut", [("word", python_words), ("char", python_chars)])
+def test_slices_count_like_rows(space, cut):
+    """Few bytes at a time, a text beyond a slice, nulls and empty texts: counts as of each text alone."""
+    texts = [*CORPUS, None, "longer text " * 40, "", "x"]
+    pieces = [None if t is None else (re.findall(r"\w\w+", t.lower()) if space == "word" else t.lower().split()) for t in texts]
+    name = f"_cut_{space}"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(pieces, pa.list_(pa.string()))], ["n", name])
+    got, parts = {}, list(fe._runs(batch, np.array([sum(map(len, p or [])) for p in pieces]), 16))
+    assert len(parts) > 2 and sum(p.num_rows for p in parts) == len(texts)
+    for part in parts:
+        terms, row, term, times = fe.slice_counts(part.column(1), space)
+        for r, t, n in zip(row, term, times):
+            got[part.column(0)[int(r)].as_py(), terms[t]] = n
+    assert got == {(i, t): n for i, text in enumerate(texts) for t, n in Counter(cut(text or "")).items()}
+
+
+def test_weights_come_without_a_join(spark):
+    """Postings leave the task with their term: none is shuffled or joined on the way."""
+    df = spark.createDataFrame([(str(i % 9), t) for i, t in enumerate(CORPUS * 4)], "sample_id string, prompt string")
+    weights = fe.fit_vectoriser(df).transform(df)
+    assert weights.count() > 0
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
