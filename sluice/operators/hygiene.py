@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +79,50 @@ def leak_scan(
     rules: dict[str, str] | None = None,
 ) -> DataFrame:
     """(keys, rule) for every text and rule that matched; one pass over the texts."""
+    return df.select(*keys, F.explode(_matched(F.col(text), terms, rules)).alias("rule"))
+
+
+def _matched(text: Column, terms: Sequence[str], rules: dict[str, str] | None) -> Column:
+    """The names of all rules and terms that a text matches.  A pattern is tried only where the text has what it can't match without."""
     rules = dict(lx.LEAK_PATTERNS if rules is None else rules)
-    hits = [F.when(F.col(text).rlike(p), F.lit(name)) for name, p in rules.items()]
-    hits += [F.when(F.col(text).contains(t), F.lit(f"term_{i}")) for i, t in enumerate(terms)]
-    return df.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+
+    def matches(pattern: str) -> Column:
+        part = needed(pattern)
+        return text.contains(part) & text.rlike(pattern) if part else text.rlike(pattern)
+
+    hits = [F.when(matches(p), F.lit(name)) for name, p in rules.items()]
+    hits += [F.when(text.contains(t), F.lit(f"term_{i}")) for i, t in enumerate(terms)]
+    return F.array_compact(F.array(*hits))
+
+
+PARTS = re.compile(r"\\(?P<plain>[^A-Za-z0-9])|\\.|(?P<open>[(\[])|(?P<close>[)\]])|(?P<loose>[?*]|\{[^}]*\})|(?P<bar>\|)|[+.^$]|(?P<char>.)", re.S)
+
+
+def needed(pattern: str) -> str:
+    """The longest literal that every match of a pattern holds, read outside of groups and classes; empty where none is certain."""
+    if re.search(r"\\[QEcxuNk0-9]|\(\?[a-zA-Z-]|\[\^?\]", pattern):  # quotes, numbered characters, references, flags, a class that begins with its end
+        return ""
+    runs, groups, classes = [""], 0, 0
+    for m in PARTS.finditer(pattern):
+        if m["open"] == "[" or (classes and m["close"] == "]"):
+            classes += 1 if m["open"] else -1
+            runs.append("")
+        elif classes:
+            continue
+        elif m["open"] or m["close"] == ")":
+            groups += 1 if m["open"] else -1
+            runs.append("")
+        elif groups:
+            continue
+        elif m["bar"]:
+            return ""
+        elif m["plain"] or m["char"]:
+            runs[-1] += m["plain"] or m["char"]
+        else:
+            if m["loose"]:
+                runs[-1] = runs[-1][:-1]  # the character before may be missing
+            runs.append("")
+    return max(runs, key=len)
 
 
 def leak_counts(hits: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -105,11 +146,20 @@ def forbidden_paths(schema: T.DataType, names: Sequence[str] = tuple(lx.FORBIDDE
 
 
 def walked(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, json_columns: Sequence[str] = ()) -> DataFrame:
-    """Every key and leaf of a table at any depth, without a schema: keys, path, name, text (null unless a string).
+    """Every key and leaf of a table at any depth, without a schema: keys, path, name, text (null unless a string)."""
+    return _walked(df, keys, columns, json_columns, lambda text: text).withColumnRenamed("found", "text")
+
+
+def _walked(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None, json_columns: Sequence[str],
+    found: Callable[[Column], Column], kept: Callable[[Column], Column] = lambda found: F.lit(True),
+) -> DataFrame:
+    """Keys, path, name and what ``found`` makes of the text (null unless a string), where ``kept`` holds of that.
 
     Columns become variants, strings of ``json_columns`` by what they hold as JSON (a text that is none
     stays a string).  Each level of nesting is one step: containers are unfolded in a lateral join, and
-    the steps end when none is left.  Names come as they are meant, whatever escapes spell them.
+    the steps end when none is left.  A level is unfolded once: what was found there and its containers are
+    written together.  Names come as they are meant, whatever escapes spell them.
     """
     spark = df.sparkSession
     names = [c for c in (df.columns if columns is None else columns) if c not in keys]
@@ -124,9 +174,14 @@ def walked(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = N
     level, out = df.select(*keys, F.explode(start).alias("e")).select(*keys, "e.*"), None
     while True:
         kind = F.schema_of_variant("v")
-        shown = level.select(*keys, "path", "name", F.when(kind == "STRING", F.variant_get("v", "$", "string")).alias("text"))
+        container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        text = F.when(kind == "STRING", F.variant_get("v", "$", "string"))
+        both = level.select(*keys, "path", "name", text.alias("text"), F.when(container, F.to_json("v")).alias("json"))
+        both = both.select(*keys, "path", "name", found(F.col("text")).alias("found"), "json")
+        seen = stored(both, "level")
+        shown = seen.filter(kept(F.col("found"))).drop("json")
         out = shown if out is None else out.unionByName(shown)
-        inner = stored(level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).withColumn("json", F.to_json("v")).drop("v"), "level")
+        inner = seen.filter("json is not null").drop("found")
         if inner.isEmpty():
             return out
         inner = inner.withColumn("v", F.parse_json("json")).drop("json").withColumnsRenamed({"path": "above", "name": "within"})
@@ -141,11 +196,12 @@ def leak_paths(
     df: DataFrame, keys: Sequence[str], terms: Sequence[str] = (), rules: dict[str, str] | None = None, json_columns: Sequence[str] = ()
 ) -> DataFrame:
     """(keys, path, rule) for every string of a table, nested ones too, and every rule that matched it."""
-    return leak_scan(walked(df, keys, json_columns=json_columns), "text", [*keys, "path"], terms, rules)
+    hits = _walked(df, keys, None, json_columns, lambda text: _matched(text, terms, rules), lambda found: F.size(found) > 0)
+    return hits.select(*keys, "path", F.explode("found").alias("rule"))
 
 
 def forbidden_json_keys(df: DataFrame, json_col: str, names: Sequence[str] = tuple(lx.FORBIDDEN_FIELDS)) -> DataFrame:
     """Rows per forbidden key that occurs, at any depth and however spelled, in a JSON string column."""
     row = df.select(F.monotonically_increasing_id().alias("_row"), F.col(json_col).alias("payload"))
-    found = walked(row, ["_row"], json_columns=["payload"]).filter(F.col("name").isin(*names) & (F.col("path") != "payload") & ~F.col("path").endswith("]"))
+    found = _walked(row, ["_row"], None, ["payload"], lambda text: F.lit(None).cast("string")).filter(F.col("name").isin(*names) & (F.col("path") != "payload") & ~F.col("path").endswith("]"))
     return found.select("_row", F.col("name").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))

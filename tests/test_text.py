@@ -233,6 +233,32 @@ def test_walk_sees_every_key_and_string(spark):
     assert hy.walked(df.limit(0), ["id"]).count() == 0
 
 
+def test_patterns_are_tried_where_their_literal_is(spark):
+    """The literal is in every match; patterns without a certain one are tried on every text."""
+    want = {
+        r"sk-[A-Za-z0-9_-]{20,}": "sk-", r"a?bc*d": "b", r"token\s*=": "token", r"ab|cd": "", r"(ab)+c": "c", r"x{0,3}yz": "yz", r"(?i)abc": "",
+        r"[0-9a-f]{32,}": "", r"\bfoo\.bar\b": "foo.bar", r"[a\]b[c]]de": "de", r"\Qa\E": "", r"a+b": "a", r"-----BEGIN (?:A|B) KEY": "-----BEGIN ",
+        r"[]a]b": "", r"a](b)?": "a", r"(?<n>a)\k<n>": "", r"\p{L}x": "x", r"a??b": "b", r"a+?b{2}": "a", "": "",
+    }
+    assert {p: hy.needed(p) for p in want} == want
+    texts = ["x sk-" + "a" * 20, "sk-", None, "", "tok", "token  =", "a@b.co", "@", "1.2.3.4", ". .", "AB", "ab"]
+    rules = {"k": r"sk-[a-z]{20}", "t": r"token\s*=", "m": r"[a-z]+@[a-z]+\.[a-z]{2,}", "i": r"\b[0-9]\.[0-9]\.[0-9]\.[0-9]\b", "f": "(?i)ab"}
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, id int")
+    got = {(r.id, r.rule) for r in hy.leak_scan(df, "text", ["id"], rules=rules).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n, p in rules.items() if t is not None and re.search(p, t)}
+
+
+def test_walk_unfolds_each_level_once(spark):
+    """What comes back reads written levels: no row is parsed or unfolded again, and texts without a hit aren't kept."""
+    rows = [(1, '{"a": ["sk-1", "no"], "b": {"c": "sk-2"}}'), (2, None), (1, '{"a": ["sk-1", "no"], "b": {"c": "sk-2"}}'), (None, "sk-3")]
+    df = spark.createDataFrame(rows, "id long, payload string")
+    for walk in (hy.walked(df, ["id"], json_columns=["payload"]), hy.leak_paths(df, ["id"], rules={"key": "sk-[0-9]"}, json_columns=["payload"])):
+        plan = walk._jdf.queryExecution().optimizedPlan().toString()
+        assert "parse_json" not in plan and "variant" not in plan
+    hits = sorted((str(r.id), r.path, r.rule) for r in hy.leak_paths(df, ["id"], rules={"key": "sk-[0-9]"}, json_columns=["payload"]).collect())
+    assert hits == sorted([("1", "payload.a[0]", "key"), ("1", "payload.b.c", "key")] * 2 + [("None", "payload", "key")])
+
+
 @pytest.mark.parametrize("space, cut", [("word", python_words), ("char", python_chars)])
 def test_slices_count_like_rows(space, cut):
     """Few bytes at a time, a text beyond a slice, nulls and empty texts: counts as of each text alone."""
