@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -124,6 +125,22 @@ def test_trained_models_travel_after_an_observation(spark):
         assert md.positive_score(detector.model, validation).filter("router_score between 0 and 1").count() == 40
 
 
+def test_suites_of_trained_models_after_an_observation(spark, tmp_path):
+    """What forest, zero_shot and detector_suite do: fitted, saved, loaded and evaluated in a session that has observed a table."""
+    assert observed(spark) == 3
+    rows = as_vector(drawn_vectors(spark, 120).select("sample_id", vector_to_array("features").alias("embedding"), "label"))
+    train, validation = rows.filter("sample_id < 'v5'"), rows.filter("sample_id >= 'v5'")
+    forest = md.fit_forest(train, validation, trees=3, max_depth=3)
+    linear = md.fit_logreg_grid(train, validation, c_values=[1.0], max_iter=5, scale=True)
+    forest.save(str(tmp_path / "forest"))
+    again = md.Detector.load(spark, str(tmp_path / "forest"), "vector_forest", forest=True)
+    parts = validation.withColumn("dataset", F.lit("external"))
+    for detector in (again, linear):
+        suite = md.evaluate_suite(detector, parts, replicates=20)
+        assert {r.n for r in suite["figures"].collect()} == {validation.count()}
+        assert suite["intervals"].filter("policy = 'best_f1'").join(suite["summary"], "dataset").count() == 5
+
+
 def test_forest_in_parts(spark):
     """Trees beyond the bound are fitted and written in parts; all of them vote, saved and loaded too."""
     train, validation = drawn_vectors(spark, 80), drawn_vectors(spark, 40, 80)
