@@ -43,14 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from there.
 
     For results that several later steps read: it cuts the plan, and a lost executor
     costs a re-read, not a recomputation.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -282,3 +282,33 @@ def test_weights_come_without_a_join(spark):
     assert weights.count() > 0
     plan = weights._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("most", [40, 1 << 22])
+def test_pairs_are_counted_as_numbers(spark, most, monkeypatch):
+    """No term table of strings: the cut of words and pairs comes from codes, whatever the slices, with nulls and equal ids."""
+    monkeypatch.setattr(fe, "WORD_SLICE", most)
+    monkeypatch.setattr(fe, "PAIRS", most)
+    monkeypatch.setattr(fe, "term_counts", None)
+    rng = random.Random(most)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8)) % 90}" for _ in range(rng.randrange(12))) for _ in range(80)] + [None, "", "aa aa aa", "aa aa"]
+    df = spark.createDataFrame([(f"s{i % 70}", t) for i, t in enumerate(texts)], "sample_id string, prompt string").repartition(3)
+    per_text = [Counter(python_words(t or "")) for t in texts]
+    docs, occurrences = Counter(t for c in per_text for t in c), sum(per_text, Counter())
+    for size in (7, 25, 5000):
+        wanted = sorted((t for t in docs if docs[t] >= 2), key=lambda t: (-occurrences[t], t))[:size]
+        coded = fe.coded_texts(df)
+        fitted = fe.fit_space(coded, "word", max_features=size)
+        assert [(r.term, r.df, r.cf) for r in fitted.terms.orderBy("place").collect()] == [(t, docs[t], occurrences[t]) for t in wanted]
+        assert fitted.texts == len(texts)
+        vectoriser = fe.fit_vectoriser(coded, ["word"], max_features=size)
+        from_codes, from_texts = (sorted(map(tuple, vectoriser.transform(x).collect())) for x in (coded, df))
+        assert from_codes == from_texts and len(from_codes) == sum(t in set(wanted) for c in per_text for t in c)
+        from_codes, from_texts = (sorted(map(str, vectoriser.arrays(x).collect())) for x in (coded, df))
+        assert from_codes == from_texts and len(from_codes) == len(texts)
+
+
+def test_too_many_words_are_counted_as_strings(spark):
+    df = spark.createDataFrame([(str(i), "aa bb cc dd") for i in range(3)], "sample_id string, prompt string")
+    got = fe.fit_space(df, "word", max_features=3, capacity=2).terms
+    assert sorted(r.term for r in got.collect()) == ["aa", "aa bb", "bb"]
