@@ -654,16 +654,15 @@ def concat_features(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def linear_score(rows: DataFrame, coefficients: np.ndarray, intercept: float, out: str = "router_score") -> DataFrame:
-    """Rows with ``idx`` and ``weight`` arrays, scored by a logistic model inside the row; no known term counts 0."""
-    sent = rows.sparkSession.sparkContext.broadcast(np.append(coefficients, 0.0))
+    """Rows with ``idx`` and ``weight`` arrays, scored by a logistic model inside the row; no known term counts 0.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_runs(batch):
-                margin = margins(part, sent.value[:-1, None])[:, 0] + intercept
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1.0 / (1.0 + np.exp(-margin)))], [*part.schema.names, out])
-
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
+    The weights stay in the engine, so a task that has made them in Python needs no second worker for their scores.
+    """
+    sent = rows.sparkSession.createDataFrame(pa.table({"coefficients": pa.array([coefficients.astype(float)])}))
+    known = rows.select("*", sent.scalar().alias("_coefficients"))
+    products = F.zip_with("idx", "weight", lambda i, w: w * F.get("_coefficients", i))
+    margin = F.coalesce(F.aggregate(products, F.lit(0.0), lambda total, x: total + x), F.lit(0.0)) + F.lit(float(intercept))
+    return known.select(*rows.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias(out))
 
 
 def row_runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,7 @@ SELECT d.sample_id, 1 / (1 + exp(-(coalesce(sum(weight * coefficient), 0) - 0.25
 FROM judged_docs d LEFT JOIN wt ON wt.sample_id = d.sample_id LEFT JOIN coef ON coef.term = wt.term GROUP BY d.sample_id""",
 )
 def linear_score(spark, d):
-    docs = fx.judged_docs(spark, d).select("sample_id", "prompt")
+    docs = fe.coded_texts(fx.judged_docs(spark, d).select("sample_id", "prompt"))
     vectoriser = fe.fit_vectoriser(docs, ["word"])
     by_idx = coefficients(vectoriser.terms).orderBy("idx").select("coefficient").toPandas()
     return fe.linear_score(vectoriser.arrays(docs), by_idx["coefficient"].to_numpy(), -0.25)

@@ -312,3 +312,13 @@ def test_too_many_words_are_counted_as_strings(spark):
     df = spark.createDataFrame([(str(i), "aa bb cc dd") for i in range(3)], "sample_id string, prompt string")
     got = fe.fit_space(df, "word", max_features=3, capacity=2).terms
     assert sorted(r.term for r in got.collect()) == ["aa", "aa bb", "bb"]
+
+
+def test_scores_leave_without_the_weights(spark):
+    """``linear_score`` adds up in the engine: no second Python worker holds the weights of many texts."""
+    rows = spark.createDataFrame([("a", [0, 2], [0.5, 2.0]), ("b", [], []), ("c", [1], [1.0])], "sample_id string, idx array<int>, weight array<double>")
+    scored = fe.linear_score(rows, np.array([1.0, -3.0, 0.25]), -0.25)
+    assert scored.columns == [*rows.columns, "router_score"]
+    got = {r.sample_id: r.router_score for r in scored.collect()}
+    assert got == {k: pytest.approx(1 / (1 + math.exp(-m))) for k, m in (("a", 0.75), ("b", -0.25), ("c", -3.25))}
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
