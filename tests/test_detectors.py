@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation
@@ -155,6 +155,16 @@ def test_forest_in_parts(spark):
     assert gap[0] < 1e-12 and gap[1] == 40
 
 
+def test_forest_keeps_the_node_of_every_row(spark):
+    """Levels of a forest don't walk its trees from the root again; the trees are the same."""
+    train, validation = drawn_vectors(spark, 80), drawn_vectors(spark, 40, 80)
+    fitted = md.fit_forest(train, validation, trees=3, max_depth=4)
+    model = RandomForestClassificationModel.load(fitted.model.parts[0][0])
+    assert model.getOrDefault("cacheNodeIds")
+    plain = RandomForestClassifier(numTrees=3, maxDepth=4, featureSubsetStrategy="sqrt", weightCol="weight", seed=42).fit(md.with_class_weights(train))
+    assert [t.toDebugString.split("\n")[1:] for t in model.trees] == [t.toDebugString.split("\n")[1:] for t in plain.trees]
+
+
 def test_missing_embedding_fails(spark):
     table = spark.createDataFrame([("a",), ("b",)], "sample_id string")
     vectors = spark.createDataFrame([("a", [1.0])], "sample_id string, embedding array<float>")
