@@ -37,7 +37,7 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 LOW, HIGH = 3, 5
 CAPACITY = 1 << 20
-SLICE = 1 << 19
+SLICE = 1 << 20
 WORD_SLICE = 1 << 22
 PAIRS = 1 << 20
 ENTRIES = 1 << 18
@@ -58,14 +58,50 @@ def pieces(text: Column) -> Column:
 CUTS: dict[str, Callable[[Column], Column]] = {"word": words, "char": pieces}
 
 
-def windows(piece: str) -> list[str]:
-    """All windows of 3 to 5 characters of a piece with one space on each side."""
-    padded = f" {piece} "
-    return [padded[i : i + n] for n in range(LOW, min(HIGH, len(padded)) + 1) for i in range(len(padded) - n + 1)]
+def _starts(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Numbers from ``begin`` on, ``own`` of them each, end to end."""
+    return np.arange(own.sum()) + np.repeat(begin - (np.cumsum(own) - own), own)
+
+
+def piece_windows(names: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct windows of 3 to 5 characters of pieces with one space on each side, the place of every window of
+    every piece, piece by piece, and how many each piece has.
+
+    A window is a number, that of the window without its last character and this character; only distinct ones become strings.
+    """
+    size = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    chars = np.frombuffer("".join(f" {w} " for w in names.to_pylist()).encode("utf-32-le"), np.uint32)
+    of_size = [np.maximum(0, size - n + 1) for n in range(LOW, HIGH + 1)]
+    many, begin = sum(of_size), np.cumsum(size) - size
+    room = np.cumsum(many) - many
+    used = np.zeros(0x110000, bool)
+    used[chars] = True
+    letter, letters = (np.cumsum(used) - 1)[chars], int(used.sum())
+    shorter = letter * letters + np.append(letter[1:], 0)  # the number of the window that is one shorter, by start
+    place, terms, known = np.empty(int(many.sum()), np.int64), [], 0
+    for n, own in zip(range(LOW, HIGH + 1), of_size, strict=True):
+        at = _starts(own, begin)
+        number = pa.array(shorter[at] * letters + letter[at + n - 1]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        shorter = np.zeros(len(chars), np.int64)
+        shorter[at] = number
+        first = at[np.diff(np.maximum.accumulate(number), prepend=-1) > 0]  # numbers are dealt in order of appearance
+        text = chars[first[:, None] + np.arange(n)]
+        ends = np.cumsum(np.append(0, (1 + (text >= 0x80).astype(int) + (text >= 0x800) + (text >= 0x10000)).sum(axis=1)))
+        terms.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text.tobytes().decode("utf-32-le").encode())))
+        place[_starts(own, room)] = known + number
+        room, known = room + own, known + len(first)
+    return pa.concat_arrays(terms), place, many
 
 
 def _summed(row: np.ndarray, term: np.ndarray, times: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and total of equal (row, term), in that order."""
+    bits = [int(x).bit_length() for x in (terms, times.max(initial=0))]
+    if int(row.max(initial=0)).bit_length() + sum(bits) < 64:  # in one number they are sorted without an order of places
+        packed = np.sort(((row << bits[0]) | term) << bits[1] | times)
+        key, times = packed >> bits[1], packed & ((1 << bits[1]) - 1)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(times, first) if len(key) else times
+        return key[first] >> bits[0], key[first] & ((1 << bits[0]) - 1), total
     key = row * max(1, terms) + term
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -89,18 +125,17 @@ def slice_counts(cut: pa.ListArray, space: str) -> tuple[list[str], np.ndarray,
         terms = names + [f"{names[a]} {names[b]}" for a, b in zip((keys // n).tolist(), (keys % n).tolist(), strict=True)]
         row, term = np.concatenate([row, row[:-1][pair]]), np.concatenate([code, len(names) + at])
         return terms, *_summed(row, term, np.ones(len(row), np.int64), len(terms))
-    row, piece, times = _summed(row, code, np.ones(len(row), np.int64), n)  # each distinct piece is cut once
-    place: dict[str, int] = {}
-    ids, sizes = [], []
-    for name in names:
-        cuts = windows(name)
-        sizes.append(len(cuts))
-        ids += [place.setdefault(w, len(place)) for w in cuts]
-    size = np.array(sizes, np.int64)
-    begin = np.cumsum(size) - size
-    many = size[piece]
-    at = np.arange(many.sum()) + np.repeat(begin[piece] - (np.cumsum(many) - many), many)
-    return list(place), *_summed(np.repeat(row, many), np.array(ids, np.int64)[at], np.repeat(times, many), len(place))
+    terms, row, term, times = _window_entries(cut)
+    return terms.to_pylist(), *_summed(row, term, times, len(terms))
+
+
+def _window_entries(cut: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of some texts, and row, place in these and times of each distinct piece's windows."""
+    texts = Words.of(cut)
+    row, piece, times = _summed(texts.row, texts.code, np.ones(len(texts.row), np.int64), len(texts.names))
+    terms, place, many = piece_windows(texts.names)
+    own = many[piece]
+    return terms, np.repeat(row, own), place[_starts(own, (np.cumsum(many) - many)[piece])], np.repeat(times, own)
 
 
 def _cut(df: DataFrame, spaces: Sequence[str], text: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -507,11 +542,10 @@ def _tallied(cut: Words | pa.ListArray, place: WordPlaces | dict[str, int], size
         row, idx = place.find(cut)
         cell, times = _equal(row * size + idx)
         return *np.divmod(cell, max(1, size)), times
-    terms, row, term, times = slice_counts(cut, "char")
-    idx = _places(terms, place)[term]
-    row, idx, times = row[idx >= 0], idx[idx >= 0], times[idx >= 0]
-    order = np.lexsort((idx, row))
-    return row[order], idx[order], times[order]
+    terms, row, term, times = _window_entries(cut)
+    idx = _places(terms.to_pylist(), place)[term]
+    known = idx >= 0
+    return _summed(row[known], idx[known], times[known], size)
 
 
 def _weights(cut: Words | pa.ListArray, place: WordPlaces | dict[str, int], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # s string, i bigint, f double rounded to six digits, b boolean, t time as text.
@@ -12,6 +12,14 @@ def parse(spec: str) -> list[tuple[str, str]]:
     return [tuple(item.split(":")) for item in spec.split()]
 
 
+def rounded(c: Column) -> Column:
+    """``F.round(c, 6)``, which goes through decimal numbers as text only for values near a tie, or large ones."""
+    millionths = c * 1e6
+    low = F.floor(millionths)
+    plain = (F.abs(millionths) < 1e9) & (F.abs(millionths - low - 0.5) > 1e-4)
+    return F.when(plain, F.floor(millionths + 0.5).cast("double") / 1e6).otherwise(F.round(c, 6))
+
+
 def shaped(df: DataFrame, spec: str) -> DataFrame:
     out = []
     for name, kind in parse(spec):
@@ -21,7 +29,7 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "i":
             c = c.cast("bigint")
         elif kind == "f":
-            c = F.round(c.cast("double"), 6)
+            c = rounded(c.cast("double"))
         elif kind == "b":
             c = c.cast("boolean")
         elif kind == "t":
