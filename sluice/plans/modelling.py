@@ -63,7 +63,7 @@ SELECT sample_id, space, count(*) AS terms, sqrt(sum(weight * weight)) AS norm F
 )
 def feature_concat(spark, d):
     docs = fx.judged_docs(spark, d)
-    both = fe.fit_vectoriser(docs).transform(docs)
+    both = fe.fit_vectoriser(docs).transform(docs, columns=["space", "weight"])
     return both.groupBy("sample_id", "space").agg(
         F.count(F.lit(1)).alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
     )
