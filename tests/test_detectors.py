@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.operators import features as fe
 from sluice.operators import models as md
 from sluice.operators import thresholds as th
-from sluice.operators.linear import fit_grid
+from sluice.operators.linear import fit_grid, losses_and_gradients, stored_blocks
 from sluice.plans import fixtures as fx
 from sluice.session import scratch_path
 from sluice.sources.vectors import as_vector, with_embeddings
@@ -65,6 +65,34 @@ def test_grid_fit_is_that_of_the_library(spark):
         assert np.allclose(model.coefficients, own.coefficients.toArray(), atol=1e-4) and model.intercept == pytest.approx(own.intercept, abs=1e-4)
 
 
+def test_grid_reads_blocks_with_as_many_tasks_as_cores(spark):
+    """Rows are packed once; blocks give the same loss and gradient, and no more tasks hand on a gradient than there are cores."""
+    rng = np.random.default_rng(9)
+    rows = [(sorted(rng.choice(50, n, False).tolist()), rng.random(n).tolist(), int(rng.integers(2)), float(rng.random())) for n in rng.integers(0, 9, 200)]
+    df = spark.createDataFrame(rows, "idx array<int>, weight array<double>, label int, row_weight double").repartition(40)
+    points = rng.normal(size=(51, 3))
+    packed = stored_blocks(fe.blocks(df))
+    started = []
+    frame, taken = type(packed), type(packed).mapInArrow
+
+    def seen(self, *a, **b):
+        started.append(self.rdd.getNumPartitions())
+        return taken(self, *a, **b)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(frame, "mapInArrow", seen)
+        losses, gradients = losses_and_gradients(packed, points)
+    assert packed.rdd.getNumPartitions() >= started[0] and max(started) <= spark.sparkContext.defaultParallelism
+    dense = np.zeros((200, 50))
+    for i, (idx, weight, _, _) in enumerate(rows):
+        dense[i, idx] = weight
+    y, w = (np.array([r[c] for r in rows]) for c in (2, 3))
+    m = dense @ points[:-1] + points[-1]
+    off = w[:, None] * (1 / (1 + np.exp(-m)) - y[:, None])
+    assert np.allclose(losses, (w[:, None] * (np.logaddexp(0, m) - y[:, None] * m)).sum(axis=0))
+    assert np.allclose(gradients, np.vstack([dense.T @ off, off.sum(axis=0)]))
+
+
 def test_saved_detector_scores_the_same(spark, text_model):
     fitted, vectors, df = text_model
     path = scratch_path(spark, "detector")
