@@ -93,6 +93,18 @@ def test_grid_reads_blocks_with_as_many_tasks_as_cores(spark):
     assert np.allclose(gradients, np.vstack([dense.T @ off, off.sum(axis=0)]))
 
 
+def test_blocks_of_texts_are_their_weights(spark, text_model):
+    """Counts, idf and lengths in blocks give the losses and gradients of the weights, with empty and null texts."""
+    fitted, _, df = text_model
+    more = spark.createDataFrame([("e", None, 1), ("f", "", 0), ("g", "unknownword", 1), ("h", "leak leak leak", 1)], df.schema)
+    rows = df.unionByName(more).select("prompt", "label", (F.length("sample_id") / 2).alias("row_weight"))
+    points = np.random.default_rng(3).normal(size=(fitted.vectoriser.size + 1, 2))
+    packed = fitted.vectoriser.blocks(rows)
+    assert {len(r._value) * 4 for r in packed.collect()} == {len(r._place) for r in packed.collect()}
+    got, want = losses_and_gradients(packed, points), losses_and_gradients(fe.blocks(fitted.vectoriser.arrays(rows)), points)
+    assert all(np.allclose(a, b, rtol=1e-12, atol=1e-12) for a, b in zip(got, want, strict=True))
+
+
 def test_saved_detector_scores_the_same(spark, text_model):
     fitted, vectors, df = text_model
     path = scratch_path(spark, "detector")
